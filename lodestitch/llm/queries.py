@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestitch.llm.byte_bpe import encode_documents
+from lodestitch.llm.html_consensus import extract_main_text
 from lodestitch.llm.quality_rules import quality_rules
 from lodestitch.llm.quote_linking import link_quotes
 from lodestitch.llm.ring_sharding import shard_rows
+from lodestitch.llm.suffix_dedup import remove_repeats
 from lodestitch.llm.url_reputation import judge_urls
 from lodestitch.sources.tables import table
 
@@ -20,12 +24,25 @@ URL_RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
+#: The vocabulary that production encodes with.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,10 +55,28 @@ def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_url_reputation": op1_url_reputation,
-        "op3_quality_rules": op3_quality_rules,
-        "op4_quote_linking": op4_quote_linking,
-        "op8_ring_sharding": op8_ring_sharding,
+        f.__name__: f
+        for f in (
+            op1_url_reputation,
+            op2_suffix_dedup,
+            op3_quality_rules,
+            op4_quote_linking,
+            op8_ring_sharding,
+            op9_html_consensus,
+            op10_byte_bpe,
+        )
     }
