@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestitch.llm.byte_bpe import encode_documents
 from lodestitch.llm.html_consensus import extract_main_text
+from lodestitch.llm.ngram_join import similar_components
 from lodestitch.llm.quality_rules import quality_rules
 from lodestitch.llm.quote_linking import link_quotes
 from lodestitch.llm.ring_sharding import shard_rows
@@ -51,6 +52,10 @@ def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_suffix_dedup,
             op3_quality_rules,
             op4_quote_linking,
+            op5_ngram_join,
             op8_ring_sharding,
             op9_html_consensus,
             op10_byte_bpe,
