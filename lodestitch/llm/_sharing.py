@@ -28,12 +28,15 @@ def group_count(docs: DataFrame, groups: int | None) -> int:
     return groups or max(64, 4 * shuffle_partitions(docs.sparkSession))
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """g, doc_id, text. A null id becomes the largest number, so that it never comes first."""
+def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """g, doc_id, text, carry_0 ... A null id becomes the largest number, so that it never comes first."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     spread = F.when(key == NO_ID, F.xxhash64(text_col)).otherwise(F.xxhash64(key))
     return docs.select(
-        F.pmod(spread, F.lit(groups)).cast("int").alias("g"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(spread, F.lit(groups)).cast("int").alias("g"),
+        key.alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
     )
 
 

@@ -79,8 +79,9 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(_let(hashes, some))
 
 
-def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    """doc_id, stratum and the counts of every whole text."""
+def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str, whole_rows: bool = False) -> DataFrame:
+    """doc_id, stratum and the counts of every whole text; with ``whole_rows`` also the input row."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
@@ -91,6 +92,7 @@ def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str) ->
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))).alias("w"),
         _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("x"),
+        *row,
     )
     return counted.select(
         "doc_id",
@@ -101,6 +103,7 @@ def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str) ->
         F.col("x.n").cast("long").alias("n_lines"),
         (F.col("x.n") - F.col("x.d")).cast("long").alias("n_dup_lines"),
         F.col("w.r").cast("long").alias("n_repeat_words"),
+        *["row"][: len(row)],
     )
 
 
@@ -171,6 +174,23 @@ def risk_controlled_cutoffs(holdout: DataFrame, *, alpha: float, delta: float) -
     )
 
 
+def _cutoff_table(measured: DataFrame, labels: DataFrame, label_id: str, good_col: str, alpha: float, delta: float) -> DataFrame:
+    """stratum and one column of cutoffs per rule."""
+    good = labels.where((F.col(good_col) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id"))
+    holdout = measured.where(~base_failed()).join(good, "doc_id")
+    cutoffs = risk_controlled_cutoffs(holdout, alpha=alpha, delta=delta)
+    return materialize(cutoffs.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff")))
+
+
+def _judged(measured: DataFrame, cutoffs: DataFrame, most_strata: int) -> DataFrame:
+    """``measured`` with failed (the rules that reject a row) and kept."""
+    few = cutoffs.count() <= most_strata
+    metrics = _metrics()
+    failed = F.array_compact(F.array(*[F.when(metrics[r] > F.col(r), F.lit(r)) for r in CUTOFFS]))
+    joined = measured.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
+    return joined.withColumn("failed", failed).withColumn("kept", ~base_failed() & (F.size("failed") == 0))
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
@@ -191,18 +211,8 @@ def quality_rules(
     number of strata is at most ``most_strata``; beyond, it is joined by its key.
     """
     measured = materialize(measure(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col))
-    good = labels.where((F.col(good_col) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id"))
-    cutoffs = materialize(
-        risk_controlled_cutoffs(measured.where(~base_failed()).join(good, "doc_id"), alpha=alpha, delta=delta)
-        .groupBy("stratum")
-        .pivot("rule", list(CUTOFFS))
-        .agg(F.first("cutoff"))
-    )
-    few = cutoffs.count() <= most_strata
-    metrics = _metrics()
-    failed = F.array_compact(F.array(*[F.when(metrics[r] > F.col(r), F.lit(r)) for r in CUTOFFS]))
-    judged = measured.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
-    return judged.select(
+    cutoffs = _cutoff_table(measured, labels, label_id, good_col, alpha, delta)
+    return _judged(measured, cutoffs, most_strata).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -210,6 +220,31 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         base_failed().alias("base_failed"),
-        (~base_failed() & (F.size(failed) == 0)).alias("kept"),
-        F.concat_ws(",", failed).alias("failed_rules"),
+        "kept",
+        F.concat_ws(",", "failed").alias("failed_rules"),
     )
+
+
+def keep_good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    label_id: str = "doc_id",
+    good_col: str = "quality",
+    alpha: float = 0.02,
+    delta: float = 0.05,
+    most_strata: int = 10_000,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep.
+
+    Only the labelled documents are measured for the cutoffs; the rules then run inside the scan,
+    so no row is joined back to its text.
+    """
+    at = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
+    labelled = labels.where(F.col(good_col) == 1).select(F.col(label_id).alias("labelled_id"))
+    holdout = docs.join(labelled, docs[id_col] == F.col("labelled_id"), "left_semi")
+    cutoffs = _cutoff_table(measure(holdout, **at), labels, label_id, good_col, alpha, delta)
+    return _judged(measure(docs, **at, whole_rows=True), cutoffs, most_strata).where("kept").select("row.*")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestitch.llm.byte_bpe import encode_documents
 from lodestitch.llm.html_consensus import extract_main_text
+from lodestitch.llm.line_dedup import remove_near_lines
 from lodestitch.llm.ngram_join import similar_components
 from lodestitch.llm.quality_rules import quality_rules
 from lodestitch.llm.quote_linking import link_quotes
 from lodestitch.llm.ring_sharding import shard_rows
 from lodestitch.llm.suffix_dedup import remove_repeats
+from lodestitch.llm.template_decontam import find_contamination
 from lodestitch.llm.url_reputation import judge_urls
 from lodestitch.sources.tables import table
 
@@ -56,6 +58,17 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op6_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "items")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_near_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
@@ -81,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_quality_rules,
             op4_quote_linking,
             op5_ngram_join,
+            op6_template_decontam,
+            op7_line_dedup,
             op8_ring_sharding,
             op9_html_consensus,
             op10_byte_bpe,
