@@ -1 +1 @@
-
+"""Column expressions: text, attributes, comparison."""
