@@ -1,7 +1,7 @@
 """Which keys of a corpus occur in more than one place, without a row per key.
 
 A corpus is dealt into groups of a few MB by a hash of the document id. A group names its keys
-(64-bit), removes its own repeats, and sends each of ``groups`` buckets one packed row of short
+(64-bit), removes its own repeats, and sends each bucket of keys one packed row of short
 fingerprints. A bucket adds up the fingerprints over all groups and answers every group with
 one byte per key, in the order sent. So each key costs about five bytes of shuffle there and
 one back, a key that occurs in every document costs one entry per group, and the group side is
@@ -25,7 +25,12 @@ NO_ID = 2**63 - 1
 
 def group_count(docs: DataFrame, groups: int | None) -> int:
     """How many groups: given, or by the session's shuffle width (a few MB a group when that fits the data)."""
-    return groups or max(64, 4 * shuffle_partitions(docs.sparkSession))
+    return groups or max(64, 2 * shuffle_partitions(docs.sparkSession))
+
+
+def bucket_count(groups: int) -> int:
+    """How many buckets of keys the groups write to; each group sends a bucket one row at most."""
+    return max(32, groups // 2)
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -40,9 +45,9 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int, carry: tuple
     )
 
 
-def bucket_bounds(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_bounds(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted keys: the buckets that have some, and where each starts, with the end."""
-    buckets = ((keys >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    buckets = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return buckets[starts].astype(np.int64), np.r_[starts, len(keys)]
 
@@ -65,9 +70,9 @@ def in_order(table: pa.Table, column: str = "b") -> pa.Table:
     return table.sort_by([(column, "ascending")])
 
 
-def ask(keys: np.ndarray, counts: np.ndarray, g: int, groups: int) -> pa.Table:
+def ask(keys: np.ndarray, counts: np.ndarray, g: int, n_buckets: int) -> pa.Table:
     """The packed rows of one group: sorted distinct ``keys`` and in how many places each was met."""
-    buckets, bounds = bucket_bounds(keys, groups)
+    buckets, bounds = bucket_bounds(keys, n_buckets)
     fields = packed({"f": keys.astype(np.uint32), "n": np.minimum(counts, 255).astype(np.uint8)}, bounds)
     return pa.table({"b": pa.array(buckets, pa.int32()), "g": pa.array(np.full(len(buckets), g), pa.int32()), **fields})
 

@@ -97,11 +97,11 @@ def _group_of(*tables: pa.Table) -> int:
     return next((t.column("g")[0].as_py() for t in tables if len(t)), 0)
 
 
-def _ask_places(groups: int, least_words: int):
+def _ask_places(n_buckets: int, least_words: int):
     def ask(texts: pa.Table) -> pa.Table:
         lines = _lines(texts, least_words)
         names, at, _ = _distinct(lines)
-        buckets, bounds = sharing.bucket_bounds(names, groups)
+        buckets, bounds = sharing.bucket_bounds(names, n_buckets)
         return _rows(
             buckets, _group_of(texts), sharing.packed({"k": names, "d": lines.doc[at], "l": lines.number[at]}, bounds)
         )
@@ -147,15 +147,15 @@ def _variants(lines: Lines, which: np.ndarray, edit_words: int) -> tuple[np.ndar
     return np.r_[lines.name[some], key], np.r_[some, line], np.r_[np.full(len(some), WHOLE), j.astype(np.int32)]
 
 
-def _ask_variants(groups: int, least_words: int, edit_words: int):
+def _ask_variants(n_buckets: int, least_words: int, edit_words: int):
     def ask(texts: pa.Table, places: pa.Table) -> pa.Table:
         if not len(texts):
-            return sharing.ask(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, groups)
+            return sharing.ask(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, n_buckets)
         lines = _lines(texts, least_words)
         _, at, _, _, _, speaks = _spoken(lines, places)
         key, _, _ = _variants(lines, at[speaks], edit_words)
         keys, counts = np.unique(key, return_counts=True)
-        return sharing.ask(keys, counts, _group_of(texts), groups)
+        return sharing.ask(keys, counts, _group_of(texts), n_buckets)
 
     return ask
 
@@ -183,7 +183,7 @@ def _word_lists(lines: Lines, which: np.ndarray) -> list[bytes]:
     return [lines.words[a : a + n].tobytes() for a, n in zip(lines.first[which].tolist(), lines.count[which].tolist(), strict=True)]
 
 
-def _send_lines(groups: int, least_words: int, edit_words: int):
+def _send_lines(n_buckets: int, least_words: int, edit_words: int):
     kinds = [("b", pa.int32()), ("g", pa.int32()), ("k", pa.int64()), ("j", pa.int32()), ("d", pa.int64()), ("l", pa.int32()), ("w", pa.binary())]
     schema = pa.schema(kinds)
 
@@ -192,7 +192,7 @@ def _send_lines(groups: int, least_words: int, edit_words: int):
             return schema.empty_table()
         lines, _, key, line, place, new = _meeting(texts, answers, least_words, edit_words)
         key, line, place = key[new], line[new], place[new]
-        b = (((key >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int32)
+        b = (((key >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
         g = np.full(len(key), _group_of(texts), np.int32)
         columns = [b, g, key.view(np.int64), place.astype(np.int32), lines.doc[line], lines.number[line].astype(np.int32), _word_lists(lines, line)]
         return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema)
@@ -311,13 +311,14 @@ def remove_near_lines(
     one of the four.
     """
     g = sharing.group_count(docs, groups)
+    n = sharing.bucket_count(g)
     texts = sharing.dealt(docs, id_col, text_col, g, carry).groupBy("g")
-    places = texts.applyInArrow(_ask_places(g, least_words), "b int, g int, k binary, d binary, l binary").groupBy("b")
+    places = texts.applyInArrow(_ask_places(n, least_words), "b int, g int, k binary, d binary, l binary").groupBy("b")
     places = places.applyInArrow(_settle_places, "g int, b int, d binary, l binary")
-    asked = texts.cogroup(places.groupBy("g")).applyInArrow(_ask_variants(g, least_words, edit_words), sharing.ASK)
+    asked = texts.cogroup(places.groupBy("g")).applyInArrow(_ask_variants(n, least_words, edit_words), sharing.ASK)
     so_far = _tagged(places, 0).unionByName(_tagged(sharing.answered(asked), 1))
     sent = texts.cogroup(so_far.groupBy("g")).applyInArrow(
-        _send_lines(g, least_words, edit_words), "b int, g int, k long, j int, d long, l int, w binary"
+        _send_lines(n, least_words, edit_words), "b int, g int, k long, j int, d long, l int, w binary"
     )
     partners = sent.groupBy("b").applyInArrow(_earliest_partner, "g int, k long, j int, pd long, pl int, w binary")
     answers = so_far.unionByName(_tagged(partners, 2))

@@ -94,11 +94,11 @@ def _classes(texts: pa.Table, width: int):
     return ids, row, name, n, s1, s2, first & full
 
 
-def _ask(groups: int, width: int):
+def _ask(buckets: int, width: int):
     def ask(texts: pa.Table) -> pa.Table:
         _, row, name, _, _, _, first = _classes(texts, width)
         keys, counts = np.unique(name[first[row]], return_counts=True)
-        return sharing.ask(keys, counts, texts.column("g")[0].as_py() if len(texts) else 0, groups)
+        return sharing.ask(keys, counts, texts.column("g")[0].as_py() if len(texts) else 0, buckets)
 
     return ask
 
@@ -228,7 +228,7 @@ def similar_components(
     """doc_id, n_shingles, component_id; one row per input row."""
     g = sharing.group_count(docs, groups)
     texts = sharing.dealt(docs, id_col, text_col, g).groupBy("g")
-    answers = sharing.answered(texts.applyInArrow(_ask(g, width), sharing.ASK))
+    answers = sharing.answered(texts.applyInArrow(_ask(sharing.bucket_count(g), width), sharing.ASK))
     sets = materialize(texts.cogroup(answers.groupBy("g")).applyInArrow(_prefixes(width, percent), SETS))
 
     key = ["n", "s1", "s2"]
