@@ -27,6 +27,14 @@ def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+def quick_join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A cheaper name for the ordered pair; to be scrambled before it is compared by size."""
+    x = a * _C1
+    x += b
+    x ^= x >> U(29)
+    return x
+
+
 #: A name for each byte.
 BYTE = scramble(np.arange(256, dtype=np.uint64))
 LOWER = np.arange(256, dtype=np.uint8)

@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.llm import _sharing as sharing
-from lodestitch.llm._hashing import BYTE, U, join, portions, scramble, text_bytes
+from lodestitch.llm._hashing import BYTE, U, join, portions, quick_join, scramble, text_bytes
 
 #: Bytes of an initial bucket; a window has twice as many.
 Q = 25
 WIN = 2 * Q
 #: Window starts taken at a time.
-PIECE = 1 << 19
+PIECE = 1 << 17
 _PLACE = U((1 << 20) - 1)
 
 
@@ -53,7 +53,8 @@ class Runs(NamedTuple):
     doc: np.ndarray  # row of the document in the group
     lo: np.ndarray  # first window's start, in the group's bytes
     hi: np.ndarray  # last window's start
-    bucket: np.ndarray  # q-pointer of the anchor
+    anchor: np.ndarray  # the suffix that stands for the windows
+    bucket: np.ndarray  # its q-pointer
     refined: np.ndarray  # name of the bucket after round 1
 
 
@@ -61,9 +62,9 @@ def _pointers(data: np.ndarray) -> np.ndarray:
     """q-pointers at every offset, by doubling the depth: 1, 2, 4, 8, 16, then 25."""
     p, depth = BYTE[data], 1
     while 2 * depth <= Q:
-        p = join(p[:-depth], p[depth:])
+        p = quick_join(p[:-depth], p[depth:])
         depth *= 2
-    return join(p[: len(p) - (Q - depth)], p[Q - depth :])
+    return scramble(quick_join(p[: len(p) - (Q - depth)], p[Q - depth :]))
 
 
 def _pieces(offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -78,13 +79,16 @@ def _pieces(offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _runs_of(data: np.ndarray, offsets: np.ndarray, windows: bool = False):
-    """Runs of all texts of a group; with ``windows`` also (names, offsets from the anchor) of a run's windows."""
-    found, names = [], []
+def _runs_of(data: np.ndarray, offsets: np.ndarray, keep: bool = False) -> tuple[Runs, np.ndarray]:
+    """Runs of all texts of a group and, with ``keep``, the q-pointers at all offsets."""
+    found = []
+    pointers = np.zeros(len(data) if keep else 0, dtype=np.uint64)
     for a, b, begin, end in _pieces(offsets):
         if end - begin < WIN:
             continue
         p = _pointers(data[begin:end])
+        if keep:
+            pointers[begin : begin + len(p)] = p
         bounds = np.clip(offsets[a : b + 1] - begin, 0, end - begin)
         edge = np.zeros(end - begin + 1, np.int32)
         np.add.at(edge, bounds[:-1], 1)
@@ -100,16 +104,13 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, windows: bool = False):
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]
         first = np.flatnonzero(new)
         lo, hi, anchor = at[first], at[np.r_[first[1:], len(at)] - 1], anchor[first]
-        refined = join(join(p[lo], p[lo + Q]), join(p[hi + Q], scramble(((anchor - lo) * 64 + (hi - lo)).astype(np.uint64))))
+        shape = scramble(((anchor - lo) * 64 + (hi - lo)).astype(np.uint64))
+        refined = join(join(p[lo], p[lo + Q]), join(p[hi + Q], shape))
         doc = a + np.searchsorted(bounds[1:], lo, side="right")
-        found.append(Runs(doc, lo + begin, hi + begin, p[anchor], refined))
-        if windows:
-            far = np.repeat(anchor, hi - lo + 1) - at
-            name = join(join(p[at], p[at + Q]), scramble(far.astype(np.uint64)))
-            names.append(name)
-    none = np.zeros(0, np.int64)
-    runs = Runs(*map(np.concatenate, zip(*found, strict=True))) if found else Runs(none, none, none, none.astype(U), none.astype(U))
-    return (runs, np.concatenate(names) if names else none.astype(U)) if windows else runs
+        found.append(Runs(doc, lo + begin, hi + begin, anchor + begin, p[anchor], refined))
+    none, no_name = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = Runs(*map(np.concatenate, zip(*found, strict=True))) if found else Runs(none, none, none, none, no_name, no_name)
+    return runs, pointers
 
 
 def _input(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,12 +126,12 @@ def _least_by(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[starts], np.minimum.reduceat(v, starts) if len(k) else v, np.maximum.reduceat(v, starts) if len(k) else v
 
 
-def _round0(groups: int):
+def _round0(n_buckets: int):
     def ask(texts: pa.Table) -> pa.Table:
         ids, data, offsets = _input(texts)
-        runs = _runs_of(data, offsets)
+        runs, _ = _runs_of(data, offsets)
         keys, low, high = _least_by(runs.bucket, ids[runs.doc])
-        return sharing.ask(keys, 1 + (low < high), texts.column("g")[0].as_py() if len(texts) else 0, groups)
+        return sharing.ask(keys, 1 + (low < high), texts.column("g")[0].as_py() if len(texts) else 0, n_buckets)
 
     return ask
 
@@ -153,12 +154,12 @@ def _shared_classes(runs: Runs, ids: np.ndarray, answers: pa.Table):
     return runs, ordered[starts], of_run, least
 
 
-def _round1(groups: int):
+def _round1(n_buckets: int):
     def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
         g = (texts if len(texts) else answers).column("g")[0].as_py()
         ids, data, offsets = _input(texts)
-        _, classes, _, least = _shared_classes(_runs_of(data, offsets), ids, answers)
-        buckets, bounds = sharing.bucket_bounds(np.ascontiguousarray(classes["bucket"]), groups)
+        _, classes, _, least = _shared_classes(_runs_of(data, offsets)[0], ids, answers)
+        buckets, bounds = sharing.bucket_bounds(np.ascontiguousarray(classes["bucket"]), n_buckets)
         fields = sharing.packed(
             {"f": classes["bucket"].astype(np.uint32), "k": classes["refined"], "d": least.astype("<i8")}, bounds
         )
@@ -200,13 +201,13 @@ def _of_kind(answers: pa.Table, kind: int) -> pa.Table:
     return sharing.in_order(answers.filter(pc.equal(answers.column("kind"), kind)))
 
 
-def _round2(groups: int):
+def _round2(n_buckets: int):
     def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
         none = pa.table({"b": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "w": pa.array([], pa.binary()), "d": pa.array([], pa.binary())})
         if not len(texts) or not len(answers):
             return none
         names, low, _ = _contested(texts, answers)
-        buckets, bounds = sharing.bucket_bounds(names, groups)
+        buckets, bounds = sharing.bucket_bounds(names, n_buckets)
         g = texts.column("g")[0].as_py()
         return pa.table(
             {"b": pa.array(buckets, pa.int32()), "g": pa.array(np.full(len(buckets), g), pa.int32())}
@@ -219,22 +220,20 @@ def _round2(groups: int):
 def _contested(texts: pa.Table, answers: pa.Table):
     """Windows to be compared one by one: sorted names, the least id of each, and (name, text's row, start) of all."""
     ids, data, offsets = _input(texts)
-    runs, names = _runs_of(data, offsets, windows=True)
-    first = np.r_[0, np.cumsum(runs.hi - runs.lo + 1)]
-    level0, settled = _of_kind(answers, 0), _of_kind(answers, 1)
-    keys = np.unique(runs.bucket)
-    shared = sharing.levels(level0)[np.searchsorted(keys, runs.bucket)] > 1 if len(keys) else np.zeros(0, bool)
-    kept, _, of_run, _ = _shared_classes(runs, ids, level0)
+    runs, pointers = _runs_of(data, offsets, keep=True)
+    settled = _of_kind(answers, 1)
+    runs, _, of_run, _ = _shared_classes(runs, ids, _of_kind(answers, 0))
     least, state = sharing.unpacked(settled, "d", "<i8"), sharing.unpacked(settled, "s", "u1")
-    at = np.flatnonzero(shared)
-    chosen = (state[of_run] == 2) & (least[of_run] == ids[kept.doc]) if len(at) else np.zeros(0, bool)
-    lost = least[of_run] < ids[kept.doc] if len(at) else np.zeros(0, bool)
-    at, sizes = at[chosen], (kept.hi - kept.lo + 1)[chosen]
-    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    name = join(names[np.repeat(first[at], sizes) + inner], np.repeat(kept.bucket[chosen], sizes))
-    row, start = np.repeat(kept.doc[chosen], sizes), np.repeat(kept.lo[chosen], sizes) + inner
-    sorted_names, low, _ = _least_by(name, ids[row])
-    return sorted_names, low, (ids, data, offsets, kept.lo[lost], kept.hi[lost], name, row, start)
+    some = len(of_run) > 0
+    lost = least[of_run] < ids[runs.doc] if some else np.zeros(0, bool)
+    chosen = Runs(*(x[(state[of_run] == 2) & (least[of_run] == ids[runs.doc])] for x in runs)) if some else runs
+    sizes = chosen.hi - chosen.lo + 1
+    start = np.repeat(chosen.lo, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = scramble((np.repeat(chosen.anchor, sizes) - start).astype(np.uint64))
+    name = join(join(pointers[start], pointers[start + Q]), place ^ np.repeat(chosen.bucket, sizes))
+    row = np.repeat(chosen.doc, sizes)
+    names, low, _ = _least_by(name, ids[row])
+    return names, low, (ids, data, offsets, runs.lo[lost], runs.hi[lost], name, row, start)
 
 
 def _settle2(table: pa.Table) -> pa.Table:
@@ -290,13 +289,14 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_bytes, starts, ends (of the removed spans, in bytes), kept (the other bytes); a row per input row."""
     n = sharing.group_count(docs, groups)
+    b = sharing.bucket_count(n)
     texts = sharing.dealt(docs, id_col, text_col, n)
     by_group = texts.groupBy("g")
-    level0 = sharing.answered(by_group.applyInArrow(_round0(n), sharing.ASK))
-    asked1 = by_group.cogroup(level0.groupBy("g")).applyInArrow(_round1(n), "b int, g int, f binary, k binary, d binary")
+    level0 = sharing.answered(by_group.applyInArrow(_round0(b), sharing.ASK))
+    asked1 = by_group.cogroup(level0.groupBy("g")).applyInArrow(_round1(b), "b int, g int, f binary, k binary, d binary")
     settled1 = asked1.groupBy("b").applyInArrow(_settle1, "g int, b int, d binary, s binary")
     so_far = _tagged(level0, 0).unionByName(_tagged(settled1, 1))
-    asked2 = by_group.cogroup(so_far.groupBy("g")).applyInArrow(_round2(n), "b int, g int, w binary, d binary")
+    asked2 = by_group.cogroup(so_far.groupBy("g")).applyInArrow(_round2(b), "b int, g int, w binary, d binary")
     settled2 = asked2.groupBy("b").applyInArrow(_settle2, "g int, b int, d binary")
     answers = so_far.unionByName(_tagged(settled2, 2))
     out = by_group.cogroup(answers.groupBy("g")).applyInArrow(
