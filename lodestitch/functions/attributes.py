@@ -16,7 +16,6 @@ from lodestitch.functions.text import let, number_text
 
 ATTRIBUTE = "struct<value_str:string,value_num:double,source:string,method:string,confidence:double>"
 BAG = f"map<string,{ATTRIBUTE}>"
-NONE = F.lit(None).cast(ATTRIBUTE)
 
 
 def attribute(

@@ -29,11 +29,11 @@ def collapsed(text: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A double in short form: up to six significant digits, no trailing zeros (``%g`` below 1e6)."""
+    """A double in short form: up to six significant digits, no trailing zeros (``%g`` below 1e6); null stays null."""
     digits = F.greatest(F.lit(0), 6 - F.ceil(F.log10(F.greatest(F.abs(value), F.lit(1e-6)) * (1 + 1e-12))))
     scale = F.pow(F.lit(10.0), digits)
     exact = F.format_string("%.6f", F.floor(value * scale + 0.5) / scale)
-    return F.regexp_replace(exact, r"\.?0+$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(exact, r"\.?0+$", ""))
 
 
 def substituted(text: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:

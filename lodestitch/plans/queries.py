@@ -230,9 +230,6 @@ def _blocked_pairs(spark: SparkSession, d: str) -> DataFrame:
     return one.join(two, ["p_size", "p_brand"]).where("a < b")
 
 
-_VALVE = F.lit
-
-
 @query("WITH " + VALVES_SQL + "SELECT a, b, s_type || ',' || s_size || ',' || s_material || ',' || s_pressure || ',' || s_ends AS states FROM states")
 def pair_compare(spark: SparkSession, d: str) -> DataFrame:
     keys = F.array(*map(F.lit, ("item_type", "size", "material", "pressure_class", "end_connection")))
