@@ -57,11 +57,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
         words = span_names(BYTE[LOWER[part]], starts, ends)
         row = np.searchsorted(bounds, starts, side="right") - 1
         count = np.bincount(row, minlength=b - a)
-        name = words[: len(words) - width + 1]
+        full = max(0, len(words) - width + 1)
+        name = words[:full]
         for k in range(1, width):
-            name = join(name, words[k : len(words) - width + 1 + k])
-        whole = row[: len(name)] == row[width - 1 :][: len(name)] if len(words) >= width else np.zeros(0, bool)
-        name, at = name[whole], row[: len(whole)][whole]
+            name = join(name, words[k : k + full])
+        whole = row[:full] == row[width - 1 : width - 1 + full]
+        name, at = name[whole], row[:full][whole]
         first = np.cumsum(count) - count
         short = np.flatnonzero((count > 0) & (count < width))
         few = span_names(words, first[short], first[short] + count[short]) ^ U(1)
