@@ -291,3 +291,8 @@ def explanation(comparisons: Column, category: Column) -> Column:
             r["comparison"]["reason"].alias("reason"),
         ),
     )
+
+
+def is_consistent(values: Column) -> Column:
+    """Whether the stated values of one field in a cluster are one value at most."""
+    return F.size(distinct_values(values)) <= 1

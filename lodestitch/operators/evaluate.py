@@ -82,3 +82,8 @@ def candidate_recall(truth_pairs: DataFrame, candidates: DataFrame) -> DataFrame
     hit = truth_pairs.join(seen, ["a", "b"], "left_semi").agg(F.count("*").alias("n")).scalar()
     row = truth_pairs.sparkSession.range(1).select(all_.alias("true_pairs"), hit.alias("found"))
     return row.withColumn("recall", F.when(F.col("true_pairs") > 0, F.col("found") / F.col("true_pairs")).otherwise(1.0))
+
+
+def evaluation_rows(labelled: DataFrame, job_id: str) -> DataFrame:
+    """The metrics of one run as rows to append to the evaluation log: job_id, category, counts, rates, at."""
+    return pair_metrics(labelled).select(F.lit(job_id).alias("job_id"), "*", F.current_timestamp().alias("at"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import extract_attributes, value_text
-from lodestitch.functions.text import detect_category, is_known, normalize, tokenize
+from lodestitch.functions.text import detect_category, is_known, normalize, rule_trace, tokenize
 from lodestitch.operators.graph import connected_components
 from lodestitch.operators.retrieval import embed, hybrid_candidates
 from lodestitch.plans.materialize import materialize
@@ -367,3 +367,15 @@ def run_statistics(plan: Plan) -> DataFrame:
 
 def status_histogram(review: DataFrame) -> DataFrame:
     return review.groupBy("status").agg(F.count("*").alias("records"))
+
+
+def preview(texts: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """What the rules make of texts, without storing anything: category, norm_text, trace, tokens, attrs."""
+    text = F.col(text_col)
+    out = texts.withColumn("category", detect_category(text)).withColumn("norm_text", normalize(text, F.col("category")))
+    return out.select(
+        "*",
+        rule_trace(text, F.col("category")).alias("trace"),
+        tokenize(F.col("norm_text")).alias("tokens"),
+        extract_attributes(F.col("norm_text"), F.col("category")).alias("attrs"),
+    )

@@ -174,3 +174,26 @@ def test_new_items_are_checked(spark, records, plan):
     assert best[-3].recommendation != govern.USE_EXISTING and len([r for r in found if r.probe_id == -1]) <= 5
     ranked = govern.ranked_candidates(1, records, plan.crosswalk, 5).collect()
     assert [r["rank"] for r in ranked] == [1, 2, 3, 4, 5] and ranked[0].would_merge
+
+
+def test_previews_vectors_and_consistency(spark):
+    from lodestitch.functions.compare import is_consistent
+    from lodestitch.operators.retrieval import backfill_vectors, hashed_vector, index_stats, pair_lexical, records_of
+
+    row = resolve.preview(spark.createDataFrame([("GT VLV 6 IN",)], "raw_text string")).first()
+    assert (row.category, row.norm_text, row.tokens) == (R.VALVE, "GATE VALVE DN150", ["GATE", "VALVE", "DN150"])
+    assert "size" in row.attrs and len(row.trace) == 3
+    df = spark.createDataFrame([(1, None, "a b", None), (2, "pipe", "c", [1.0]), (3, None, None, None)], "id long, category string, raw_text string, embedding array<float>")
+    df = df.withColumn("norm_text", F.lit(None).cast("string"))
+    found = {r.id: r.embedding for r in backfill_vectors(df).collect()}
+    assert found[2] == [1.0] and len(found[1]) == 256 and sum(x * x for x in found[1]) == pytest.approx(1.0) and set(found[3]) == {0.0}
+    two = spark.range(1).select(hashed_vector(F.lit("A B")).alias("x"), hashed_vector(F.lit("a, b")).alias("y")).first()
+    assert two.x == two.y
+    assert records_of(df, None).count() == 2
+    assert {(r.category, r.records, r.with_vector) for r in index_stats(df).collect()} == {("unknown", 2, 0), ("pipe", 1, 1)}
+    values = members(spark, ["x", " X "]).agg(F.collect_list(F.col("attrs")["pressure_class"]).alias("v"))
+    assert values.select(is_consistent(F.col("v")).alias("c")).first().c
+    corpus = spark.createDataFrame([(i, None, t.split()) for i, t in enumerate(("a b", "a c", "d e", "f g", "h i"))], "id long, category string, tokens array<string>")
+    pair = pair_lexical(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"), corpus)
+    lexical = {(r.a, r.b): r.lexical for r in pair.collect()}
+    assert 0 < lexical[0, 1] < 1 and lexical[0, 2] == 0.0
