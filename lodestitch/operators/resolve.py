@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.functions import compare as C
@@ -20,6 +20,7 @@ from lodestitch.functions.text import detect_category, is_known, normalize, rule
 from lodestitch.operators.graph import connected_components
 from lodestitch.operators.retrieval import embed, hybrid_candidates
 from lodestitch.plans.materialize import materialize
+from lodestitch.plans.numbering import row_numbers
 
 EDGE, BLOCKED, REVIEW, DROP = "edge", "blocked", "review", "drop"
 AUTO_MATCHED, NEEDS_REVIEW, INSUFFICIENT = "AUTO_MATCHED", "NEEDS_REVIEW", "INSUFFICIENT_EVIDENCE"
@@ -151,8 +152,9 @@ def number_entities(records: DataFrame, clusters: DataFrame, prefix: str = "ENT"
         .groupBy("cluster")
         .agg(F.min("category").alias("category"), F.count("*").cast("int").alias("members"))
     )
-    number = F.row_number().over(Window.orderBy(rank, "cluster"))
-    return groups.select("cluster", "category", "members", F.concat(F.lit(f"{prefix}-"), F.format_string("%06d", number)).alias("entity_id"))
+    numbered = row_numbers(groups, rank, F.col("cluster"))
+    name = F.concat(F.lit(f"{prefix}-"), F.format_string("%06d", "number"))
+    return numbered.select("cluster", "category", "members", name.alias("entity_id"))
 
 
 # ---- golden records -----------------------------------------------------------------------

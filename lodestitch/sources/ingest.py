@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestitch.functions import rules as R
 from lodestitch.functions.text import stripped
+from lodestitch.plans.numbering import row_numbers
 
 # Accepted header names.
 ALIASES = {
@@ -106,8 +107,8 @@ def split_known(rows: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFra
 
 def numbered(rows: DataFrame, after: int) -> DataFrame:
     """New rows with ids after the last one, by source_org and local_code."""
-    order = Window.orderBy("source_org", "local_code")
-    return rows.withColumn("id", (F.row_number().over(order) + F.lit(after)).cast("long"))
+    out = row_numbers(rows, F.col("source_org"), F.col("local_code"), into="id")
+    return out.withColumn("id", (F.col("id") + F.lit(after)).cast("long"))
 
 
 def upsert(base: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
