@@ -25,12 +25,12 @@ NO_ID = 2**63 - 1
 
 def group_count(docs: DataFrame, groups: int | None) -> int:
     """How many groups: given, or by the session's shuffle width (a few MB a group when that fits the data)."""
-    return groups or max(64, 2 * shuffle_partitions(docs.sparkSession))
+    return groups or max(64, 4 * shuffle_partitions(docs.sparkSession))
 
 
 def bucket_count(groups: int) -> int:
     """How many buckets of keys the groups write to; each group sends a bucket one row at most."""
-    return max(32, groups // 2)
+    return max(32, groups // 8)
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ ANSWER = "g int, b int, level binary"
 def _add_up(table: pa.Table) -> pa.Table:
     f, n = unpacked(table, "f", "<u4"), unpacked(table, "n", "u1")
     sizes = np.array([len(x) for x in table.column("n").to_pylist()])
-    order = np.argsort(f, kind="stable")
+    order = np.argsort(f)
     ordered = f[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     totals = np.add.reduceat(n[order].astype(np.int64), starts)
@@ -99,6 +99,21 @@ def answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("b").applyInArrow(_add_up, ANSWER)
 
 
+def shared_among(keys: np.ndarray, ordered: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Whether each of ``keys`` is met in several places; ``level``: the answers for the sorted distinct keys."""
+    several = ordered[level > 1]
+    if not len(several):
+        return np.zeros(len(keys), bool)
+    shift = np.uint64(64 - max(16, int(len(several) * 16).bit_length()))
+    maybe = np.zeros(1 << (64 - int(shift)), bool)
+    maybe[several >> shift] = True
+    out = maybe[keys >> shift]
+    at = np.flatnonzero(out)
+    found = np.searchsorted(several, keys[at])
+    out[at] = several[np.minimum(found, len(several) - 1)] == keys[at]
+    return out
+
+
 def levels(answers: pa.Table) -> np.ndarray:
     """The answers of one group, in the order of its sorted keys."""
     return unpacked(in_order(answers), "level", "u1")

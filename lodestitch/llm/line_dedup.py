@@ -13,8 +13,8 @@ that one is removed itself.
   has too; most lines end here.
 * The keys that are left are joined. Lines meet on a key when they lack the same place (a
   replaced word) or when one of them is whole (an insertion). For each key and place a group of
-  documents sends its earliest line only, with its words, so that a line with thousands of
-  variants costs an entry per group and makes no pairs.
+  documents sends its earliest line only, with its words once per key, so that a line with
+  thousands of variants costs an entry per group and makes no pairs.
 * Each line gets the earliest line of its keys back, the edit distance of the two is verified
   on their words, and the line goes if that one is earlier.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.llm import _sharing as sharing
-from lodestitch.llm._hashing import _power, BYTE, LOWER, scramble, span_names, text_bytes, word_spans
+from lodestitch.llm._hashing import _power, BYTE, LOWER, portions, scramble, span_names, text_bytes, word_spans
 
 WHOLE = np.int32(-1)
 RESULT = "doc_id long, text string, n_lines long, removed_lines array<int>"
@@ -57,11 +57,21 @@ class Lines(NamedTuple):
     per_text: np.ndarray  # lines of each text
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and name of every word."""
+    starts, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, b in portions(offsets, 1 << 18):
+        part = data[offsets[a] : offsets[b]]
+        first, past = word_spans(part, offsets[a : b + 1] - offsets[a])
+        starts.append(first + offsets[a])
+        names.append(span_names(BYTE[LOWER[part]], first, past))
+    return np.concatenate(starts), np.concatenate(names)
+
+
 def _lines(texts: pa.Table, least_words: int) -> Lines:
     ids = texts.column("doc_id").to_numpy()
     data, offsets = text_bytes(texts.column("text"))
-    starts, ends = word_spans(data, offsets)
-    words = span_names(BYTE[LOWER[data]], starts, ends)
+    starts, words = _words(data, offsets)
     breaks = np.flatnonzero(data == 10) + 1
     full = np.flatnonzero(offsets[1:] > offsets[:-1])
     heads = np.r_[offsets[:-1][full], breaks]
@@ -153,8 +163,11 @@ def _ask_variants(n_buckets: int, least_words: int, edit_words: int):
             return sharing.ask(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, n_buckets)
         lines = _lines(texts, least_words)
         _, at, _, _, _, speaks = _spoken(lines, places)
-        key, _, _ = _variants(lines, at[speaks], edit_words)
-        keys, counts = np.unique(key, return_counts=True)
+        key, line, place = _variants(lines, at[speaks], edit_words)
+        # Leaving out either of two equal neighbours gives the same key: a line counts once.
+        word = lines.first[line] + np.maximum(place, 0)
+        again = (place > 0) & (lines.words[word] == lines.words[np.maximum(word - 1, 0)])
+        keys, counts = np.unique(key[~again], return_counts=True)
         return sharing.ask(keys, counts, _group_of(texts), n_buckets)
 
     return ask
@@ -169,9 +182,8 @@ def _meeting(texts: pa.Table, answers: pa.Table, least_words: int, edit_words: i
     lines = _lines(texts, least_words)
     spoken = _spoken(lines, _of_kind(answers, 0))
     key, line, place = _variants(lines, spoken[1][spoken[5]], edit_words)
-    keys = np.unique(key)
-    if len(keys):
-        shared = sharing.levels(_of_kind(answers, 1))[np.searchsorted(keys, key)] > 1
+    if len(key):
+        shared = sharing.shared_among(key, np.unique(key), sharing.levels(_of_kind(answers, 1)))
         key, line, place = key[shared], line[shared], place[shared]
     order = np.lexsort((lines.number[line], lines.doc[line], place, key))
     key, line, place = key[order], line[order], place[order]
@@ -183,26 +195,43 @@ def _word_lists(lines: Lines, which: np.ndarray) -> list[bytes]:
     return [lines.words[a : a + n].tobytes() for a, n in zip(lines.first[which].tolist(), lines.count[which].tolist(), strict=True)]
 
 
+SENT = "b int, g int, k long, j binary, d long, l int, w binary"
+PARTNERS = "g int, k long, j binary, pd long, pl int, w binary"
+
+
 def _send_lines(n_buckets: int, least_words: int, edit_words: int):
-    kinds = [("b", pa.int32()), ("g", pa.int32()), ("k", pa.int64()), ("j", pa.int32()), ("d", pa.int64()), ("l", pa.int32()), ("w", pa.binary())]
-    schema = pa.schema(kinds)
+    """One row per key and line, with the line's words once and all places at which it is the group's earliest."""
 
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(texts):
-            return schema.empty_table()
         lines, _, key, line, place, new = _meeting(texts, answers, least_words, edit_words)
         key, line, place = key[new], line[new], place[new]
+        order = np.lexsort((place, line, key))
+        key, line, place = key[order], line[order], place[order].astype("<i4")
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]) if len(key) else np.zeros(0, np.int64)
+        places = sharing.packed({"j": place}, np.r_[starts, len(key)])["j"]
+        key, line = key[starts], line[starts]
         b = (((key >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
-        g = np.full(len(key), _group_of(texts), np.int32)
-        columns = [b, g, key.view(np.int64), place.astype(np.int32), lines.doc[line], lines.number[line].astype(np.int32), _word_lists(lines, line)]
-        return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema)
+        return pa.table(
+            {
+                "b": pa.array(b, pa.int32()),
+                "g": pa.array(np.full(len(key), _group_of(texts)), pa.int32()),
+                "k": pa.array(key.view(np.int64), pa.int64()),
+                "j": places,
+                "d": pa.array(lines.doc[line], pa.int64()),
+                "l": pa.array(lines.number[line], pa.int32()),
+                "w": pa.array(_word_lists(lines, line), pa.binary()),
+            }
+        )
 
     return send
 
 
 def _earliest_partner(table: pa.Table) -> pa.Table:
     """For each entry the earliest line it meets: same key and place, or the same key and one of the two whole."""
-    k, j, d, n = (table.column(c).to_numpy() for c in ("k", "j", "d", "l"))
+    sizes = np.array([len(x) // 4 for x in table.column("j").to_pylist()])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    j = sharing.unpacked(table, "j", "<i4")
+    k, d, n = (table.column(c).to_numpy()[row] for c in ("k", "d", "l"))
     order = np.lexsort((n, d, j, k))
     ks, js = k[order], j[order]
     new_key = np.r_[True, ks[1:] != ks[:-1]]
@@ -217,17 +246,20 @@ def _earliest_partner(table: pa.Table) -> pa.Table:
     has_whole = j[whole_first] == WHOLE
     same, whole = heads[head_of], whole_first[key_of]
     whole_earlier = has_whole[key_of] & ((d[whole] < d[same]) | ((d[whole] == d[same]) & (n[whole] < n[same])))
-    best = np.where(js == WHOLE, over_all[key_of], np.where(whole_earlier, whole, same))
     source = np.empty(len(k), np.int64)
-    source[order] = best
+    source[order] = np.where(js == WHOLE, over_all[key_of], np.where(whole_earlier, whole, same))
     earlier = (d[source] < d) | ((d[source] == d) & (n[source] < n))
     # A group's other lines of this key and place may come later than its own earliest one.
-    source = np.where(earlier, source, np.arange(len(k)))
-    take = pa.array(source)
+    source = row[np.where(earlier, source, np.arange(len(k)))]
+    order = np.lexsort((j, source, row))
+    row, source, j = row[order], source[order], j[order]
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (source[1:] != source[:-1])])
+    own, other = pa.array(row[starts]), pa.array(source[starts])
     return pa.table(
         {
-            "g": table.column("g"), "k": table.column("k"), "j": table.column("j"),
-            "pd": table.column("d").take(take), "pl": table.column("l").take(take), "w": table.column("w").take(take),
+            "g": table.column("g").take(own), "k": table.column("k").take(own),
+            "j": sharing.packed({"j": j}, np.r_[starts, len(j)])["j"],
+            "pd": table.column("d").take(other), "pl": table.column("l").take(other), "w": table.column("w").take(other),
         }
     )
 
@@ -254,13 +286,15 @@ def _rewrite(least_words: int, edit_words: int, carried: int):
             gone = (doc[place] < lines.doc) | ((doc[place] == lines.doc) & (number[place] < lines.number))
             near = np.zeros(len(at), bool)
             partners = answers.filter(pc.equal(answers.column("kind"), 2))
+            columns = (partners.column(c).to_pylist() for c in ("k", "j", "pd", "pl", "w"))
             found = {
                 (k, j): (d, n, w)
-                for k, j, d, n, w in zip(*(partners.column(c).to_pylist() for c in ("k", "j", "pd", "pl", "w")), strict=True)
+                for k, places, d, n, w in zip(*columns, strict=True)
+                for j in np.frombuffer(places, "<i4").tolist()
             }
             for k, j, x in zip(key.view(np.int64).tolist(), missing.tolist(), line.tolist(), strict=True):
                 d, n, w = found[k, j]
-                if (d, n) < (lines.doc[x], lines.number[x]) and within_one_edit(
+                if not near[place[x]] and (d, n) < (lines.doc[x], lines.number[x]) and within_one_edit(
                     np.frombuffer(w, "<u8"), lines.words[lines.first[x] : lines.first[x] + lines.count[x]]
                 ):
                     near[place[x]] = True
@@ -289,7 +323,7 @@ def _tagged(df: DataFrame, kind: int) -> DataFrame:
     """All answers in one shape; what an answer does not have is null."""
     shape = {
         "g": "int", "b": "int", "level": "binary", "d": "binary", "l": "binary",
-        "k": "long", "j": "int", "pd": "long", "pl": "int", "w": "binary",
+        "k": "long", "j": "binary", "pd": "long", "pl": "int", "w": "binary",
     }
     cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()]
     return df.select(F.lit(kind).alias("kind"), *cols)
@@ -318,9 +352,9 @@ def remove_near_lines(
     asked = texts.cogroup(places.groupBy("g")).applyInArrow(_ask_variants(n, least_words, edit_words), sharing.ASK)
     so_far = _tagged(places, 0).unionByName(_tagged(sharing.answered(asked), 1))
     sent = texts.cogroup(so_far.groupBy("g")).applyInArrow(
-        _send_lines(n, least_words, edit_words), "b int, g int, k long, j int, d long, l int, w binary"
+        _send_lines(n, least_words, edit_words), SENT
     )
-    partners = sent.groupBy("b").applyInArrow(_earliest_partner, "g int, k long, j int, pd long, pl int, w binary")
+    partners = sent.groupBy("b").applyInArrow(_earliest_partner, PARTNERS)
     answers = so_far.unionByName(_tagged(partners, 2))
     types = "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     out = texts.cogroup(answers.groupBy("g")).applyInArrow(_rewrite(least_words, edit_words, len(carry)), RESULT + types)

@@ -139,8 +139,7 @@ def _round0(n_buckets: int):
 def _shared_classes(runs: Runs, ids: np.ndarray, answers: pa.Table):
     """Runs in shared buckets; their classes (bucket, refined) sorted, each run's class, each class's least id."""
     keys = np.unique(runs.bucket)
-    level = sharing.levels(answers)
-    shared = level[np.searchsorted(keys, runs.bucket)] > 1 if len(keys) else np.zeros(0, bool)
+    shared = sharing.shared_among(runs.bucket, keys, sharing.levels(answers))
     runs = Runs(*(x[shared] for x in runs))
     pair = np.empty(len(runs.lo), dtype=[("bucket", "<u8"), ("refined", "<u8")])
     pair["bucket"], pair["refined"] = runs.bucket, runs.refined
