@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.llm import _sharing as sharing
-from lodestitch.llm._hashing import _power, BYTE, LOWER, portions, scramble, span_names, text_bytes, word_spans
+from lodestitch.llm._hashing import _power, BYTE, LOWER, distinct, portions, scramble, span_names, text_bytes, word_spans
 
 WHOLE = np.int32(-1)
 RESULT = "doc_id long, text string, n_lines long, removed_lines array<int>"
@@ -183,7 +183,7 @@ def _meeting(texts: pa.Table, answers: pa.Table, least_words: int, edit_words: i
     spoken = _spoken(lines, _of_kind(answers, 0))
     key, line, place = _variants(lines, spoken[1][spoken[5]], edit_words)
     if len(key):
-        shared = sharing.shared_among(key, np.unique(key), sharing.levels(_of_kind(answers, 1)))
+        shared = sharing.shared_among(key, distinct(key), sharing.levels(_of_kind(answers, 1)))
         key, line, place = key[shared], line[shared], place[shared]
     order = np.lexsort((lines.number[line], lines.doc[line], place, key))
     key, line, place = key[order], line[order], place[order]
