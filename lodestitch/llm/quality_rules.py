@@ -95,7 +95,7 @@ def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str, wh
         _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("x"),
         *row,
     )
-    return counted.select(
+    out = counted.select(
         "doc_id",
         "stratum",
         F.col("w.n").cast("long").alias("n_words"),
@@ -106,6 +106,8 @@ def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str, wh
         F.col("w.r").cast("long").alias("n_repeat_words"),
         *["row"][: len(row)],
     )
+    # A filter on the counts would be pushed into the scan and count each text again; a generator holds it back.
+    return out.select(F.inline(F.array(F.struct(*out.columns)))) if whole_rows else out
 
 
 def base_failed() -> Column:
