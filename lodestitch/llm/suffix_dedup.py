@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.llm import _sharing as sharing
-from lodestitch.llm._hashing import BYTE, U, join, portions, quick_join, scramble, text_bytes
+from lodestitch.llm._hashing import BYTE, U, distinct, join, portions, quick_join, scramble, text_bytes
 
 #: Bytes of an initial bucket; a window has twice as many.
 Q = 25
@@ -138,7 +138,7 @@ def _round0(n_buckets: int):
 
 def _shared_classes(runs: Runs, ids: np.ndarray, answers: pa.Table):
     """Runs in shared buckets; their classes (bucket, refined) sorted, each run's class, each class's least id."""
-    keys = np.unique(runs.bucket)
+    keys = distinct(runs.bucket)
     shared = sharing.shared_among(runs.bucket, keys, sharing.levels(answers))
     runs = Runs(*(x[shared] for x in runs))
     pair = np.empty(len(runs.lo), dtype=[("bucket", "<u8"), ("refined", "<u8")])
