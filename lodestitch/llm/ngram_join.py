@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.llm import _sharing as sharing
-from lodestitch.llm._hashing import BYTE, LOWER, U, join, portions, scramble, span_names, text_bytes, word_spans
+from lodestitch.llm._hashing import BYTE, LOWER, U, distinct, join, portions, scramble, span_names, text_bytes, word_spans
 from lodestitch.operators.graph import connected_components
 from lodestitch.plans.materialize import materialize, shuffle_partitions
 
@@ -112,7 +112,7 @@ def _prefixes(width: int, percent: int):
         if not len(texts):
             return schema.empty_table()
         ids, row, name, n, s1, s2, first = _classes(texts, width)
-        keys = np.unique(name[first[row]])
+        keys = distinct(name[first[row]])
         level = np.zeros(len(name), np.uint8)
         if len(keys):
             level = sharing.levels(answers)[np.searchsorted(keys, name)]
