@@ -19,6 +19,8 @@ from lodestitch.sources.tables import table
 
 #: Near-duplicate documents: word shingles of this width, and this Jaccard similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: What a text with words has: anything but the white space between them.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier line go; a document that is left without text goes with them."""
+    """Lines near an earlier line go, short ones when equal; a document that is left without words goes with them."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = remove_near_lines(docs, carry=others).where("not (size(removed_lines) > 0 and trim(text) = '')")
+    # Lines of all lengths take part: a copy would else live on as its short lines.
+    kept = remove_near_lines(docs, least_words=1, carry=others)
+    kept = kept.where((F.size("removed_lines") == 0) | F.col("text").isNull() | F.col("text").rlike(WORD))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -80,3 +80,12 @@ def test_stages_keep_the_columns(spark, tables):
         out = stage(spark, docs, tables)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert stage(spark, docs.limit(0), tables).count() == 0
+
+
+def test_a_copy_with_short_and_blank_lines_leaves_nothing(spark, tables):
+    long = "the quiet harbour kept its old lamps burning through the winter night"
+    text = f"A Title\n\n{long}\n \t\nPart two\n\n{long} again and again"
+    rows = [(1, text), (2, text), (3, f"Its own title\n{long}"), (4, "\n\n"), (5, None), (6, f"\n\n{long}\n\r\n")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, tables).collect()}
+    assert left == {1: text, 3: "Its own title", 4: "\n\n", 5: None}
