@@ -111,7 +111,8 @@ def link_quotes(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), text.alias("text")
     ).withColumn("msg", F.xxhash64("role", "text"))
     quotes = base.where(F.col("text").rlike(r"(?m)" + MARKS))
-    lines = materialize(_lines(base.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")))
+    # Repeated rows share their place, so each message is split once; the results join back to all rows.
+    lines = materialize(_lines(base.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").distinct()))
     passages = _passages(lines)
     keys = materialize(_keys(passages))
     originals = (

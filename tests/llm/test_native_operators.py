@@ -169,6 +169,13 @@ def test_a_long_chain_of_replies(spark):
     assert found[39].depth == 39 and found[39].reply_path == list(range(40)) and found[39].content == "answer 39"
 
 
+def test_a_repeated_message_that_quotes(spark):
+    rows = [(1, 0, "a", "First thought.\nSecond thought."), (1, 1, "b", "other"), (1, 2, "b", "X wrote:\n> First thought.\n> Second thought.\nI agree.\nBye.")]
+    once = [r for r in link_quotes(spark.createDataFrame(rows, TALK)).collect() if r.turn == 2]
+    twice = [r for r in link_quotes(spark.createDataFrame(rows + rows, TALK)).collect() if r.turn == 2]
+    assert twice == once * 2 and once[0].parent_turn == 0 and once[0].n_quotes == 1 and once[0].content == "I agree.\nBye."
+
+
 # ---- shards -------------------------------------------------------------------------------
 
 
