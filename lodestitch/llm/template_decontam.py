@@ -7,6 +7,8 @@ mostly empty templates match nothing. Matches of a document and an item on one d
 distance of their places) belong together, and their slots must be consistent: wherever the
 item repeats a value, the document must repeat its own value for it. A document is
 contaminated by an item when consistent windows cover ``least_cover`` of the item's windows.
+An item of which no window keeps that many has the shortest longer windows that do; one with
+fewer plain words altogether is a single window that must match with the values in its slots.
 
 * number: starts with a digit, or is a number word; name: a capitalised word that does not open
   a sentence, or a run of them; unit: a unit word right after a number.
@@ -15,10 +17,11 @@ Scale: the texts do not shuffle. The hashes of the benchmark's windows filter th
 windows inside the scan while they number at most ``most_filter_windows`` (8 bytes each, counted
 first); with a larger benchmark all windows go to the join instead. Only matches are joined, by
 hash, and counted per document and item; a passage that a third of all documents share costs
-its windows per document and no pairs of documents.
+its windows per document and no pairs of documents. Each further window size of the items costs
+one more pass over the documents' tokens.
 
-Defined results: a null or empty text is clean; items of fewer than ``least_literals`` plain
-words are ignored, and an item shorter than a window is one window of its own length; equal
+Defined results: a null or empty text is clean; items of fewer than ``least_literals`` tokens
+are ignored, and an item shorter than a window is one window of its own length; equal
 rows have equal results; a null id is kept; empty tables give an empty result, or all clean;
 columns other than the named ones are not read.
 """
@@ -118,18 +121,33 @@ def template(data: np.ndarray, offsets: np.ndarray) -> Template:
 
 
 def windows(t: Template, size: int, least_literals: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, token at which it starts, place in its text) of the windows with enough plain words."""
+    """(hash, token at which it starts, place in its text) of the windows with enough plain words.
+
+    A negative ``size`` is of windows that count with what fills their slots, however few words are plain.
+    """
+    exact, size = size < 0, abs(size)
     n = len(t.row) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name = t.name[:n]
-    for k in range(1, size):
-        name = join(name, t.name[k : n + k])
     plain = np.r_[0, np.cumsum(t.value == 0)]
-    good = (t.row[:n] == t.row[size - 1 :]) & (plain[size:] - plain[:n] >= min(least_literals, size))
+    good = (t.row[:n] == t.row[size - 1 :]) & (exact | (plain[size:] - plain[:n] >= min(least_literals, size)))
     at = np.flatnonzero(good)
+    name = span_names(np.where(t.value == 0, t.name, join(t.name, t.value)) if exact else t.name, at, at + size)
     begin = np.searchsorted(t.row, np.arange(texts))
-    return name[at] ^ U(size), at, at - begin[t.row[at]]
+    return name ^ U(2 * size + exact), at, at - begin[t.row[at]]
+
+
+def _item_sizes(t: Template, size: int, least_literals: int, items: int) -> np.ndarray:
+    """The window size of each item, as ``windows`` takes it; 0: too short to be looked for."""
+    length = np.bincount(t.row, minlength=items)
+    words = np.flatnonzero(t.value == 0)
+    need = min(least_literals, size)
+    first, last = words[: max(len(words) - need + 1, 0)], words[need - 1 :]
+    whole = t.row[first] == t.row[last]
+    span = np.full(items, len(t.row) + 1)  # shortest that holds enough plain words
+    np.minimum.at(span, t.row[first[whole]], (last - first + 1)[whole])
+    some = np.minimum(length, np.maximum(span, size))
+    return np.where(span <= length, some, np.where(length >= least_literals, -length, 0))
 
 
 def _slots(t: Template, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -143,13 +161,13 @@ def _item_windows(size: int, least_literals: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             t, ids = template(data, offsets), batch.column("item_id")
-            length = np.bincount(t.row, minlength=len(ids))
-            for w in [size, *range(least_literals, size)]:
+            own = _item_sizes(t, size, least_literals, len(ids))
+            for w in np.unique(own[own != 0]).tolist():
                 h, at, place = windows(t, w, least_literals, len(ids))
-                mine = (length[t.row[at]] == w) | ((w == size) & (length[t.row[at]] > w))
+                mine = own[t.row[at]] == w
                 h, at, place = h[mine], at[mine], place[mine]
                 if len(h):
-                    columns = [h.view(np.int64), ids.take(pa.array(t.row[at])), place, np.full(len(h), w), _slots(t, at, w)]
+                    columns = [h.view(np.int64), ids.take(pa.array(t.row[at])), place, np.full(len(h), w), _slots(t, at, abs(w))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -169,7 +187,7 @@ def _document_windows(sizes: list[int], least_literals: int, wanted):
                         hit = _in(h, wanted.value)
                         h, at, place = h[hit], at[hit], place[hit]
                     if len(h):
-                        columns = [batch.column("uid").take(pa.array(a + t.row[at])), h.view(np.int64), place, _slots(t, at, w)]
+                        columns = [batch.column("uid").take(pa.array(a + t.row[at])), h.view(np.int64), place, _slots(t, at, abs(w))]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
                         )

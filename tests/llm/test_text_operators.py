@@ -120,6 +120,15 @@ def test_reparameterised_questions_are_found(spark, most):
     assert len(found) == len(DOCS)
 
 
+def test_number_heavy_items_are_found(spark):
+    heavy, bare = "add 3 5 7 9 11 then 2 4 6 8 10 subtract 1 3 5 7 9 give 4 8", "12 17 29 + 35 = 93"
+    items = spark.createDataFrame([(1, heavy), (2, bare), (3, "7 8 9")], "item_id long, text string")
+    other = "add 4 6 8 1 12 then 3 5 7 9 13 subtract 2 4 6 8 1 give 5 9"
+    rows = [(1, f"Intro. x {heavy} y"), (2, f"Intro. x {other} y"), (3, f"so {bare} here"), (4, "so 12 17 29 + 35 = 94 here"), (5, other.replace("then", "and")), (6, "7 8 9")]
+    found = {r.doc_id: r["items"] for r in find_contamination(spark.createDataFrame(rows, DOC), items).collect()}
+    assert found == {1: [1], 2: [1], 3: [2], 4: [], 5: [], 6: []}
+
+
 def test_empty_tables(spark):
     docs, none = spark.createDataFrame(DOCS, DOC), spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in find_contamination(docs, none).collect())
