@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return keep_good_documents(docs, table(spark, sf_dir, "labels"))
+    return keep_good_documents(docs, table(spark, sf_dir, "labels"), joint=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

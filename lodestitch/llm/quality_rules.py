@@ -8,7 +8,9 @@ documents would be lost" at level ``delta / (strata * rules)`` (fixed-sequence t
 cutoffs, Bonferroni over strata and rules). That is the same as an exact (Clopper-Pearson)
 upper bound of the false-rejection rate lying below ``alpha / rules``. So with probability
 ``1 - delta`` no stratum loses more than ``alpha`` of its good documents to the rules. A stratum
-with too few labels gets no cutoff and keeps everything that passes the base rules.
+with too few labels gets no cutoff and keeps everything that passes the base rules. With ``joint``
+all rules tighten together along one sequence, tested against the whole ``alpha`` at level
+``delta / strata``: with four strata and no false rejection 217 good labels do, not 1,151.
 
 Scale: the texts never shuffle. Only the counts (one small row a document) are written to the
 shared checkpoint folder and joined with the labels; the cutoff table has one row per stratum
@@ -23,6 +25,8 @@ an empty table gives an empty result; columns other than the named ones are not
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,10 +181,36 @@ def risk_controlled_cutoffs(holdout: DataFrame, *, alpha: float, delta: float) -
     )
 
 
-def _cutoff_table(measured: DataFrame, labels: DataFrame, label_id: str, good_col: str, alpha: float, delta: float) -> DataFrame:
+def joint_cutoffs(holdout: DataFrame, *, alpha: float, delta: float) -> DataFrame:
+    """stratum and one column of cutoffs per rule: the strictest joint vector that qualifies.
+
+    All rules tighten together along one fixed sequence of vectors, so each is tested against the
+    whole ``alpha`` at level ``delta / strata``: the union of the rules is what is counted.
+    """
+    metrics, steps = _metrics(), max(map(len, CUTOFFS.values()))
+    vectors = [{r: cuts[j * (len(cuts) - 1) // (steps - 1)] for r, cuts in CUTOFFS.items()} for j in range(steps)]
+    rejected = [reduce(or_, (metrics[r] > c for r, c in v.items())) for v in vectors]
+    per_stratum = holdout.groupBy("stratum").agg(
+        F.count("*").alias("n_good"), *[F.count_if(x).alias(f"k_{j}") for j, x in enumerate(rejected)]
+    )
+    strata = per_stratum.agg(F.count("*").alias("s")).scalar()
+    tried = F.array(
+        *[F.struct(F.lit(j).alias("step"), F.col(f"k_{j}").alias("k"), *[F.lit(c).alias(r) for r, c in v.items()]) for j, v in enumerate(vectors)]
+    )
+    tests = per_stratum.select("stratum", "n_good", F.inline(tried))
+    # A later vector rejects all that an earlier one does, so no failed test lies before one that passes.
+    passed = tests.where(_binomial_cdf(F.col("k"), F.col("n_good"), alpha) <= F.lit(delta) / strata)
+    return passed.groupBy("stratum").agg(*[F.max_by(r, "step").alias(r) for r in CUTOFFS])
+
+
+def _cutoff_table(
+    measured: DataFrame, labels: DataFrame, label_id: str, good_col: str, alpha: float, delta: float, joint: bool
+) -> DataFrame:
     """stratum and one column of cutoffs per rule."""
     good = labels.where((F.col(good_col) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id"))
     holdout = measured.where(~base_failed()).join(good, "doc_id")
+    if joint:
+        return materialize(joint_cutoffs(holdout, alpha=alpha, delta=delta))
     cutoffs = risk_controlled_cutoffs(holdout, alpha=alpha, delta=delta)
     return materialize(cutoffs.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff")))
 
@@ -206,15 +236,17 @@ def quality_rules(
     alpha: float = 0.02,
     delta: float = 0.05,
     most_strata: int = 10_000,
+    joint: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules.
 
     ``alpha``: share of a stratum's good documents that the rules may reject at most; ``delta``:
     probability that this fails in any stratum. The cutoff table is broadcast only while the
-    number of strata is at most ``most_strata``; beyond, it is joined by its key.
+    number of strata is at most ``most_strata``; beyond, it is joined by its key. ``joint``: one
+    sequence of cutoffs of all rules together, which needs far fewer labels a stratum.
     """
     measured = materialize(measure(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col))
-    cutoffs = _cutoff_table(measured, labels, label_id, good_col, alpha, delta)
+    cutoffs = _cutoff_table(measured, labels, label_id, good_col, alpha, delta, joint)
     return _judged(measured, cutoffs, most_strata).select(
         "doc_id",
         "n_words",
@@ -240,6 +272,7 @@ def keep_good_documents(
     alpha: float = 0.02,
     delta: float = 0.05,
     most_strata: int = 10_000,
+    joint: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep.
 
@@ -249,5 +282,5 @@ def keep_good_documents(
     at = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
     labelled = labels.where(F.col(good_col) == 1).select(F.col(label_id).alias("labelled_id"))
     holdout = docs.join(labelled, docs[id_col] == F.col("labelled_id"), "left_semi")
-    cutoffs = _cutoff_table(measure(holdout, **at), labels, label_id, good_col, alpha, delta)
+    cutoffs = _cutoff_table(measure(holdout, **at), labels, label_id, good_col, alpha, delta, joint)
     return _judged(measure(docs, **at, whole_rows=True), cutoffs, most_strata).where("kept").select("row.*")

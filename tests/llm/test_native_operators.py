@@ -129,6 +129,21 @@ def test_cutoffs_are_the_strictest_that_the_exact_test_allows(spark):
     assert wide == same
 
 
+def test_joint_cutoffs_need_few_labels(spark):
+    rng = random.Random(8)
+    text = lambda end: " ".join(f"w{rng.randrange(10**6)}{end}" for _ in range(25))
+    rows = [(i, text(""), "abcd"[i % 4]) for i in range(900)] + [(900 + i, text("####"), "abcd"[i % 4]) for i in range(8)]
+    rows += [(950 + i, text(""), "e") for i in range(5)] + [(960, text("####"), "e")]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(i, int(i < 900)) for i in range(908)], "doc_id long, quality int")
+    assert Q.keep_good_documents(df, labels).count() == len(rows)
+    kept = Q.keep_good_documents(df, labels, joint=True)
+    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - set(range(900, 908))
+    assert Q.quality_rules(df, labels, joint=True).where("kept").count() == kept.count()
+    few = labels.where("doc_id < 800 or doc_id >= 900")
+    assert Q.keep_good_documents(df, few, joint=True).count() == len(rows)
+
+
 def test_quality_of_nothing(spark):
     df, labels = spark.createDataFrame([], DOC), spark.createDataFrame([], "doc_id long, quality int")
     assert Q.quality_rules(df, labels).collect() == [] and Q.keep_good_documents(df, labels).columns == df.columns
