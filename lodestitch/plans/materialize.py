@@ -12,6 +12,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Only an unconfigured local session (tests) falls back to a folder of its own.
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestitch-checkpoint-"))
 
@@ -32,6 +34,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it as Parquet below the shared checkpoint folder; readers take only the columns they need."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width; operators derive their own group counts from it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
