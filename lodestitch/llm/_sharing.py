@@ -1,8 +1,8 @@
 """Which keys of a corpus occur in more than one place, without a row per key.
 
-A corpus is dealt into groups of a few MB by a hash of the document id. A group names its keys
-(64-bit), removes its own repeats, and sends each bucket of keys one packed row of short
-fingerprints. A bucket adds up the fingerprints over all groups and answers every group with
+A corpus is dealt into groups of a few MB by a hash of id and text; how many is found from the
+bytes of all texts. A group names its keys (64-bit), removes its own repeats, and sends each
+bucket of keys one packed row of short fingerprints. A bucket adds up the fingerprints over all groups and answers every group with
 one byte per key, in the order sent. So each key costs about five bytes of shuffle there and
 one back, a key that occurs in every document costs one entry per group, and the group side is
 the same shuffle of the texts each time (Spark reuses the exchange).
@@ -18,25 +18,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestitch.plans.materialize import shuffle_partitions
-
 NO_ID = 2**63 - 1
 
+#: Bytes of text of a group at first, and how many groups there are before groups grow instead, up to the last.
+GROUP_BYTES, MANY_GROUPS, MOST_GROUP_BYTES = 4 << 20, 4096, 32 << 20
+#: Bytes of text whose keys a bucket holds.
+BUCKET_BYTES = 16 << 20
+FEWEST = 16
 
-def group_count(docs: DataFrame, groups: int | None) -> int:
-    """How many groups: given, or by the session's shuffle width (a few MB a group when that fits the data)."""
-    return groups or max(64, 4 * shuffle_partitions(docs.sparkSession))
 
+def layout(docs: DataFrame, text_col: str, groups: int | None = None) -> tuple[int, int]:
+    """How many groups of documents and how many buckets of keys: by the bytes of all texts, counted first.
 
-def bucket_count(groups: int) -> int:
-    """How many buckets of keys the groups write to; each group sends a bucket one row at most."""
-    return max(32, groups // 8)
+    A task holds one group or one bucket at a time, so its memory does not depend on the size of
+    the corpus or on the session's shuffle width. A group sends a bucket one row at most and only
+    for keys that it has, so there are never more packed rows than keys.
+    """
+    if groups:
+        return groups, max(8, groups // 2)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    size = min(max(GROUP_BYTES, total // MANY_GROUPS), MOST_GROUP_BYTES)
+    return max(FEWEST, -(-total // size)), max(FEWEST, -(-total // BUCKET_BYTES))
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """g, doc_id, text, carry_0 ... A null id becomes the largest number, so that it never comes first."""
+    """g, doc_id, text, carry_0 ... A null id becomes the largest number, so that it never comes first.
+
+    An id that very many rows have is spread by their texts.
+    """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    spread = F.when(key == NO_ID, F.xxhash64(text_col)).otherwise(F.xxhash64(key))
+    spread = F.xxhash64(key, F.col(text_col).cast("string"))
     return docs.select(
         F.pmod(spread, F.lit(groups)).cast("int").alias("g"),
         key.alias("doc_id"),

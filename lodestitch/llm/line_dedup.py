@@ -344,8 +344,7 @@ def remove_near_lines(
     ``carry``: further columns of the input to return with each row; they may not be called as
     one of the four.
     """
-    g = sharing.group_count(docs, groups)
-    n = sharing.bucket_count(g)
+    g, n = sharing.layout(docs, text_col, groups)
     texts = sharing.dealt(docs, id_col, text_col, g, carry).groupBy("g")
     places = texts.applyInArrow(_ask_places(n, least_words), "b int, g int, k binary, d binary, l binary").groupBy("b")
     places = places.applyInArrow(_settle_places, "g int, b int, d binary, l binary")
