@@ -94,8 +94,10 @@ inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b O
 links AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
-comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.id = w.doc_id
+comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a AS doc_id, count(*) AS links FROM both_ways GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.id = w.doc_id LEFT JOIN degree USING (doc_id)
 """
 
 OP7 = f"""

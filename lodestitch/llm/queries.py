@@ -55,7 +55,7 @@ def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return similar_components(table(spark, sf_dir, "documents"), width=3, percent=90, links=True)
 
 
 def op6_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestitch.llm.line_dedup import remove_near_lines
-from lodestitch.llm.ngram_join import similar_components
-from lodestitch.llm.suffix_dedup import remove_repeats
+from lodestitch.llm.ngram_join import similar_components, similar_pairs
+from lodestitch.llm.suffix_dedup import bucket_pointers, remove_repeats
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOC = "doc_id long, text string"
@@ -42,9 +44,9 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-def found_repeats(df):
+def found_repeats(df, **how):
     n = F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (a, b) -> a + b)")
-    rows = remove_repeats(df, groups=5).select("doc_id", "n_bytes", n, F.size("starts"), F.sha2("kept", 256)).collect()
+    rows = remove_repeats(df, groups=5, **how).select("doc_id", "n_bytes", n, F.size("starts"), F.sha2("kept", 256)).collect()
     return sorted(tuple(r) for r in rows)
 
 
@@ -77,6 +79,33 @@ def test_repeats_equal_brute_force(spark):
     assert found_repeats(spark.createDataFrame(rows, DOC)) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("crowd", [1, 16, 32])
+def test_repeats_in_crowded_buckets(spark, crowd):
+    # A passage between other words each time: its bucket falls into as many parts as there are documents.
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    passage = "a short passage that very many documents share word by word"
+    rows = [(i, f"{word()} {word()} {passage[: rng.randint(28, 59)]} {word()} {word()}") for i in range(150)]
+    rows += repeat_rows()
+    assert found_repeats(spark.createDataFrame(rows, DOC), crowd=crowd) == brute_repeats(rows)
+
+
+def test_bucket_pointers_are_equal_for_equal_windows_only():
+    rng = random.Random(1)
+    base = bytes(rng.choice(b"ab") for _ in range(400))
+    entries = []
+    for _ in range(300):
+        a = rng.randint(0, 300)
+        e = bytearray(base[a : a + 49 + rng.randint(1, 26)])
+        if rng.random() < 0.5:
+            e[rng.randrange(len(e))] = rng.choice(b"abc")
+        entries.append(b"a" * len(e) if rng.random() < 0.1 else bytes(e))
+    count = np.array([len(e) - 49 for e in entries])
+    found = bucket_pointers(np.frombuffer(b"".join(entries), np.uint8), np.cumsum(count + 49) - count - 49, count)
+    windows = [e[j : j + 50] for e in entries for j in range(len(e) - 49)]
+    assert len(set(zip(found.tolist(), windows, strict=True))) == len(set(found.tolist())) == len(set(windows))
+
+
 def test_repeats_of_a_text_longer_than_a_piece(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300_000))
@@ -96,11 +125,22 @@ def test_repeats_edges(spark):
 # ---- n-gram join --------------------------------------------------------------------------
 
 
-def brute_components(rows, percent=90, width=3):
+def brute_links(rows, percent=90, width=3):
+    """Shingle sets of the rows and the places of linked rows."""
     sets = []
     for _, t in rows:
         w = words(t)
         sets.append({tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))} if w else set())
+    return sets, [
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a)
+        if (both := len(sets[a] & sets[b])) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+    ]
+
+
+def brute_components(rows, percent=90, width=3):
+    sets, links = brute_links(rows, percent, width)
     root = list(range(len(rows)))
 
     def find(x):
@@ -108,11 +148,8 @@ def brute_components(rows, percent=90, width=3):
             x = root[x]
         return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                root[find(a)] = find(b)
+    for a, b in links:
+        root[find(a)] = find(b)
     least = {}
     for k in range(len(rows)):
         r = find(k)
@@ -154,6 +191,31 @@ def test_components_with_wider_shingles(spark):
     assert sorted(tuple(r) for r in found) == brute_components(rows, 80, 5)
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 4000])
+def test_link_counts_and_pairs_equal_brute_force(spark, block_bytes):
+    rows = similar_rows()
+    _, links = brute_links(rows)
+    df = spark.createDataFrame(rows, DOC)
+    found = similar_components(df, groups=5, block_bytes=block_bytes, links=True).collect()
+    degree = Counter(i for pair in links for i in pair)
+    assert {r.doc_id: r.n_links for r in found} == {i: degree[i] for i in range(len(rows))}
+    pairs, members = similar_pairs(df, groups=5, block_bytes=block_bytes)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.class_id, []).append(r.doc_id)
+    listed = {(max(x, y), min(x, y)) for r in pairs.collect() for x in of[r.class_a] for y in of[r.class_b]}
+    listed |= {(max(x, y), min(x, y)) for m in of.values() for x in m for y in m if x != y}
+    assert listed == set(links)
+
+
+def test_equal_ids_lose_no_link(spark):
+    a, b = ([f"{c}{k}" for k in range(40)] for c in "ab")
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near(a)), (3, near(b)), (7, " ".join(a))]
+    found = similar_components(spark.createDataFrame(rows, DOC), groups=3, links=True).collect()
+    assert sorted(tuple(r) for r in found) == [(2, 38, 2, 2), (3, 38, 3, 1), (5, 38, 2, 2), (5, 38, 3, 1), (7, 38, 2, 2)]
+
+
 def test_components_edges(spark):
     assert similar_components(spark.createDataFrame([], DOC), groups=3).collect() == []
     rows = [(None, "a b c d"), (3, "a b c d"), (4, "A b c d"), (None, None), (5, " ")]
