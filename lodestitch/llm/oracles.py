@@ -104,7 +104,7 @@ OP7 = f"""
 WITH t AS (SELECT row_number() OVER () AS u, doc_id, text FROM documents),
 l AS (SELECT u, doc_id, no, line, {WORDS.format(text=f"translate(line, '{UPPER}', '{LOWER}')")} AS w FROM (
     SELECT u, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM t WHERE text <> '')),
-f AS (SELECT u, doc_id, no, w, array_to_string(w, ' ') AS k FROM l WHERE len(w) >= 5),
+f AS (SELECT u, doc_id, no, w, array_to_string(w, ' ') AS k FROM l WHERE len(w) >= 1),
 e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, no) = 1 AS first, min(doc_id * 1000000 + no) OVER (PARTITION BY k) AS pos FROM f),
 v AS (SELECT k AS line, e.pos, k AS key, -1 AS j FROM e WHERE first AND len(w) >= 7
   UNION ALL SELECT k, e.pos, array_to_string(list_concat(list_slice(w, 1, j), list_slice(w, j + 2, len(w))), ' '), j FROM e, LATERAL (SELECT unnest(range(0, len(w))) AS j) r WHERE first AND len(w) >= 8),
