@@ -2,9 +2,10 @@
 
 A line is a sequence of lower-cased words. Two lines are near when at most one word is
 replaced, inserted or deleted, provided the longer has ``edit_words`` words or more; shorter
-lines must be equal, and lines of fewer than ``least_words`` words are left alone. A line is
-removed when an earlier line (by document id, then line number) is near it, whether or not
-that one is removed itself.
+lines, down to a single word, must be equal (a line without words is no line and stays). A line
+is removed when an earlier line (by document id, then line number) is near it, whether or not
+that one is removed itself. The bound does not grow beyond one word: the variants within k
+deletions number as the k-th power of a line's words.
 
 * Equal lines first: for every distinct line the earliest place is found, and only that place
   speaks for the line from then on.
@@ -334,7 +335,7 @@ def remove_near_lines(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    least_words: int = 5,
+    least_words: int = 1,
     edit_words: int = 8,
     groups: int | None = None,
     carry: tuple[str, ...] = (),
