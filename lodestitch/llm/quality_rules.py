@@ -12,14 +12,17 @@ with too few labels gets no cutoff and keeps everything that passes the base rul
 all rules tighten together along one sequence, tested against the whole ``alpha`` at level
 ``delta / strata``: with four strata and no false rejection 217 good labels do, not 1,151.
 
-Scale: the texts never shuffle. Only the counts (one small row a document) are written to the
-shared checkpoint folder and joined with the labels; the cutoff table has one row per stratum
-and rule and its size is bounded by the number of strata, which is checked before broadcasting.
+Scale: each text is counted once, and the texts never shuffle. Only the counts (one small row a
+document) are joined with the labels; ``quality_rules`` keeps them in the shared checkpoint
+folder, ``keep_good_documents`` writes them there beside the rows and reads both again. The
+cutoff table has one row per stratum and rule and its size is bounded by the number of strata,
+which is checked before broadcasting.
 
 Defined results: a null or empty text has no words, all counts 0, and fails the base rules; a
-null stratum is the stratum ``""``; null labels are ignored and a repeated label counts each
-time; documents with equal ids are separate rows (each is joined with the labels of that id);
-an empty table gives an empty result; columns other than the named ones are not read.
+null stratum is the stratum ``""``; null labels are ignored; a document with several labels
+counts once, and as good only if all of them say so; documents with equal ids are separate rows
+(each is joined with the label of that id); an empty table gives an empty result; columns other
+than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestitch.plans.materialize import materialize
+from lodestitch.plans.materialize import materialize, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -110,8 +113,7 @@ def measure(docs: DataFrame, *, id_col: str, text_col: str, stratum_col: str, wh
         F.col("w.r").cast("long").alias("n_repeat_words"),
         *["row"][: len(row)],
     )
-    # A filter on the counts would be pushed into the scan and count each text again; a generator holds it back.
-    return out.select(F.inline(F.array(F.struct(*out.columns)))) if whole_rows else out
+    return out
 
 
 def base_failed() -> Column:
@@ -207,7 +209,14 @@ def _cutoff_table(
     measured: DataFrame, labels: DataFrame, label_id: str, good_col: str, alpha: float, delta: float, joint: bool
 ) -> DataFrame:
     """stratum and one column of cutoffs per rule."""
-    good = labels.where((F.col(good_col) == 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("doc_id"))
+    # The exact bound needs independent documents: one label each.
+    good = (
+        labels.where(F.col(good_col).isNotNull() & F.col(label_id).isNotNull())
+        .groupBy(F.col(label_id).alias("doc_id"))
+        .agg(F.min(good_col).alias("least"), F.max(good_col).alias("most"))
+        .where("least = 1 and most = 1")
+        .select("doc_id")
+    )
     holdout = measured.where(~base_failed()).join(good, "doc_id")
     if joint:
         return materialize(joint_cutoffs(holdout, alpha=alpha, delta=delta))
@@ -276,11 +285,10 @@ def keep_good_documents(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep.
 
-    Only the labelled documents are measured for the cutoffs; the rules then run inside the scan,
-    so no row is joined back to its text.
+    Every row is counted once and kept with its counts, as Parquet in the shared folder; the
+    cutoffs read the counts from there, and then the rules read the rows.
     """
     at = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
-    labelled = labels.where(F.col(good_col) == 1).select(F.col(label_id).alias("labelled_id"))
-    holdout = docs.join(labelled, docs[id_col] == F.col("labelled_id"), "left_semi")
-    cutoffs = _cutoff_table(measure(holdout, **at), labels, label_id, good_col, alpha, delta, joint)
-    return _judged(measure(docs, **at, whole_rows=True), cutoffs, most_strata).where("kept").select("row.*")
+    measured = stored(measure(docs, **at, whole_rows=True))
+    cutoffs = _cutoff_table(measured.drop("row"), labels, label_id, good_col, alpha, delta, joint)
+    return _judged(measured, cutoffs, most_strata).where("kept").select("row.*")
