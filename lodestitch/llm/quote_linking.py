@@ -15,8 +15,8 @@ aggregate), so a passage or a conversation with very many messages makes no pair
 by doubling: a chain of ``d`` replies takes about log2(d) joins.
 
 Defined results: a null text is empty and quotes nothing; a quote without an earlier original
-leaves its message in turn order; a null conversation or turn is kept and links with nothing;
-repeated rows are kept, and replies to a repeated turn hang below that turn; ties go to the
+leaves its message in turn order; a message with a null conversation or turn links with nothing,
+but loses its quotes too; repeated rows are kept, and replies to a repeated turn hang below that turn; ties go to the
 earliest turn; an empty table gives an empty result; columns other than the named ones are not
 read.
 """
@@ -112,7 +112,8 @@ def link_quotes(
     ).withColumn("msg", F.xxhash64("role", "text"))
     quotes = base.where(F.col("text").rlike(r"(?m)" + MARKS))
     # Repeated rows share their place, so each message is split once; the results join back to all rows.
-    lines = materialize(_lines(base.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").distinct()))
+    split = base.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").unionByName(quotes.where("conv_id is null"))
+    lines = materialize(_lines(split.distinct()))
     passages = _passages(lines)
     keys = materialize(_keys(passages))
     originals = (
@@ -144,8 +145,10 @@ def link_quotes(
     paths = _reply_paths(linked)
     at = ["conv_id", "turn", "msg"]
     content = F.trim(F.regexp_replace(F.coalesce(F.col("own"), F.col("text")), r"^\s+|\s+$", ""))
+    own = own.select(*[F.col(c).alias(f"own_{c}") for c in at], "n_quotes", "own")
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in at]
     return (
-        base.join(own, at, "left")
+        base.join(own, same, "left")
         .join(paths, at, "left")
         .select(
             "conv_id",
