@@ -197,7 +197,7 @@ def encode_documents(
     ranks = read_ranks(vocabulary)
     key = hash(frozenset(ranks.items()))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(key, shared.value, pattern)
@@ -210,9 +210,9 @@ def encode_documents(
                 rows.append((*row, packed.astype(np.int32)) if with_ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", batch["doc_id"])
             yield out
 
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    ).mapInPandas(run, schema)
+    # Ids pass as text: beside a null pandas would make them floating-point numbers.
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
