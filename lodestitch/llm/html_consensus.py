@@ -7,16 +7,22 @@ counts the votes per host. Pass two reads every page again and takes the text of
 winning paths, so a page whose own best container is an outlier follows its host. A page that
 has none of the winning paths falls back to its own vote.
 
+What is not the article is told by its tag, or by a class, id or role token that begins or ends
+with the name of a role (``sidebar-left``, ``site-footer``); tokens that describe a layout
+(``no-sidebar``, ``has-share-buttons``, ``related-none``) do not count. An element that holds most
+of the page's text is not taken for a sidebar, form, banner or the like, whatever its class.
+
 Scale: votes are one short row a page, combined before they shuffle, so a host with a third of
 all pages costs nothing extra. Winning paths need a tenth of a host's votes, so a host has ten
 at most. They are broadcast while their number of hosts is at most ``most_broadcast_hosts``
 (a few hundred bytes each); beyond that they are joined by host, where adaptive execution
-splits a hot host. Each page is parsed alone and in linear time.
+splits a hot host. Each page is parsed alone, in time and memory that grow with its length.
 
 Defined results: a null or empty page gives an empty text; a page without markup is its own
-text; a null url has the empty host; unclosed or stray tags never fail; repeated pages are
-repeated (and vote again); an empty table gives an empty result; columns other than the named
-ones are not read.
+text; a null url has the empty host; unclosed or stray tags never fail, and a tag that is still
+open at the end of the page is dropped; the header of an article belongs to it, others do not;
+repeated pages are repeated (and vote again); a null id stays null; an empty table gives an
+empty result; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from lodestitch.llm.url_reputation import host_of
 from lodestitch.plans.materialize import materialize
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -48,7 +54,6 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption blockquote pre figure figcaption "
     "address hr fieldset details summary nav header footer aside form hgroup menu search".split()
 )
-ENDS_P = BLOCKS
 #: A new element of this kind ends an open one of these kinds, looked for down to the fence.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -59,47 +64,83 @@ ENDS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
+#: Any other block ends an open paragraph, looked for down to the fence.
+ENDS_P = (("p",), ("td", "th", "li", "div", "article", "section", "main", "blockquote", "body"))
 #: Elements that are never the article.
 OUTSIDE = frozenset(
-    "head nav footer aside form noscript template svg button select iframe object menu dialog search canvas label".split()
+    "head nav footer aside noscript template svg button select iframe object menu dialog search canvas label".split()
+)
+#: Words of class, id and role that mark what is not the article (fixed values): always, and unless most of the page is there.
+ALWAYS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored menu nav navbar navigation footer masthead "
+    "breadcrumb breadcrumbs cookie cookies consent gdpr popup modal overlay dialog newsletter subscribe subscription "
+    "signup login comment comments commentlist disqus respond replies pagination pager toolbar skip contentinfo "
+    "copyright disclaimer".split()
 )
-#: Words of class, id and role that mark what is not the article (fixed values).
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
-    "navigation footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay dialog share sharing social related recommended newsletter subscribe subscription signup login comment "
-    "comments commentlist disqus respond replies pagination pager widget toolbar skip contentinfo complementary "
-    "search copyright disclaimer".split()
+UNLESS_MOST = frozenset(
+    "promo promotion banner sidebar notice notices alert share sharing social related recommended widget complementary search".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words that say something about a layout, not what an element is: before and after the name of a role (fixed values).
+BEFORE = frozenset("no not has have with without is hide hides show shows enable disable enabled disabled js".split())
+AFTER = frozenset("no none off on true false disabled enabled layout page template".split())
+#: Words that may follow the name of a role (fixed values).
+NEUTRAL = frozenset("wrapper wrap container box block area section list inner outer item items link links left right top bottom button buttons bar form".split())
 
 
 class Block(NamedTuple):
-    path: str
+    node: int  # its container
     text: str
     linked: int
+    mark: int  # the element with an ``UNLESS_MOST`` word around it, 0 for none
+
+
+class Page(NamedTuple):
+    """Text blocks that are not in an outside element, in page order, and the tree of their containers' paths."""
+
+    blocks: list[Block]
+    around: list[int]  # of each container's path the one around it; the page itself is 0
+    steps: list[str]
+    inner: dict[tuple[int, str], int]
+
+
+def _roles(attribute: str) -> set[str]:
+    """The words that name a role in a class, id or role attribute: those a token begins or ends with."""
+    found: set[str] = set()
+    for token in attribute.split():
+        parts = [x.lower() for x in HINT_PARTS.findall(token) if not x.isdigit()]
+        if not parts or len(parts) > 1 and (parts[0] in BEFORE or parts[-1] in AFTER):
+            continue
+        found.add(parts[0])
+        while len(parts) > 1 and parts[-1] in NEUTRAL:
+            parts.pop()
+        found.add(parts[-1])
+    return found
 
 
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(step of the generalised path, is outside the article, is a header)."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(step of the generalised path, is outside the article, is so unless most of the page is there, is a header)."""
+    maybe = tag == "form"
     if not attributes:
-        return tag, tag in OUTSIDE, tag == "header"
+        return tag, tag in OUTSIDE, maybe, tag == "header"
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     classes = values.get("class", "")
-    hints = {x.lower() for x in HINT_PARTS.findall(f"{classes} {values.get('id', '')} {values.get('role', '')}")}
-    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes.split()})])
-    outside = tag in OUTSIDE or not HINTS.isdisjoint(hints) or bool(HIDDEN.search(attributes))
+    roles = _roles(f"{classes} {values.get('id', '')} {values.get('role', '')}")
+    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c).replace(">", "") for c in classes.split()})])
     if tag in ("html", "body", "article", "main"):
-        outside = False
-    return step, outside, tag == "header" or "header" in hints
+        return step, False, False, False
+    outside = tag in OUTSIDE or not ALWAYS.isdisjoint(roles) or bool(HIDDEN.search(attributes))
+    return step, outside, maybe or not UNLESS_MOST.isdisjoint(roles), tag == "header" or "header" in roles
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page that are not in an outside element, in page order."""
+def blocks(page: str) -> Page:
+    """Read a page once, from left to right; time and memory grow with its length only."""
     out: list[Block] = []
-    # Open elements: tag, path before it, whether it is outside, header (1 page, 2 article), link.
-    stack: list[tuple[str, str, int, int, int]] = []
-    path, outside, header, link, in_article = "", 0, 0, 0, 0
+    around, steps, inner = [-1], [""], {}
+    marks = [0]  # of each marked element the one around it
+    # Open elements: tag, then the container, outside, mark, header, link and article around it.
+    stack: list[tuple[str, int, bool, int, bool, bool, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
+    node, outside, mark, header, link, in_article = 0, False, 0, False, False, 0
     parts: list[str] = []
     linked = 0
 
@@ -108,39 +149,31 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(path, text, min(linked, len(text))))
+                out.append(Block(node, text, min(linked, len(text)), mark))
             parts.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal path, outside, header, link, in_article
+        nonlocal node, outside, mark, header, link, in_article
         while len(stack) > depth:
-            tag, before, was_outside, was_header, was_link = stack.pop()
+            tag = stack[-1][0]
             if tag in BLOCKS:
                 flush()
-            in_article -= tag in ("article", "main")
-            path, outside, header, link = before, was_outside, was_header, was_link
+            _, node, outside, mark, header, link, in_article = stack.pop()
+            places[tag].pop()
 
-    def find(tags: tuple[str, ...], fences: tuple[str, ...]) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in fences:
-                break
-        return -1
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     pos, size = 0, len(page)
-    heading_from = HEADINGS
     while pos < size:
         m = TOKEN.search(page, pos)
         start = m.start() if m else size
-        if start > pos and not outside:
-            kept = not header or header == 2 and any(x[0] in heading_from for x in stack)
-            if kept:
-                piece = page[pos:start]
-                parts.append(piece)
-                if link:
-                    linked += len(piece.strip())
+        if start > pos and not outside and not header:
+            piece = page[pos:start]
+            parts.append(piece)
+            if link:
+                linked += len(piece.strip())
         if not m:
             break
         pos = m.end()
@@ -150,22 +183,15 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "br":
                 parts.append(" ")
-                continue
-            i = find((tag,), ())
-            if i >= 0:
+            elif (i := last((tag,))) >= 0:
                 close(i)
             continue
-        if tag in ENDS:
-            i = find(*ENDS[tag])
-            if i >= 0:
-                close(i)
-        elif tag in ENDS_P:
-            i = find(("p",), ("td", "th", "li", "div", "article", "section", "main", "blockquote", "body"))
-            if i >= 0:
-                close(i)
+        tags, fences = ENDS.get(tag, ENDS_P)
+        if (tag in ENDS or tag in BLOCKS) and (i := last(tags)) > last(fences):
+            close(i)
         if tag in BLOCKS:
             flush()
-        elif tag in ("br", "td", "th", "img"):
+        elif tag in ("br", "img"):
             parts.append(" ")
         if tag in VOID or (m[3] or "").endswith("/") and tag not in CONTAINERS:
             continue
@@ -173,60 +199,94 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = end.end() if end else size
             continue
-        step, is_outside, is_header = _element(tag, m[3] or "")
-        stack.append((tag, path, outside, header, link))
+        step, is_outside, is_marked, is_header = _element(tag, m[3] or "")
+        places[tag].append(len(stack))
+        stack.append((tag, node, outside, mark, header, link, in_article))
         in_article += tag in ("article", "main")
         if tag in CONTAINERS:
-            path = f"{path}>{step}" if path else step
+            key = (node, step)
+            if key not in inner:
+                inner[key] = len(steps)
+                around.append(node)
+                steps.append(step)
+            node = inner[key]
         outside = outside or is_outside
-        if is_header and tag not in ("html", "body", "article", "main"):
-            header = header or (2 if in_article else 1)
+        if is_marked and not outside:
+            marks.append(mark)
+            mark = len(marks) - 1
+        header = header or is_header and not in_article
         link = link or tag == "a"
+    close(0)
     flush()
-    return out
+    return Page(_unmarked(out, marks), around, steps, inner)
 
 
-def _around(path: str) -> str:
-    return path.rpartition(">")[0]
+def _unmarked(found: list[Block], marks: list[int]) -> list[Block]:
+    """Blocks outside marked elements; an element that holds most of the page, in several blocks, is not taken for marked."""
+    if len(marks) == 1:
+        return found
+    chars, count = [0] * len(marks), [0] * len(marks)
+    for b in found:
+        chars[b.mark] += len(b.text)
+        count[b.mark] += 1
+    total = sum(chars)
+    for k in range(len(marks) - 1, 0, -1):
+        chars[marks[k]] += chars[k]
+        count[marks[k]] += count[k]
+    gone = [False] * len(marks)
+    for k in range(1, len(marks)):
+        gone[k] = gone[marks[k]] or not (2 * chars[k] > total and count[k] > 2)
+    return [b for b in found if not gone[b.mark]]
+
+
+def _best(page: Page) -> int:
+    own: dict[int, float] = defaultdict(float)
+    for b in page.blocks:
+        own[b.node] += max(0, len(b.text) - 3 * b.linked)
+    score: dict[int, float] = defaultdict(float)
+    for node, chars in own.items():
+        score[node] += chars
+        if node:
+            score[page.around[node]] += chars / 2
+    if not score:
+        return 0
+    best = node = min(score, key=lambda k: (-score[k], k))
+    article = main = -1
+    while node > 0:
+        tag = page.steps[node].partition(".")[0]
+        article, main = (node if tag == "article" else article), (node if tag == "main" else main)
+        node = page.around[node]
+    return article if article > 0 else main if main > 0 else best
 
 
-def best_container(found: list[Block]) -> str:
+def best_container(page: Page) -> str:
     """The path that the page votes for; empty for the whole page."""
-    own: dict[str, float] = defaultdict(float)
-    for b in found:
-        own[b.path] += max(0, len(b.text) - 3 * b.linked)
-    score: dict[str, float] = defaultdict(float)
-    for path, chars in own.items():
-        score[path] += chars
-        if path:
-            score[_around(path)] += chars / 2
-    if not score:
-        return ""
-    best = min(score, key=lambda p: (-score[p], len(p), p))
-    steps = best.split(">")
-    for i, step in enumerate(steps):
-        if step.partition(".")[0] == "article":
-            return ">".join(steps[: i + 1])
-    for i, step in enumerate(steps):
-        if step.partition(".")[0] == "main":
-            return ">".join(steps[: i + 1])
-    return best
-
-
-def text_under(found: list[Block], path: str) -> str:
+    node, steps = _best(page), []
+    while node > 0:
+        steps.append(page.steps[node])
+        node = page.around[node]
+    return ">".join(reversed(steps))
+
+
+def _text_under(page: Page, node: int) -> str:
     """The blocks of all containers with this path, joined by newlines."""
-    below = path + ">"
-    return "\n".join(b.text for b in found if not path or b.path == path or b.path.startswith(below))
+    below = [False] * len(page.steps)
+    below[node] = True
+    for k in range(node + 1, len(below)):
+        below[k] = below[page.around[k]]
+    return "\n".join(b.text for b in page.blocks if below[b.node])
 
 
-def main_text(page: str, winners: list[str]) -> str:
+def main_text(html: str, winners: list[str]) -> str:
     """The text under the first winning path that the page has, else under its own vote."""
-    found = blocks(page)
+    page = blocks(html)
     for path in winners:
-        text = text_under(found, path)
-        if text:
+        node = 0
+        for step in path.split(">") if path else ():
+            node = page.inner.get((node, step), -1)
+        if node >= 0 and (text := _text_under(page, node)):
             return text
-    return text_under(found, best_container(found))
+    return _text_under(page, _best(page))
 
 
 def host_paths(pages: DataFrame, *, least_share: float = 0.1) -> DataFrame:
@@ -237,7 +297,7 @@ def host_paths(pages: DataFrame, *, least_share: float = 0.1) -> DataFrame:
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best = [best_container(found) if h and (found := blocks(h)) else None for h in batch["html"]]
+            best = [best_container(page) if h and (page := blocks(h)).blocks else None for h in batch["html"]]
             yield pd.DataFrame({"host": batch["host"], "path": best}).dropna()
 
     votes = pages.mapInPandas(vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
@@ -261,7 +321,7 @@ def extract_main_text(
 ) -> DataFrame:
     """page_id, url, text, n_chars; one row per input row."""
     p = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
+        F.col(id_col).cast("long").cast("string").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         host_of(F.col(url_col)).alias("host"),
         F.col(html_col).cast("string").alias("html"),
@@ -278,11 +338,13 @@ def extract_main_text(
             ]
             yield pd.DataFrame(
                 {
-                    "page_id": batch["page_id"].astype("Int64"),
+                    "page_id": batch["page_id"],
                     "url": batch["url"],
                     "text": text,
                     "n_chars": [len(t) for t in text],
                 }
             )
 
-    return joined.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    # Ids pass as text: beside a null pandas would make them floating-point numbers.
+    out = joined.mapInPandas(extract, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
