@@ -75,6 +75,44 @@ def test_any_page_can_be_read(page):
     assert isinstance(main_text(page, ["html>body"]), str) and isinstance(best_container(found), str)
 
 
+STORY = "".join(f"<p>Sentence number {i} of the long story goes on.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "classes",
+    ["content no-sidebar", "post has-share-buttons", "entry-content with-comments", "article-body related-none", "sidebar", "sidebar-layout x"],
+)
+def test_classes_that_only_mention_a_role_do_not_hide_the_article(classes):
+    page = f"<body><div class='{classes}'>{STORY}</div><div class='site-nav-wrapper'>Home</div><div class='sidebar-left'>Side</div></body>"
+    assert main_text(page, []).split("\n") == [f"Sentence number {i} of the long story goes on." for i in range(5)]
+
+
+def test_header_of_an_article_belongs_to_it():
+    page = "<body><header><p>Site</p></header><article><header><h1>T</h1><p>By me</p></header><p>x</p></article></body>"
+    assert main_text(page, []) == "T\nBy me\nx"
+
+
+@pytest.mark.parametrize(
+    "part", ["<a ", "</b>", "<div>", "<p><i>x</p>", "<ul><li><b><b><li>x", "<div class='c'><p>t", '<a href="', "<", "<script>", "<!--", "&amp"]
+)
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    assert isinstance(main_text(part * ((5 << 20) // len(part)), ["html>body"]), str)
+    assert time.process_time() - began < 15  # about 3 s; a quadratic reader takes hours
+
+
+def test_large_ids_beside_a_null_one(spark, codec):
+    big = 2**53 + 1
+    rows = [(big, "http://a.example/", "<p>x</p>"), (None, "http://a.example/", "<p>x</p>"), (big, "http://a.example/", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r.page_id or 0 for r in extract_main_text(pages).collect()) == [0, big, big]
+    docs = spark.createDataFrame([(i, "some text") for i, *_ in rows], DOC)
+    encoded = encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sorted(r.doc_id or 0 for r in encoded.collect()) == [0, big, big]
+
+
 def test_hosts_agree_on_a_path(spark):
     story = "".join(f"<p>Sentence number {i} of the story.</p>" for i in range(6))
     side = "".join(f"<p>Teaser {i} that is rather long and would win on this one page alone.</p>" for i in range(8))
