@@ -56,6 +56,17 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, groups: int, carry: tuple
     )
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at every level, as Spark takes results."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(nullable(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(nullable(kind.key_type), nullable(kind.item_type))
+    return kind
+
+
 def bucket_bounds(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted keys: the buckets that have some, and where each starts, with the end."""
     buckets = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)

@@ -314,7 +314,7 @@ def _rewrite(least_words: int, edit_words: int, carried: int):
                 "n_lines": pa.array(lines.per_text, pa.int64()),
                 "removed_lines": pa.array([removed.get(r, []) for r in range(len(out))], pa.list_(pa.int32())),
             }
-            | {f"carry_{i}": texts.column(f"carry_{i}") for i in range(carried)}
+            | {f"carry_{i}": (c := texts.column(f"carry_{i}")).cast(sharing.nullable(c.type)) for i in range(carried)}
         )
 
     return rewrite
