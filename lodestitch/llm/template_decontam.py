@@ -10,8 +10,10 @@ contaminated by an item when consistent windows cover ``least_cover`` of the ite
 An item of which no window keeps that many has the shortest longer windows that do; one with
 fewer plain words altogether is a single window that must match with the values in its slots.
 
-* number: starts with a digit, or is a number word; name: a capitalised word that does not open
-  a sentence, or a run of them; unit: a unit word right after a number.
+* number: starts with a digit, or is a number word (English, German, French, Spanish); name: a
+  capitalised word, or a run of them in one sentence (a word that opens a sentence is taken for
+  one too, since "Tom has" and "Anna has" must agree; so what opens the item's sentences must
+  be repeated consistently); unit: a unit word right after a number.
 
 Scale: the texts do not shuffle. The hashes of the benchmark's windows filter the documents'
 windows inside the scan while they number at most ``most_filter_windows`` (8 bytes each, counted
@@ -33,7 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.llm._hashing import BYTE, LOWER, U, join, portions, scramble, span_names, text_bytes, word_spans
@@ -43,17 +45,24 @@ LITERAL, NUMBER, NAME, UNIT = range(4)
 #: Stand-ins of the placeholders.
 _KIND = scramble(np.arange(4, dtype=np.uint64) + U(1 << 40))
 
-#: Number words and unit words (fixed values, lower case).
+#: Number words and unit words of four languages (fixed values, lower case).
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
-    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil"
 ).split()
 UNIT_WORDS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles meter meters metre metres kilometer kilometers kilometre "
     "kilometres g kg mg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons tonne tonnes l ml liter "
     "liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year "
-    "years s min h hr hrs percent cent cents dollar dollars euro euros usd eur gbp degree degrees celsius fahrenheit "
-    "kelvin watt watts kw kwh volt volts amp amps hz khz mhz ghz mph kmh joule joules newton newtons pascal bar psi"
+    "years s min h hr hrs percent cents dollar dollars euro euros usd eur gbp degree degrees celsius fahrenheit "
+    "kelvin watt watts kw kwh volt volts amp amps hz khz mhz ghz mph kmh joule joules newton newtons pascal bar psi "
+    "gramm kilogramm sekunde sekunden minuten stunde stunden tag tage woche wochen monat monate jahr jahre prozent grad "
+    "mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes seconde secondes heure heures jour jours "
+    "semaine semaines mois an ans pourcent degré degrés metro metros kilómetro kilómetros gramo gramos kilogramo "
+    "kilogramos litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados"
 ).split()
 
 
@@ -107,10 +116,12 @@ def template(data: np.ndarray, offsets: np.ndarray) -> Template:
     number = ((first >= 48) & (first <= 57)) | _in(name, NUMBER_NAMES)
     unit = np.zeros(len(starts), bool)
     unit[1:] = number[:-1] & follows[1:] & _in(name[1:], UNIT_NAMES)
-    proper = capital & follows & ~number & ~unit
+    proper = capital & ~number & ~unit
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(proper, NAME, LITERAL)))
     goes_on = np.zeros(len(starts), bool)  # a further word of the same name
-    goes_on[1:] = proper[1:] & proper[:-1] & follows[1:]
+    # A word that opens a sentence is a slot of its own, whatever follows.
+    opens = proper & ~follows
+    goes_on[1:] = proper[1:] & proper[:-1] & follows[1:] & ~opens[:-1]
     head = np.flatnonzero(~goes_on)
     value = np.zeros(0, np.uint64)
     if len(head):
@@ -174,7 +185,7 @@ def _item_windows(size: int, least_literals: int):
 
 
 def _document_windows(sizes: list[int], least_literals: int, wanted):
-    schema = pa.schema([("uid", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("filled", pa.list_(pa.int64()))])
+    schema = pa.schema([("uid", pa.string()), ("h", pa.int64()), ("place", pa.int64()), ("filled", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,26 +219,68 @@ def find_contamination(
     least_cover: float = 0.5,
     most_filter_windows: int = 4_000_000,
 ) -> DataFrame:
-    """doc_id, contaminated, items (ids of the benchmark items found, sorted), uid; one row per input row.
+    """doc_id, contaminated, items (ids of the benchmark items found, sorted); one row per input row."""
+    hits = _items_found(docs, benchmark, id_col, text_col, item_id, item_text, size, least_literals, least_cover, most_filter_windows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("uid"))
+    return rows.join(hits, "uid", "left").select(
+        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items")
+    )
 
-    ``uid`` is a hash of the id and the text: equal rows share it.
-    """
+
+def keep_clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    size: int = 8,
+    least_literals: int = 4,
+    least_cover: float = 0.5,
+    most_filter_windows: int = 4_000_000,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item is found."""
+    hits = _items_found(docs, benchmark, id_col, text_col, item_id, item_text, size, least_literals, least_cover, most_filter_windows)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("uid"))
+    few = hits.count() <= most_filter_windows // 40  # a key takes about 40 bytes
+    found = hits.select("uid")
+    return rows.join(F.broadcast(found) if few else found, "uid", "left_anti").select("row.*")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: the id, and a hash for rows that share one. Equal rows have equal results and share it."""
+    known = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.concat(known, F.lit("-"), F.hex(F.xxhash64(F.col(text_col).cast("string"))))
+
+
+def _items_found(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str,
+    text_col: str,
+    item_id: str,
+    item_text: str,
+    size: int,
+    least_literals: int,
+    least_cover: float,
+    most_filter_windows: int,
+) -> DataFrame:
+    """uid, items: of the rows in which items are found."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     known = materialize(
         items.where("text is not null and item_id is not null").mapInArrow(
             _item_windows(size, least_literals), "h long, item_id long, at long, size int, slots array<long>"
         )
     )
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    sizes = sorted(known.select("size").distinct().toArrow().column("size").to_pylist())
     wanted = None
     if known.count() <= most_filter_windows:
-        hashes = np.array([r["h"] for r in known.select("h").distinct().collect()], np.int64)
+        hashes = known.select("h").distinct().toArrow().column("h").to_numpy()
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
-    d = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text")
-    )
-    found = d.where("text is not null").select("uid", "text").mapInArrow(
-        _document_windows(sizes, least_literals, wanted), "uid long, h long, place long, filled array<long>"
+    d = docs.select(row_key(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
+    found = d.where("text is not null").mapInArrow(
+        _document_windows(sizes, least_literals, wanted), "uid string, h long, place long, filled array<long>"
     )
     matches = found.join(known, "h").withColumn("diagonal", F.col("place") - F.col("at"))
     matches = materialize(matches.select("uid", "item_id", "at", "diagonal", "slots", "filled").distinct())
@@ -241,7 +294,7 @@ def find_contamination(
         .distinct()
     )
     whole = known.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
-    hits = (
+    return materialize(
         matches.join(broken, line, "left_anti")
         .groupBy("uid", "item_id")
         .agg(F.count_distinct("at").alias("covered"))
@@ -250,13 +303,3 @@ def find_contamination(
         .groupBy("uid")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
-    return (
-        d.select("doc_id", "uid")
-        .join(hits, "uid", "left")
-        .select(
-            "doc_id",
-            F.col("items").isNotNull().alias("contaminated"),
-            F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
-            "uid",
-        )
-    )
