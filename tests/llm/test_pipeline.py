@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_lines
 from test_native_operators import brute_counts
 
@@ -82,6 +83,22 @@ def test_stages_keep_the_columns(spark, tables):
         assert stage(spark, docs.limit(0), tables).count() == 0
 
 
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    wide = ["uid", "n_lines", "removed_lines", "labelled_id", "row", "rest", "stratum", "kept", "g", "n", "v", "carry_0", "a.b"]
+    nobody = docs.limit(9).withColumn("doc_id", F.lit(None).cast("long"))
+    own = nobody.limit(2).withColumn("text", F.lit(" ".join(f"own{i}" for i in range(25))))
+    odd = docs.unionByName(docs.limit(20)).unionByName(nobody).unionByName(own)
+    odd = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(wide)], F.concat("doc_id", F.lit("x")).alias("mark"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, tables)
+        rows = out.collect()
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes and rows, name
+        assert all([r[c] for c in wide] == list(range(len(wide))) for r in rows), name
+        assert all(r["mark"] == (None if r["doc_id"] is None else f"{r['doc_id']}x") for r in rows), name
+        assert any(r["doc_id"] is None for r in rows), name
+
+
 def test_a_copy_with_short_and_blank_lines_leaves_nothing(spark, tables):
     long = "the quiet harbour kept its old lamps burning through the winter night"
     text = f"A Title\n\n{long}\n \t\nPart two\n\n{long} again and again"

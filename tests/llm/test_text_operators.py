@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ import tiktoken
 
 from lodestitch.llm.byte_bpe import BytePairCodec, encode_documents, read_ranks
 from lodestitch.llm.html_consensus import best_container, blocks, extract_main_text, main_text
-from lodestitch.llm.template_decontam import find_contamination
+from lodestitch.llm.template_decontam import NUMBER_WORDS, UNIT_WORDS, find_contamination, keep_clean_documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOC = "doc_id long, text string"
@@ -158,6 +160,95 @@ def test_reparameterised_questions_are_found(spark, most):
     assert len(found) == len(DOCS)
 
 
+def brute_tokens(text):
+    """(placeholder or word, value) of an ASCII text."""
+    cut = re.findall(r"(?:\d[.,:/](?=\d)|[A-Za-z]['-](?=[A-Za-z])|[A-Za-z0-9])+|[^A-Za-z0-9]", text)
+    out, stop, before = [], True, None
+    for w in cut:
+        if not w[0].isalnum():
+            stop = stop or w in ".!?:;\n"
+            continue
+        low = w.lower()
+        number = w[0].isdigit() or low in NUMBER_WORDS
+        unit = before == "number" and not stop and low in UNIT_WORDS
+        kind = "number" if number else "unit" if unit else ("opener" if stop else "name") if w[0].isupper() else "word"
+        if kind == "name" and before == "name":
+            out[-1] = ("name", (*out[-1][1], low))
+        else:
+            out.append((low, None) if kind == "word" else ("name" if kind == "opener" else kind, (low,)))
+        before, stop = kind, False
+    return out
+
+
+def brute_contamination(docs, items):
+    found = {}
+    for k, (_, text) in enumerate(docs):
+        t = brute_tokens(text or "")
+        for item, question in items:
+            q = brute_tokens(question)
+            plain = [i for i, (_, v) in enumerate(q) if v is None]
+            exact = len(plain) < 4
+            if exact and len(q) < 4:
+                continue
+            w = len(q) if exact else min(len(q), max(8, min(plain[i + 3] - plain[i] + 1 for i in range(len(plain) - 3))))
+            full = lambda x: exact or sum(v is None for _, v in x) >= 4
+            same = lambda x, y: x == y if exact else [a for a, _ in x] == [b for b, _ in y]
+            at = [i for i in range(len(q) - w + 1) if full(q[i : i + w])]
+            lines = {}
+            for i in at:
+                for p in range(len(t) - w + 1):
+                    if same(q[i : i + w], t[p : p + w]):
+                        lines.setdefault(p - i, []).append((i, p))
+            covered = set()
+            for hits in lines.values():
+                fill = {}
+                for i, p in hits:
+                    for (_, a), (_, b) in zip(q[i : i + w], t[p : p + w], strict=True):
+                        if a is not None:
+                            fill.setdefault(a, set()).add(b)
+                if all(len(v) == 1 for v in fill.values()):
+                    covered |= {i for i, _ in hits}
+            if at and 2 * len(covered) >= len(at):
+                found.setdefault(k, []).append(item)
+    return found
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    names, plain = ["Anna", "Tom", "Ben Lee"], ["has", "red", "apples", "and", "buys", "more", "then", "how", "many", "are", "left"]
+
+    def sentence(n):
+        kinds = [rng.choice([rng.choice(names), str(rng.randint(1, 9)), "five kg", *rng.sample(plain, 4)]) for _ in range(n)]
+        return " ".join([rng.choice(names), *kinds]) + rng.choice([". ", "? ", ", "])
+
+    items = [(i, "".join(sentence(rng.randint(2, 12)) for _ in range(rng.randint(1, 3)))) for i in range(30)]
+    docs = []
+    for i in range(120):
+        text = rng.choice(items)[1]
+        if rng.random() < 0.7:
+            swap = dict(zip(names, rng.sample(names, 3), strict=True)) | {str(d): str(rng.randint(1, 9)) for d in range(1, 10)}
+            text = re.sub("|".join(swap), lambda m: swap[m[0]], text)
+        if rng.random() < 0.3:
+            text = text.replace(rng.choice(plain), "green", 1)
+        docs.append((rng.choice([i, None, 5]), sentence(5) + text + sentence(4)))
+    expected = brute_contamination(docs, items)
+    assert 30 < len(expected) < 115
+    found = find_contamination(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter((r.doc_id, tuple(r["items"])) for r in found.collect())
+    assert got == Counter((i, tuple(expected.get(k, []))) for k, (i, _) in enumerate(docs))
+
+
+def test_names_that_open_sentences_and_clashing_columns(spark):
+    item = "Tom has 3 red apples. Tom buys 4 more apples at the old market, so how many apples are there?"
+    other = item.replace("Tom", "Anna").replace("3", "5").replace("4", "9")
+    rows = [(1, f"Intro. {other} End.", 7), (1, f"Intro. {other} End.", 8), (2, f"Intro. {other.replace('Anna', 'Bob', 1)}", 9), (3, "word " * 60_000 + item, 1)]
+    docs = spark.createDataFrame(rows, DOC + ", uid long")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = find_contamination(docs, items).collect()
+    assert sorted((r.doc_id, r.contaminated) for r in found) == [(1, True), (1, True), (2, False), (3, True)]
+    assert [tuple(r) for r in keep_clean_documents(docs, items).collect()] == [rows[2]]
+
+
 def test_number_heavy_items_are_found(spark):
     heavy, bare = "add 3 5 7 9 11 then 2 4 6 8 10 subtract 1 3 5 7 9 give 4 8", "12 17 29 + 35 = 93"
     items = spark.createDataFrame([(1, heavy), (2, bare), (3, "7 8 9")], "item_id long, text string")
