@@ -13,7 +13,7 @@ from lodestitch.llm.line_dedup import remove_near_lines
 from lodestitch.llm.ngram_join import similar_components
 from lodestitch.llm.quality_rules import keep_good_documents
 from lodestitch.llm.queries import VOCABULARY
-from lodestitch.llm.template_decontam import find_contamination
+from lodestitch.llm.template_decontam import keep_clean_documents
 from lodestitch.plans.materialize import scratch_folder
 from lodestitch.sources.tables import table
 
@@ -24,36 +24,45 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A null or empty text has no words and goes; repeated rows fare alike."""
     return keep_good_documents(docs, table(spark, sf_dir, "labels"), joint=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier line go, short ones when equal; a document that is left without words goes with them."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    # Lines of all lengths take part: a copy would else live on as its short lines.
-    kept = remove_near_lines(docs, least_words=1, carry=others)
+    """Lines near an earlier line go, short ones when equal; a document that is left without words goes with them.
+
+    A null text stays null; rows with a null id come last; of rows with equal ids and texts, none loses lines to
+    the other; any further columns come along.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none"))
+    kept = remove_near_lines(docs.select("doc_id", "text", rest.alias("rest")), carry=("rest",))
+    # A copy would else live on as blank lines.
     kept = kept.where((F.size("removed_lines") == 0) | F.col("text").isNull() | F.col("text").rlike(WORD))
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    now = {c: F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)}
+    now |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": F.col("text")}
+    now |= {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
+    return kept.select(*[now[c] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Of equal rows with that id one stays; rows with a null id, a null text or no words resemble nothing and stay.
+    """
     groups = similar_components(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, re-parameterised or not, go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("uid").distinct()
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text")).join(found, "uid", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, re-parameterised or not, go; a null text holds none; repeated rows fare alike."""
+    return keep_clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, one row per row; a null text has no tokens."""
     return encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
