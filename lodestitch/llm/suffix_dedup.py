@@ -51,8 +51,8 @@ from lodestitch.llm._hashing import BYTE, U, distinct, join, portions, quick_joi
 #: Bytes of an initial bucket; a window has twice as many.
 Q = 25
 WIN = 2 * Q
-#: Window starts taken at a time.
-PIECE = 1 << 17
+#: Window starts taken at a time, and bytes of runs compared at a time.
+PIECE, PORTION = 1 << 17, 1 << 20
 _PLACE = U((1 << 20) - 1)
 #: Bytes of an initial bucket where runs are compared.
 GRAM = 8
@@ -303,7 +303,7 @@ def _contested(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, answers:
 
 
 def _round2(n_buckets: int, crowd: int):
-    schema = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("c", pa.binary()), ("d", pa.binary()), ("t", pa.binary())])
+    schema = pa.schema([("b", pa.int32()), ("g", pa.int32()), *((c, pa.binary()) for c in "fcdt")])
 
     def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts) or not len(answers):
@@ -314,7 +314,8 @@ def _round2(n_buckets: int, crowd: int):
         sizes = open_.count + WIN - 1
         at, _ = _windows_of(open_.lo, open_.lo + sizes - 1)
         content = sharing.packed({"t": data[at]}, np.r_[0, np.cumsum(sizes)][bounds])
-        fields = sharing.packed({"c": open_.count.astype(np.uint8), "d": open_.least.astype("<i8")}, bounds) | content
+        numbers = {"f": open_.key.astype(np.uint32), "c": open_.count.astype(np.uint8), "d": open_.least.astype("<i8")}
+        fields = sharing.packed(numbers, bounds) | content
         g = pa.array(np.full(len(buckets), texts.column("g")[0].as_py()), pa.int32())
         return pa.table({"b": pa.array(buckets, pa.int32()), "g": g, **fields}, schema)
 
@@ -367,13 +368,21 @@ def bucket_pointers(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> n
 def _settle2(table: pa.Table) -> pa.Table:
     """For every entry the windows that a smaller document has too, one bit each."""
     count, d = sharing.unpacked(table, "c", "u1").astype(np.int64), sharing.unpacked(table, "d", "<i8")
-    data = sharing.unpacked(table, "t", "u1")
+    data, f = sharing.unpacked(table, "t", "u1"), sharing.unpacked(table, "f", "<u4")
     sizes = count + WIN - 1
-    pointer = bucket_pointers(data, np.cumsum(sizes) - sizes, count)
-    least, _ = _first_of([pointer], np.repeat(d, count))
-    bit = _windows_of(np.zeros(len(count), np.int64), count - 1)[1].astype(np.uint32)
-    lost = (least < np.repeat(d, count)).astype(np.uint32) << bit
-    mask = np.bitwise_or.reduceat(lost, np.cumsum(count) - count)
+    start = np.cumsum(sizes) - sizes
+    mask = np.zeros(len(count), np.uint32)
+    # Equal windows are in entries of one key, so a portion of the keys can be settled by itself.
+    portion = (f.astype(np.uint64) * U(1 + len(data) // PORTION)) >> U(32)
+    order = np.argsort(portion, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(portion[order])) + 1):
+        c, n = count[some], sizes[some]
+        at, _ = _windows_of(start[some], start[some] + n - 1)
+        pointer = bucket_pointers(data[at], np.cumsum(n) - n, c)
+        own = np.repeat(d[some], c)
+        least, _ = _first_of([pointer], own)
+        bit = _windows_of(np.zeros(len(c), np.int64), c - 1)[1].astype(np.uint32)
+        mask[some] = np.bitwise_or.reduceat((least < own).astype(np.uint32) << bit, np.cumsum(c) - c)
     bounds = np.r_[0, np.cumsum([len(x) for x in table.column("c").to_pylist()])]
     return pa.table({"g": table.column("g"), "b": table.column("b"), **sharing.packed({"d": mask.astype("<u4")}, bounds)})
 
@@ -438,7 +447,7 @@ def remove_repeats(
     asked1 = by_group.cogroup(level0.groupBy("g")).applyInArrow(_round1(b, crowd), "b int, g int, f binary, k binary, d binary")
     settled1 = asked1.groupBy("b").applyInArrow(_settle1(crowd), "g int, b int, d binary, s binary")
     so_far = _tagged(level0, 0).unionByName(_tagged(settled1, 1))
-    asked2 = by_group.cogroup(so_far.groupBy("g")).applyInArrow(_round2(b, crowd), "b int, g int, c binary, d binary, t binary")
+    asked2 = by_group.cogroup(so_far.groupBy("g")).applyInArrow(_round2(b, crowd), "b int, g int, f binary, c binary, d binary, t binary")
     settled2 = asked2.groupBy("b").applyInArrow(_settle2, "g int, b int, d binary")
     answers = so_far.unionByName(_tagged(settled2, 2))
     out = by_group.cogroup(answers.groupBy("g")).applyInArrow(
