@@ -349,7 +349,7 @@ def similar_components(
     width: int = 3,
     percent: int = 90,
     groups: int | None = None,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
     links: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and with ``links`` n_links (how many rows it links with); one row per input row."""
@@ -388,7 +388,7 @@ def similar_pairs(
     width: int = 3,
     percent: int = 90,
     groups: int | None = None,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes: class_a, class_b; membership: doc_id, class_id); documents with equal sets are one class."""
     sets, local, classes, found = _linked(docs, id_col, text_col, width, percent, groups, block_bytes, "list")
