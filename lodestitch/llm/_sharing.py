@@ -23,7 +23,7 @@ NO_ID = 2**63 - 1
 #: Bytes of text of a group at first, and how many groups there are before groups grow instead, up to the last.
 GROUP_BYTES, MANY_GROUPS, MOST_GROUP_BYTES = 4 << 20, 4096, 32 << 20
 #: Bytes of text whose keys a bucket holds.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 FEWEST = 16
 
 
