@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestitch.operators.retrieval import partition_key
+
 
 def rates(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> list:
     """precision, recall and f1 of three counts; 0 where nothing is to divide."""
@@ -24,8 +26,10 @@ def pair_metrics(labelled: DataFrame) -> DataFrame:
 
     Pairs are those of one category. They are counted from group sizes, never enumerated: true
     pairs from (category, truth), predicted from (category, predicted), hits from all three.
-    The row with a null category sums over all.
+    The row with a null category sums over all; records without a category are in ``unknown``.
     """
+    labelled = labelled.withColumn("category", partition_key(F.col("category")))
+
     def count(*keys: str) -> DataFrame:
         rows = labelled.where("predicted is not null") if "predicted" in keys else labelled
         groups = rows.groupBy("category", *keys).agg(F.count("*").alias("n"))

@@ -161,10 +161,36 @@ def valid_override(decision: Column, entity_id: Column, exists: Column) -> Colum
     return decision.isin(USE_EXISTING, CREATE_NEW, REVIEW) & (~named | exists) & ((decision != USE_EXISTING) | named)
 
 
+def logged_overrides(requests: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows to append to the override log, refused requests with their problem, audit rows to append).
+
+    requests: request_id, decision, entity_id, reviewer, decided_at; an entity must exist where one is named.
+    """
+    known = entities.select("entity_id", F.lit(True).alias("_exists")).distinct()
+    joined = requests.join(known, "entity_id", "left").withColumn("_exists", F.coalesce("_exists", F.lit(False)))
+    problem = (
+        F.when(~F.coalesce(F.col("decision").isin(USE_EXISTING, CREATE_NEW, REVIEW), F.lit(False)), "unknown decision")
+        .when((F.col("decision") == USE_EXISTING) & F.col("entity_id").isNull(), "an entity is needed")
+        .when(~valid_override(F.col("decision"), F.col("entity_id"), F.col("_exists")), "no such entity")
+    )
+    checked = joined.withColumn("problem", problem)
+    valid = checked.where("problem is null").select(*requests.columns)
+    audit = valid.select(
+        "request_id", F.concat(F.lit("override:"), "decision").alias("action"), "entity_id", F.col("reviewer").alias("actor"), F.col("decided_at").alias("at")
+    )
+    return valid, checked.where("problem is not null").select(*requests.columns, "problem"), audit
+
+
+def available_quantities(inventory: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """entity_id, source_org, available: what every organisation holds of every entity."""
+    held = inventory.join(crosswalk.select("record_id", "entity_id", "source_org"), "record_id")
+    return held.groupBy("entity_id", "source_org").agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("available"))
+
+
 def available_quantity(inventory: DataFrame, crosswalk: DataFrame, entity_id: str, org: str) -> DataFrame:
     """One row, available: what an organisation holds of an entity; 0 without stock."""
-    held = inventory.join(crosswalk.where((F.col("entity_id") == entity_id) & (F.col("source_org") == org)).select("record_id"), "record_id")
-    return held.agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("available"))
+    own = (F.col("entity_id") == entity_id) & (F.col("source_org") == org)
+    return available_quantities(inventory, crosswalk.where(own)).agg(F.coalesce(F.sum("available"), F.lit(0)).alias("available"))
 
 
 def checked_transfers(requests: DataFrame, entities: DataFrame, stock: DataFrame) -> DataFrame:

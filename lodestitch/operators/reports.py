@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestitch.functions import compare as C
+
 STATUSES = ("BLOCKED", "INSUFFICIENT_EVIDENCE", "NEEDS_REVIEW", "AUTO_MATCHED", "APPROVED", "REJECTED")
 OPEN = ("BLOCKED", "INSUFFICIENT_EVIDENCE", "NEEDS_REVIEW")
 
@@ -129,11 +131,25 @@ def review_counts(review: DataFrame) -> DataFrame:
     return all_.join(have, "status", "left").fillna(0, ["records"])
 
 
+def records_by_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records whose id is in a list; repeated and unknown ids do no harm. ids: id."""
+    return records.join(ids.select("id"), "id", "left_semi")
+
+
 def review_detail(review: DataFrame, records: DataFrame) -> DataFrame:
-    """Review rows with their record and the record that they were compared with."""
+    """Review rows with their record, the record that they were compared with, and the comparison as it is now.
+
+    comparisons, states (counts), verdict and reason are null where one of the two is missing.
+    """
     own = records.select(F.col("id").alias("record_id"), F.col("raw_text").alias("text"), F.col("attrs").alias("attrs"), "category")
     other = records.select(F.col("id").alias("candidate_record"), F.col("raw_text").alias("candidate_text"), F.col("attrs").alias("candidate_attrs"))
-    return review.join(own, "record_id", "left").join(other, "candidate_record", "left")
+    joined = review.join(own, "record_id", "left").join(other, "candidate_record", "left")
+    both = F.col("attrs").isNotNull() & F.col("candidate_attrs").isNotNull()
+    sides = F.col("attrs"), F.col("candidate_attrs")
+    compared = C.compare_bags(*sides, F.col("category"), C.schema_keys(F.col("category"), *sides))
+    joined = joined.withColumn("comparisons", F.when(both, compared)).withColumn("_v", F.when(both, C.safety_verdict(*sides, F.col("category"))))
+    states = F.when(both, C.state_counts(F.col("comparisons")))
+    return joined.withColumns({"states": states, "verdict": F.col("_v.status"), "reason_now": F.col("_v.reason")}).drop("_v")
 
 
 def decision_log(decisions: DataFrame, records: DataFrame, limit: int = 100) -> DataFrame:

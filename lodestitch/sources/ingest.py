@@ -116,6 +116,13 @@ def upsert(base: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
     return base.join(changes.select(*keys).distinct(), list(keys), "left_anti").unionByName(changes)
 
 
+def upsert_newest(base: DataFrame, changes: DataFrame, *keys: str, at: str) -> DataFrame:
+    """``base`` with the newest change of each key; ties go to the largest row. ``changes`` has the columns of ``base`` and ``at``."""
+    rest = [c for c in base.columns if c not in keys]
+    newest = changes.groupBy(*keys).agg(F.max(F.struct(at, *rest)).alias("_row"))
+    return upsert(base, newest.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in base.columns]), *keys)
+
+
 def inventory_rows(rows: DataFrame) -> DataFrame:
     """record_id, quantity, uom, unit_value of the rows that state a quantity."""
     return rows.where("quantity is not null").select(

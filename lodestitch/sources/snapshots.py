@@ -45,10 +45,23 @@ def read_current(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     return None if run is None else spark.read.parquet(f"{base}/runs/{run}/{name}")
 
 
+def reset(spark: SparkSession, base: str, run_id: str) -> None:
+    """A forced reseed: all tables of the current run, empty, as a new run; older runs stay in their folders."""
+    last = manifest(spark, base).orderBy(F.desc("published_at"), F.desc("run_id")).limit(1).collect()
+    names = last[0]["tables"] if last else []
+    publish(spark, base, run_id, {n: spark.read.parquet(f"{base}/runs/{last[0]['run_id']}/{n}").limit(0) for n in names})
+
+
 def keep_decisions(review: DataFrame, before: DataFrame) -> DataFrame:
-    """New review rows with the APPROVED or REJECTED status that the record had before."""
-    done = before.where(F.col("status").isin("APPROVED", "REJECTED")).select("record_id", F.col("status").alias("kept"))
-    return review.join(done, "record_id", "left").withColumn("status", F.coalesce("kept", "status")).drop("kept")
+    """New review rows with the APPROVED or REJECTED status that the record had before, its reviewer and time.
+
+    Rows without an earlier decision have no reviewer and no time; ``before`` may lack these columns.
+    """
+    types = {"reviewer": "string", "decided_at": "timestamp"}
+    known = [F.col(c) if c in before.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()]
+    done = before.where(F.col("status").isin("APPROVED", "REJECTED")).select("record_id", F.col("status").alias("kept"), *known)
+    out = review.drop(*types).join(done, "record_id", "left")
+    return out.withColumn("status", F.coalesce("kept", "status")).drop("kept")
 
 
 def dangling_links(crosswalk: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
