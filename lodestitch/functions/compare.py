@@ -67,8 +67,13 @@ def _broader(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(_words(a), _words(b))) == 0) & (F.size(_words(b)) > F.size(_words(a)))
 
 
-def compare_values(key: Column, a: Column, b: Column, category: Column) -> Column:
-    """struct<key, state, a, b, equivalence, reason> of one attribute on both sides."""
+def prepared(bag: Column) -> Column:
+    """map<key, struct<c, n>>: what comparisons look at, to be computed once per record and not once per pair."""
+    return F.transform_values(bag, lambda _, v: F.struct(canonical(v).alias("c"), numeric(v).alias("n")))
+
+
+def _compared(key: Column, sides: Column, category: Column) -> Column:
+    """struct<key, state, a, b, equivalence, reason>; ``sides``: struct<ca, cb, na, nb>."""
 
     def of(x: Column) -> Column:
         ca, cb, na, nb = x["ca"], x["cb"], x["na"], x["nb"]
@@ -101,10 +106,25 @@ def compare_values(key: Column, a: Column, b: Column, category: Column) -> Colum
             key.alias("key"), state.alias("state"), ca.alias("a"), cb.alias("b"), softened.alias("equivalence"), reason.alias("reason")
         )
 
-    sides = F.struct(canonical(a).alias("ca"), canonical(b).alias("cb"), numeric(a).alias("na"), numeric(b).alias("nb"))
     return let(sides, of)
 
 
+def compare_values(key: Column, a: Column, b: Column, category: Column) -> Column:
+    """struct<key, state, a, b, equivalence, reason> of one attribute on both sides."""
+    sides = F.struct(canonical(a).alias("ca"), canonical(b).alias("cb"), numeric(a).alias("na"), numeric(b).alias("nb"))
+    return _compared(key, sides, category)
+
+
+def compare_prepared(a: Column, b: Column, category: Column, keys: Column) -> Column:
+    """As ``compare_bags``, of two prepared bags."""
+
+    def one(k: Column) -> Column:
+        x, y = F.try_element_at(a, k), F.try_element_at(b, k)
+        return _compared(k, F.struct(x["c"].alias("ca"), y["c"].alias("cb"), x["n"].alias("na"), y["n"].alias("nb")), category)
+
+    return F.transform(keys, one)
+
+
 def compare_bags(a: Column, b: Column, category: Column, keys: Column) -> Column:
     """One comparison per key, in the order of the keys."""
     return F.transform(keys, lambda k: compare_values(k, F.try_element_at(a, k), F.try_element_at(b, k), category))
@@ -146,12 +166,18 @@ def critical_fields(category: Column) -> Column:
 
 def applicable_fields(category: Column, a: Column, b: Column) -> Column:
     """The critical fields of a pair: a conditional one counts if either item is of its kinds."""
-    kind = lambda bag: F.coalesce(canonical(F.try_element_at(bag, F.lit("item_type"))), F.lit(""))
+    kind = lambda bag: canonical(F.try_element_at(bag, F.lit("item_type")))
+    return fields_of_kinds(category, kind(a), kind(b))
+
+
+def fields_of_kinds(category: Column, kind_a: Column, kind_b: Column) -> Column:
+    """The critical fields of a pair of items of these kinds."""
 
     def counts(key: Column) -> Column:
         out = F.lit(True)
         for name, kinds in R.CONDITIONAL.items():
-            out = F.when(key == name, kind(a).isin(*kinds) | kind(b).isin(*kinds)).otherwise(out)
+            either = F.coalesce(kind_a.isin(*kinds), F.lit(False)) | F.coalesce(kind_b.isin(*kinds), F.lit(False))
+            out = F.when(key == name, either).otherwise(out)
         return out
 
     return F.filter(critical_fields(category), counts)
@@ -159,6 +185,18 @@ def applicable_fields(category: Column, a: Column, b: Column) -> Column:
 
 def safety_verdict(a: Column, b: Column, category: Column) -> Column:
     """struct<status, blocked_field, blocked_a, blocked_b, unknown_fields, reason, critical>."""
+    return verdict_of(compare_bags(a, b, category, applicable_fields(category, a, b)), category)
+
+
+def critical_of(comparisons: Column, a: Column, b: Column, category: Column) -> Column:
+    """Of all comparisons of a pair those of its critical fields, in their order; a, b: prepared bags."""
+    kind = lambda bag: F.try_element_at(bag, F.lit("item_type"))["c"]
+    of_key = lambda k: F.get(F.filter(comparisons, lambda c: c["key"] == k), F.lit(0))
+    return F.transform(fields_of_kinds(category, kind(a), kind(b)), of_key)
+
+
+def verdict_of(critical: Column, category: Column) -> Column:
+    """The verdict from the comparisons of the critical fields."""
 
     def of(critical: Column) -> Column:
         first = F.get(F.filter(critical, lambda c: c["state"] == MISMATCH), F.lit(0))
@@ -186,7 +224,7 @@ def safety_verdict(a: Column, b: Column, category: Column) -> Column:
             critical.alias("critical"),
         )
 
-    return let(compare_bags(a, b, category, applicable_fields(category, a, b)), of)
+    return let(critical, of)
 
 
 # ---- the score ----------------------------------------------------------------------------
@@ -247,6 +285,11 @@ def clipped(value: Column) -> Column:
 
 def match_score(a: Column, b: Column, semantic: Column, lexical: Column, category: Column, weights: dict | None = None) -> Column:
     """struct<score, semantic, lexical, agreement, coverage, comparisons>."""
+    return score_of(compare_bags(a, b, category, schema_keys(category, a, b)), semantic, lexical, category, weights)
+
+
+def score_of(comparisons: Column, semantic: Column, lexical: Column, category: Column, weights: dict | None = None) -> Column:
+    """The score from the comparisons of all keys."""
 
     def of(comparisons: Column) -> Column:
         def scored(g: Column) -> Column:
@@ -264,7 +307,7 @@ def match_score(a: Column, b: Column, semantic: Column, lexical: Column, categor
 
         return let(agreement(comparisons, category, weights), scored)
 
-    return let(compare_bags(a, b, category, schema_keys(category, a, b)), of)
+    return let(comparisons, of)
 
 
 def explanation(comparisons: Column, category: Column) -> Column:

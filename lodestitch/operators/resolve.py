@@ -50,17 +50,19 @@ def once_per_pair(candidates: DataFrame) -> DataFrame:
 
 def score_pairs(records: DataFrame, candidates: DataFrame, weights: dict | None = None) -> DataFrame:
     """a, b, category, the parts of the score, and the safety verdict, oriented from a to b."""
-    side = lambda p: records.select(F.col("id").alias(p), F.col("category").alias(f"{p}_category"), F.col("attrs").alias(f"{p}_attrs"))
+    # What is compared is prepared once per record; each pair is compared once, for the score and for the gate.
+    side = lambda p: records.select(F.col("id").alias(p), F.col("category").alias(f"{p}_category"), C.prepared(F.col("attrs")).alias(f"{p}_attrs"))
     joined = once_per_pair(candidates).join(side("a"), "a").join(side("b"), "b")
     attrs = F.col("a_attrs"), F.col("b_attrs")
     category = F.col("a_category")
+    joined = joined.withColumn("compared", C.compare_prepared(*attrs, category, C.schema_keys(category, *attrs)))
     scored = joined.select(
         "a",
         "b",
         category.alias("category"),
         "channel",
-        C.match_score(*attrs, F.col("semantic"), F.col("lexical"), category, weights).alias("m"),
-        C.safety_verdict(*attrs, category).alias("v"),
+        C.score_of(F.col("compared"), F.col("semantic"), F.col("lexical"), category, weights).alias("m"),
+        C.verdict_of(C.critical_of(F.col("compared"), *attrs, category), category).alias("v"),
     )
     return scored.select(
         "a", "b", "category", "channel", "m.semantic", "m.lexical", "m.agreement", "m.coverage", "m.score",

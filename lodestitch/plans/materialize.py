@@ -41,6 +41,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores when it has fewer partitions than the cluster has cores, for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width; operators derive their own group counts from it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

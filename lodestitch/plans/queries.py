@@ -17,7 +17,7 @@ from lodestitch.functions.attributes import ATTRIBUTE, extract_attributes, value
 from lodestitch.functions.text import detect_category, normalize, rule_trace, tokenize
 from lodestitch.operators import evaluate, govern, reports, resolve, retrieval
 from lodestitch.operators.graph import connected_components
-from lodestitch.plans.materialize import materialize
+from lodestitch.plans.materialize import materialize, spread
 from lodestitch.sources import ingest, snapshots
 from lodestitch.sources.tables import table
 
@@ -58,7 +58,7 @@ items AS (
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """id and an abbreviated description of one of five categories."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"))
     pick = F.col("p_size") % 6 + 1
     inch = F.element_at(F.array(*[F.lit(i) for i, _ in _SIZES]), pick).cast("string")
     dn = F.element_at(F.array(*[F.lit(n) for _, n in _SIZES]), pick).cast("string")
@@ -227,7 +227,8 @@ def _blocked_pairs(spark: SparkSession, d: str) -> DataFrame:
     v = valves(spark, d)
     one = v.select(F.col("id").alias("a"), F.col("attrs").alias("x"), "p_size", "p_brand")
     two = v.select(F.col("id").alias("b"), F.col("attrs").alias("y"), "p_size", "p_brand")
-    return one.join(two, ["p_size", "p_brand"]).where("a < b")
+    # Comparing takes far longer than its bytes tell, so the pairs are dealt by row and not by size.
+    return one.join(two, ["p_size", "p_brand"]).where("a < b").repartition(spark.sparkContext.defaultParallelism, "a", "b")
 
 
 @query("WITH " + VALVES_SQL + "SELECT a, b, s_type || ',' || s_size || ',' || s_material || ',' || s_pressure || ',' || s_ends AS states FROM states")
