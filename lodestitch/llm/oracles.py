@@ -34,13 +34,14 @@ d AS (SELECT b.*, s2.mean AS prior FROM by_domain b JOIN s2 USING (suffix)),
 d2 AS (SELECT domain, suffix, (m * prior + y) / (m + n) AS mean FROM (SELECT *, {_strength("d")} AS m FROM d)),
 h AS (SELECT b.*, d2.mean AS prior FROM base b JOIN d2 USING (domain, suffix)),
 h2 AS (SELECT host, n, m * prior + y AS a, m * (1 - prior) + n - y AS b FROM (SELECT *, {_strength("h")} AS m FROM h)),
-rep AS (SELECT host, n, greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS lower FROM h2),
+rep AS (SELECT host, n, least(1, (SELECT sum(exp((a + b) * ln(0.5) + i * ln(0.5) + lgamma(a + b + i) - lgamma(a + 1 + i) - lgamma(b)))
+  FROM (SELECT unnest(range(0, (4 * (a + b))::BIGINT + 200)) AS i) q)) AS below FROM h2),
 rules AS (SELECT action, rule, split_part(rule, '/', 1) AS rh, substr(rule, position('/' IN rule)) AS rp FROM (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'),
   ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')) v(action, rule)),
 fit AS (SELECT host, path, rule, action, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC) AS r
   FROM (SELECT DISTINCT host, path FROM p) u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN lower >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, n AS labelled,
-  floor(lower * 1000 + 0.5) / 1000 AS lower_bound
+SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN below <= 0.05 THEN 'allow' ELSE 'block' END) AS verdict, n AS labelled,
+  floor(below * 1000 + 0.5) / 1000 AS below
 FROM p LEFT JOIN rep USING (host) LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path AND fit.r = 1
 """
 
