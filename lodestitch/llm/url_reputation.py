@@ -4,28 +4,36 @@ Labelled page outcomes are shrunk through three beta-binomial levels: the corpus
 prior of each public suffix, the suffix posterior mean is the prior of each registered domain,
 and the domain posterior mean is the prior of each host. The strength of each level's prior is
 fitted by moments (the within-group correlation of a beta-binomial). A page is allowed when the
-lower bound of its host's posterior reaches ``min_lower``. A list of explicit rules overrides
-the reputation; the longest rule that fits a url wins.
+lower bound of its host's posterior reaches ``min_lower``: when the posterior beta distribution
+has no more than ``1 - level`` of its mass below it. That mass is the regularised incomplete
+beta function, summed as a series of positive terms; nothing is approximated by a normal. A
+list of explicit rules overrides the reputation; the longest rule that fits a url wins.
 
-Everything is keyed aggregation and equi-joins: pages are reduced to one row per host before
-any level is computed, so a host with a third of all pages costs a partial aggregate, and the
-join back splits a hot host under adaptive execution.
+Everything is keyed aggregation and equi-joins: pages are reduced to one row per host, kept in
+the shared folder, before any level is computed, so a host with a third of all pages costs a
+partial aggregate, and the join back splits a hot host under adaptive execution.
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path and is
 judged as that (empty) host; a page without labels is judged by its host, domain or suffix;
 labels that are null, or of unknown pages, are ignored; repeated pages are repeated in the
-result and a repeated label counts each time; an empty table gives an empty result; columns
+result and a repeated label counts each time (each is one outcome); an empty table gives an empty result; columns
 other than the named ones are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Two-part public suffixes under which names are registered; parameter of the operator.
+from lodestitch.plans.materialize import materialize
+
+#: Two-part public suffixes under which names are registered: the default of a parameter. A public suffix list
+#: is data that changes; production reads one and passes it.
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 
 
@@ -50,13 +58,13 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, action
 
 
-def _registered(host: Column) -> tuple[Column, Column]:
+def _registered(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
     """(domain, suffix) of a host; a bare name or an address is its own domain and suffix."""
     name = F.regexp_replace(host, r":\d*$", "")
     parts = F.split(name, r"\.")
     n = F.size(parts)
     two = F.concat_ws(".", F.slice(parts, F.greatest(n - 1, F.lit(1)), 2))
-    long_suffix = two.isin(*TWO_PART_SUFFIXES)
+    long_suffix = two.isin(*suffixes)
     whole = name.rlike(r"^[\d.]+$") | (n < 2)
     suffix = F.when(whole, name).when(long_suffix, two).otherwise(F.element_at(parts, -1))
     take = F.when(long_suffix, F.lit(3)).otherwise(F.lit(2))
@@ -84,14 +92,41 @@ def _mean(level: DataFrame, least: float, most: float) -> DataFrame:
     )
 
 
+def beta_mass_below(x: float, a: float, b: float) -> float:
+    """P(X <= x) of a beta distribution, 0 < x < 1.
+
+    x^a (1-x)^b / (a B(a, b)) times the sum of (a+b)_n / (a+1)_n x^n. The terms are positive; after
+    ``4 (a+b) x / (1-x)`` of them each is less than (1 + 3x) / 4 times the one before, so the rest is cut
+    where it is below the accuracy of a double.
+    """
+    terms = int(4 * (a + b) * x / (1 - x) + 40 / -math.log((1 + 3 * x) / 4)) + 1
+    k = np.arange(terms)
+    grown = np.cumsum(np.log((a + b + k) / (a + 1 + k)) + math.log(x))
+    first = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b)
+    return min(1.0, float(np.exp(first + np.concatenate(([0.0], grown))).sum()))
+
+
+def _mass_below(x: float, a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def mass(alpha: pd.Series, beta: pd.Series) -> pd.Series:
+        return pd.Series([beta_mass_below(x, p, q) for p, q in zip(alpha, beta, strict=True)], dtype=float)
+
+    return mass(a, b)
+
+
 def host_reputation(
-    hosts: DataFrame, *, z: float = 1.645, least_strength: float = 1.0, most_strength: float = 1000.0
+    hosts: DataFrame,
+    *,
+    min_lower: float = 0.5,
+    suffixes: Sequence[str] = TWO_PART_SUFFIXES,
+    least_strength: float = 1.0,
+    most_strength: float = 1000.0,
 ) -> DataFrame:
-    """host, n, y -> host, n, posterior mean and lower bound.
+    """host, n, y -> host, domain, n, posterior mean, and the posterior's mass below ``min_lower``.
 
     ``hosts`` has one row per host with its labelled pages ``n`` and good ones ``y``.
     """
-    domain, suffix = _registered(F.col("host"))
+    domain, suffix = _registered(F.col("host"), suffixes)
     base = hosts.select("host", "n", "y", domain.alias("domain"), suffix.alias("suffix"))
     by_domain = base.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
@@ -103,9 +138,8 @@ def host_reputation(
     level = base.join(domains.select("domain", "suffix", F.col("mean").alias("prior")), ["domain", "suffix"])
     a = F.col("strength") * F.col("prior") + F.col("y")
     b = F.col("strength") * (1 - F.col("prior")) + F.col("n") - F.col("y")
-    sd = F.sqrt(a * b / (F.pow(a + b, F.lit(2.0)) * (a + b + 1)))
     return _mean(level, least_strength, most_strength).select(
-        "host", "domain", "n", "mean", F.greatest(F.col("mean") - F.lit(z) * sd, F.lit(0.0)).alias("lower")
+        "host", "domain", "n", "mean", _mass_below(min_lower, a.cast("double"), b.cast("double")).alias("below")
     )
 
 
@@ -119,10 +153,12 @@ def judge_urls(
     label_id: str = "doc_id",
     outcome: str = "quality",
     min_lower: float = 0.5,
-    z: float = 1.645,
+    level: float = 0.95,
+    suffixes: Sequence[str] = TWO_PART_SUFFIXES,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, labelled (of its host), lower_bound.
+    """One row per page: id, host, path, rule, verdict, labelled (of its host), below.
 
+    ``below``: the host's posterior mass below ``min_lower``, three decimals; at most ``1 - level`` allows the page.
     ``labels`` holds outcomes 0 or 1 by page id. ``rules`` are (action, text) pairs such as
     ``("block", "net/")``: host up to the first slash, then a path prefix.
     """
@@ -139,15 +175,15 @@ def judge_urls(
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y"))
     )
-    reputation = host_reputation(hosts, z=z)
+    reputation = materialize(host_reputation(materialize(hosts), min_lower=min_lower, suffixes=suffixes))
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("lower") >= min_lower, F.lit("allow")).otherwise(F.lit("block"))
-    return p.join(reputation.select("host", "n", "lower"), "host", "left").select(
+    method = F.when(F.col("below") <= round(1 - level, 12), F.lit("allow")).otherwise(F.lit("block"))
+    return p.join(reputation.select("host", "n", "below"), "host", "left").select(
         "page_id",
         "host",
         "path",
         rule.alias("rule"),
         F.coalesce(action, method).alias("verdict"),
         F.col("n").alias("labelled"),
-        (F.floor(F.col("lower") * 1000 + 0.5) / 1000).alias("lower_bound"),
+        (F.floor(F.col("below") * 1000 + 0.5) / 1000).alias("below"),
     )
