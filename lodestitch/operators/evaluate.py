@@ -88,6 +88,20 @@ def candidate_recall(truth_pairs: DataFrame, candidates: DataFrame) -> DataFrame
     return row.withColumn("recall", F.when(F.col("true_pairs") > 0, F.col("found") / F.col("true_pairs")).otherwise(1.0))
 
 
+def group_recall(labelled: DataFrame, candidates: DataFrame) -> DataFrame:
+    """true_pairs, found, recall: as ``candidate_recall`` where true pairs are those of equal ``truth``; labelled: id, truth.
+
+    True pairs are counted from group sizes and found ones from the candidates, so no pair of a group is made.
+    """
+    sizes = labelled.where("truth is not null").groupBy("truth").agg(F.count("*").alias("n"))
+    all_ = _pairs_in(sizes).agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).cast("long").alias("n")).scalar()
+    seen = candidates.select(F.least("query_id", "cand_id").alias("a"), F.greatest("query_id", "cand_id").alias("b")).where("a <> b").distinct()
+    side = lambda p: labelled.select(F.col("id").alias(p), F.col("truth").alias(f"{p}_truth"))
+    hit = seen.join(side("a"), "a").join(side("b"), "b").where("a_truth = b_truth").agg(F.count("*").alias("n")).scalar()
+    row = labelled.sparkSession.range(1).select(all_.alias("true_pairs"), hit.alias("found"))
+    return row.withColumn("recall", F.when(F.col("true_pairs") > 0, F.col("found") / F.col("true_pairs")).otherwise(1.0))
+
+
 def evaluation_rows(labelled: DataFrame, job_id: str) -> DataFrame:
     """The metrics of one run as rows to append to the evaluation log: job_id, category, counts, rates, at."""
     return pair_metrics(labelled).select(F.lit(job_id).alias("job_id"), "*", F.current_timestamp().alias("at"))

@@ -61,10 +61,16 @@ def check_new_items(
     )
 
 
-def ranked_candidates(record_id: int, records: DataFrame, crosswalk: DataFrame, k: int = 10, merge_at: float = R.MERGE_AT) -> DataFrame:
-    """The k best candidates of one record: rank, score, verdict, explanation, would_merge. Depth is max(3 k, 30)."""
-    one = records.where(F.col("id") == record_id)
-    found = _scored(one, records, max(3 * k, 30)).join(
+def ranked_candidates(asked: int | DataFrame, records: DataFrame, crosswalk: DataFrame, k: int = 10, merge_at: float = R.MERGE_AT) -> DataFrame:
+    """The k best candidates of every asked record: asked_id, rank, score, verdict, explanation, would_merge.
+
+    ``asked``: one id, or a table of them (id). Depth is max(3 k, 30).
+    """
+    if isinstance(asked, int):
+        wanted = records.where(F.col("id") == asked)
+    else:
+        wanted = records.join(asked.select("id"), "id", "left_semi")
+    found = _scored(wanted, records, max(3 * k, 30)).join(
         crosswalk.select(F.col("record_id").alias("cand_id"), "entity_id"), "cand_id", "left"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("m.score"), "cand_id")
@@ -72,11 +78,12 @@ def ranked_candidates(record_id: int, records: DataFrame, crosswalk: DataFrame,
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select(
-            "rank", F.col("cand_id").alias("record_id"), "entity_id", F.col("m.score").alias("score"), "semantic", "lexical", "channel",
+            F.col("query_id").alias("asked_id"), "rank", F.col("cand_id").alias("record_id"), "entity_id", F.col("m.score").alias("score"),
+            "semantic", "lexical", "channel",
             F.col("v.status").alias("verdict"), C.explanation(F.col("m.comparisons"), F.col("category")).alias("explanation"),
             ((F.col("m.score") >= merge_at) & (F.col("v.status") == C.PASS)).alias("would_merge"),
         )
-        .orderBy("rank")
+        .orderBy("asked_id", "rank")
     )
 
 

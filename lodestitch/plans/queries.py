@@ -324,16 +324,14 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WITH " + COSINE_SQL + """,
-  truth AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = b.vec_id % 50 AND a.vec_id < b.vec_id),
+  truth AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
   seen AS (SELECT DISTINCT least(query_id, cand_id) AS a, greatest(query_id, cand_id) AS b FROM top WHERE r <= 10)
   SELECT count(*) AS true_pairs, count(s.a) AS found, floor(CASE WHEN count(*) > 0 THEN count(s.a) / count(*) ELSE 1 END * 10000 + 0.5) / 10000 AS recall
   FROM truth t LEFT JOIN seen s ON t.a = s.a AND t.b = s.b"""
 )
 def cosine_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    one = v.select(F.col("id").alias("a"), "category", (F.col("id") % 50).alias("m"))
-    truth = one.join(one.withColumnRenamed("a", "b"), ["category", "m"]).where("a < b").select("a", "b")
-    found = evaluate.candidate_recall(truth, retrieval.cosine_top_k(v, v, 10))
+    found = evaluate.group_recall(v.select("id", F.col("category").alias("truth")), retrieval.cosine_top_k(v, v, 10))
     return found.withColumn("recall", four(F.col("recall")))
 
 
@@ -366,7 +364,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(raw *
   SELECT item_id AS query_id, doc_id AS cand_id, floor(raw / max(raw) OVER (PARTITION BY item_id) * 10000 + 0.5) / 10000 AS lexical FROM best WHERE r <= 5"""
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("category"), _ascii_tokens("text").alias("tokens"))
+    corpus = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("category"), _ascii_tokens("text").alias("tokens"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("category"), _ascii_tokens("text").alias("tokens"))
     return retrieval.bm25_top_k(asked, corpus, 5).select("query_id", "cand_id", four(F.col("lexical")).alias("lexical"))
 
@@ -771,7 +769,7 @@ def evidence_matrix(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _small_catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     records = materialize(resolve.enrich(items(spark, d)))
     first = records.groupBy("norm_text").agg(F.min("id").alias("entity_id"))
     links = records.join(first, "norm_text").select(F.col("id").alias("record_id"), F.col("entity_id").cast("string").alias("entity_id"))
@@ -780,18 +778,19 @@ def _small_catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 
 @query()
 def governance_check(spark: SparkSession, d: str) -> DataFrame:
-    records, links = _small_catalogue(spark, d)
-    texts = ["GATE VALVE 6 INCH CLASS 150 SS316 FLANGED", "PIPE SEAMLESS DN100 SCH 40 A106", "BEARING 6210-2RS", "UNKNOWN THING"]
-    probes = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "id long, raw_text string")
+    """The description of every item whose id is divisible by 50, as a new one, against all items."""
+    records, links = _catalogue(spark, d)
+    probes = records.where("id % 50 = 0").select((-1 - F.col("id")).alias("id"), "raw_text")
     found = govern.check_new_items(probes, records, links)
     return found.select("probe_id", "rank", "entity_id", four(F.col("score")).alias("score"), "verdict", "recommendation")
 
 
 @query()
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    records, links = _small_catalogue(spark, d)
-    found = govern.ranked_candidates(0, records, links, 10)
-    return found.select("rank", "record_id", four(F.col("score")).alias("score"), "verdict", "would_merge")
+    """Every item whose id is divisible by 50 against all items."""
+    records, links = _catalogue(spark, d)
+    found = govern.ranked_candidates(records.where("id % 50 = 0").select("id"), records, links, 10)
+    return found.select("asked_id", "rank", "record_id", four(F.col("score")).alias("score"), "verdict", "would_merge")
 
 
 @query(

@@ -493,6 +493,35 @@ def pair_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.pair_lexical(pairs, corpus).withColumn("lexical", Q.four(F.col("lexical")))
 
 
+HYBRID_SQL = """
+toks AS (SELECT vec_id AS id, label, list_filter(string_split_regex(upper(p_name || ' ' || p_type || ' ' || p_brand), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks
+  FROM embeddings JOIN part ON p_partkey = vec_id),
+posting AS (SELECT id, label, len(toks) AS n, term, count(*) AS tf FROM (SELECT id, label, toks, unnest(toks) AS term FROM toks) GROUP BY id, label, len(toks), term),
+sizes AS (SELECT label, count(*) AS docs, avg(len(toks)) AS mean_len FROM toks GROUP BY label),
+raw AS (SELECT label, term, ln(docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM posting JOIN sizes USING (label) GROUP BY label, term, docs),
+idf AS (SELECT label, term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY label) ELSE idf END AS idf FROM raw),
+weighted AS (SELECT p.id, p.label, p.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean_len)) AS w FROM posting p JOIN idf USING (label, term) JOIN sizes USING (label)),
+scores AS (SELECT q.id AS query_id, c.id AS cand_id, sum(q.tf * c.w) AS raw FROM posting q JOIN weighted c USING (label, term) GROUP BY 1, 2 HAVING sum(q.tf * c.w) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(raw * 1000000 + 0.5) DESC, cand_id) AS r, max(raw) OVER (PARTITION BY query_id) AS peak FROM scores),
+lexical AS (SELECT query_id, cand_id, raw / peak AS lexical FROM ranked WHERE r <= 10),
+semantic AS (SELECT query_id, cand_id, greatest(t.raw, 0) AS semantic FROM top t WHERE r <= 10)
+"""
+
+
+@query(
+    "WITH " + Q.COSINE_SQL + "," + HYBRID_SQL + """SELECT query_id, cand_id, floor(coalesce(semantic, 0) * 10000 + 0.5) / 10000 AS semantic,
+  floor(coalesce(lexical, 0) * 10000 + 0.5) / 10000 AS lexical, CASE WHEN semantic IS NULL THEN 'bm25' WHEN lexical IS NULL THEN 'vector' ELSE 'both' END AS channel
+  FROM semantic FULL JOIN lexical USING (query_id, cand_id) WHERE query_id <> cand_id"""
+)
+def hybrid_of_given_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Both channels over given vectors and the tokens of the part with the same number."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), "embedding")
+    text = table(spark, d, "part").select(key().alias("id"), T.tokenize(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
+    records = v.join(text, "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    found = retrieval.hybrid_candidates(records, records.where("size(tokens) > 0 or embedding is not null"), 10)
+    return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
+
+
 # ---- clusters, runs, evaluation -------------------------------------------------------------
 
 
