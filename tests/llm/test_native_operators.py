@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from lodestitch.llm import quality_rules as Q
 from lodestitch.llm.queries import URL_RULES
 from lodestitch.llm.quote_linking import link_quotes
 from lodestitch.llm.ring_sharding import clockwise_preferences, lay_out, shard_rows
-from lodestitch.llm.url_reputation import judge_urls
+from lodestitch.llm.url_reputation import beta_mass_below, judge_urls
 
 DOC = "doc_id long, text string, lang string"
 
@@ -59,6 +60,21 @@ def test_bad_hosts_are_blocked_and_new_ones_follow_their_domain(spark):
 # ---- quality ------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("x", [0.1, 0.5, 0.8])
+@pytest.mark.parametrize("a, b", [(1, 1), (3, 1), (1, 4), (0.3, 0.7), (2.5, 7.25), (40, 60.5), (900, 150), (20, 4000), (0.02, 30)])
+def test_mass_of_the_beta_posterior(a, b, x):
+    below = beta_mass_below(x, a, b)
+    assert below + beta_mass_below(1 - x, b, a) == pytest.approx(1, abs=1e-9)
+    if b == 1:
+        assert below == pytest.approx(x**a, rel=1e-9)
+    if a == 1:
+        assert below == pytest.approx(1 - (1 - x) ** b, rel=1e-9)
+    if a >= 1 and b >= 1:  # a fine trapezium rule of the density
+        t = np.linspace(0, x, 400_001)[1:]
+        log = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        assert below == pytest.approx(float(np.trapezoid(np.exp(log), t)), abs=1e-4)
+
+
 def brute_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
