@@ -45,10 +45,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert ordered(df.columns, df.collect()) == ordered(names, found.fetchall())
 
 
-SLOW = ("governance_check", "hybrid_candidates", "ranked_candidates", "resolve_items")
-
-
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql()) - set(SLOW)))
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
 def test_query_runs(spark, name):
     assert contract.queries()[name](spark, str(DATA)).count() > 0
 

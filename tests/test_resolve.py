@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import BAG
-from lodestitch.operators import evaluate, govern, resolve
+from lodestitch.operators import evaluate, govern, reports, resolve
 from lodestitch.operators.graph import connected_components
 from lodestitch.operators.retrieval import bm25_top_k, cosine_top_k, hybrid_candidates
 from lodestitch.plans import jobs
@@ -176,6 +176,32 @@ def test_new_items_are_checked(spark, records, plan):
     assert [r["rank"] for r in ranked] == [1, 2, 3, 4, 5] and ranked[0].would_merge
 
 
+def test_pairs_without_a_category_are_counted(spark):
+    rows = [(1, None, "x", "E"), (2, None, "x", "E"), (3, "pipe", "y", "F"), (4, "pipe", "y", None)]
+    found = {r.category: (r.tp, r.fp, r.fn) for r in evaluate.pair_metrics(spark.createDataFrame(rows, "id long, category string, truth string, predicted string")).collect()}
+    assert found == {"unknown": (1, 0, 0), "pipe": (0, 0, 1), None: (1, 0, 1)}
+
+
+def test_reviews_are_compared_anew(spark):
+    r = members(spark, ["CL150", "CL300"]).withColumn("raw_text", F.lit("t"))
+    review = spark.createDataFrame([(1, 2), (1, None)], "record_id long, candidate_record long")
+    found = {x.candidate_record: (x.verdict, x.states and x.states.mismatched) for x in reports.review_detail(review, r).collect()}
+    assert found == {2: ("BLOCK", 1), None: (None, None)}
+
+
+def test_prepared_bags_give_the_same_verdicts(records):
+    from lodestitch.functions import compare as C
+
+    pairs = records.select(F.col("id").alias("query_id"), (F.col("id") + 1).alias("cand_id"), F.lit(0.5).alias("semantic"), F.lit(0.5).alias("lexical"), F.lit("x").alias("channel"))
+    scored = resolve.score_pairs(records, pairs)
+    side = lambda p: records.select(F.col("id").alias(p), F.col("attrs").alias(f"{p}_attrs"), F.col("category").alias(f"{p}_category"))
+    joined = scored.join(side("a"), "a").join(side("b"), "b")
+    v = C.safety_verdict(F.col("a_attrs"), F.col("b_attrs"), F.col("a_category"))
+    m = C.match_score(F.col("a_attrs"), F.col("b_attrs"), F.lit(0.5), F.lit(0.5), F.col("a_category"))
+    rows = joined.select("verdict", "blocked_field", "score", v.alias("v"), m.alias("m")).collect()
+    assert rows and all((r.verdict, r.blocked_field) == (r.v.status, r.v.blocked_field) and r.score == pytest.approx(r.m.score) for r in rows)
+
+
 def test_previews_vectors_and_consistency(spark):
     from lodestitch.functions.compare import is_consistent
     from lodestitch.operators.retrieval import backfill_vectors, hashed_vector, index_stats, pair_lexical, records_of
