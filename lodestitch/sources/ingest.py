@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +41,52 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True, nanValue="", nullValue=None)
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _sheet_rows(content: bytes) -> Iterator[list[str]]:
+    """The cells of the first sheet of a workbook as text, blanks empty."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        read = lambda name: ElementTree.fromstring(book.read(name))
+        first = read("xl/workbook.xml").find(f"{_SHEET}sheets/{_SHEET}sheet").get(_RELATION)
+        target = next(r.get("Target") for r in read("xl/_rels/workbook.xml.rels") if r.get("Id") == first)
+        text = lambda x: "".join(t.text or "" for t in x.iter(f"{_SHEET}t"))
+        shared = [text(x) for x in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+        for row in read(f"xl/{target.removeprefix('/xl/')}").iter(f"{_SHEET}row"):
+            cells: dict[int, str] = {}
+            for cell in row.iter(f"{_SHEET}c"):
+                letters = cell.get("r", "").rstrip("0123456789")
+                at = functools.reduce(lambda n, c: 26 * n + ord(c) - 64, letters, 0) - 1 if letters else len(cells)
+                value = cell.findtext(f"{_SHEET}v", "")
+                kind = cell.get("t")
+                cells[at] = shared[int(value)] if kind == "s" else text(cell) if kind == "inlineStr" else value
+            yield [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
+
+
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """A spreadsheet through pandas, all cells as text and blanks empty; needs an Excel engine on the driver."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise IngestError("reading spreadsheets needs openpyxl") from e
-    import pandas as pd
+    """The first sheet of an .xlsx workbook with a header row, all cells as text and blanks empty.
 
-    frame = pd.read_excel(path, dtype=str, keep_default_na=False)
-    return spark.createDataFrame(frame) if len(frame) else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in frame.columns))
+    The workbook is read and parsed in a task, from any store; only its header comes to the driver.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    for size in files.agg(F.min("length"), F.max("length")).first():
+        check_upload(size or 0)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [list(_sheet_rows(content)) for content in batch["content"]]
+            yield pd.DataFrame({"n": [i for r in rows for i in range(len(r))], "cells": [c for r in rows for c in r]})
+
+    try:
+        rows = files.select("content").mapInPandas(parse, "n long, cells array<string>")
+        head = rows.where("n = 0").first()
+    except PythonException as e:
+        raise IngestError("not a workbook") from e
+    names = [(i, x) for i, x in enumerate(head["cells"] if head else []) if x.strip()]
+    if not names:
+        raise IngestError("the workbook has no header")
+    return rows.where("n > 0").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(x) for i, x in names])
 
 
 def check_upload(size: int) -> None:
