@@ -1,5 +1,7 @@
 """Item lists with their malformations, snapshots, weights and the stream."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,47 @@ def test_bad_lists_fail(spark, tmp_path, text):
         ingest.stage(ingest.read_csv(spark, str(tmp_path / "in.csv")))
 
 
+def workbook(path, rows):
+    """A small .xlsx: shared and inline texts, numbers, and cells that are left out."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    shared = sorted({v for r in rows for v in r if isinstance(v, str)})
+    cell = lambda v, at: "" if v is None else f'<c r="{at}"><v>{v}</v></c>' if not isinstance(v, str) else (
+        f'<c r="{at}" t="s"><v>{shared.index(v)}</v></c>' if len(v) % 2 else f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    )
+    body = "".join(f'<row r="{i + 1}">' + "".join(cell(v, f"{chr(65 + k)}{i + 1}") for k, v in enumerate(r)) + "</row>" for i, r in enumerate(rows))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="a" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/one.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><r><t>{x[:1]}</t></r><r><t>{x[1:]}</t></r></si>" for x in shared) + "</sst>")
+        z.writestr("xl/worksheets/one.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+
+
+def test_a_workbook_is_staged(spark, tmp_path):
+    path = str(tmp_path / "in.xlsx")
+    workbook(path, [("org", None, "Code", "desc", "qty"), ("alpha", "x", "A-1", "GATE VALVE 6 IN", 12.5), ("alpha", None, 7, "pipe"), (None, None, "B", "c")])
+    raw = ingest.read_excel(spark, path)
+    assert raw.columns == ["org", "Code", "desc", "qty"] and raw.where("org = ''").count() == 1
+    rows = {r.local_code: (r.source_org, r.description, r.quantity) for r in ingest.stage(raw).collect()}
+    assert rows == {"A-1": ("ALPHA", "GATE VALVE 6 IN", 12), "7": ("ALPHA", "pipe", None)}
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip file")
+    with pytest.raises(ingest.IngestError):
+        ingest.read_excel(spark, str(tmp_path / "bad.xlsx"))
+    (tmp_path / "empty.xlsx").write_bytes(b"")
+    with pytest.raises(ingest.IngestError):
+        ingest.read_excel(spark, str(tmp_path / "empty.xlsx"))
+
+
+def test_a_store_is_seeded_once_unless_forced(spark, tmp_path):
+    from lodestitch.sources import snapshots, synthetic
+
+    base = str(tmp_path / "store")
+    assert synthetic.seed_store(spark, base) and not synthetic.seed_store(spark, base)
+    records, labels = (snapshots.read_current(spark, base, n) for n in ("records", "labels"))
+    assert "truth" not in records.columns and labels.select("truth").distinct().count() == 38
+    assert records.join(labels, ["source_org", "local_code"]).count() == records.count() == labels.count()
+    assert synthetic.seed_store(spark, base, force=True) and snapshots.manifest(spark, base).count() == 2
+
+
 @pytest.mark.parametrize("size", [0, ingest.MOST_BYTES + 1])
 def test_upload_limits(size):
     with pytest.raises(ingest.IngestError):
