@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -115,6 +116,90 @@ def test_large_ids_beside_a_null_one(spark, codec):
     assert sorted(r.doc_id or 0 for r in encoded.collect()) == [0, big, big]
 
 
+class SlowReader(HTMLParser):
+    """An independent reader of well-formed pages: a tree of the standard library's parser, walked from the root."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.node = ["#", {}, [], None]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), [], self.node]
+        self.node[2].append(node)
+        if tag not in ("br", "img", "meta"):
+            self.node = node
+
+    def handle_endtag(self, tag):
+        if tag not in ("br", "img", "meta"):
+            self.node = self.node[3]
+
+    def handle_data(self, data):
+        self.node[2].append(data)
+
+
+def brute_article(page):
+    reader = SlowReader()
+    reader.feed(page)
+    out, line = [], []
+
+    def flush():
+        text = " ".join("".join(line).split())
+        line.clear()
+        if text:
+            out.append(text)
+
+    def walk(node):
+        if isinstance(node, str):
+            line.append(node)
+            return
+        tag, attrs = node[:2]
+        words = set((attrs.get("class") or "").split())
+        if tag in ("nav", "footer", "aside", "script", "style", "title", "button") or words & {"comments", "ad", "cookie-notice", "newsletter"}:
+            if tag in ("nav", "footer", "aside") or words:
+                flush()
+            return
+        block = tag in ("article", "p", "h1", "h2", "li", "ul", "section", "blockquote", "div")
+        if block:
+            flush()
+        if tag == "br":
+            line.append(" ")
+        for child in node[2]:
+            walk(child)
+        if block:
+            flush()
+
+    def find(node):
+        if isinstance(node, str):
+            return None
+        return node if node[0] == "article" else next((f for c in node[2] if (f := find(c))), None)
+
+    walk(find(reader.root))
+    return "\n".join(out)
+
+
+def test_articles_equal_those_of_an_independent_reader():
+    rng = random.Random(21)
+    texts = ["One &amp; two", "a\n  b&nbsp;c", "x < y".replace("<", "&lt;"), "plain <b>bold</b> tail", "<a href='/q'>link</a> text", "caf&eacute; &#8212; &#x41;", "l1<br>l2", ""]
+    outside = ["<nav><ul><li><a href='/'>Home</a></li></ul></nav>", "<div class='ad'>Buy now</div>", "<aside><p>More</p></aside>", "<script>if (a < b) { x('</p>'); }</script>",
+               "<div class='cookie-notice'><p>We use</p></div>", "<style>p > a {}</style>", "<section class='comments'><p>Reader says</p></section>", "<!-- note -->"]
+
+    def body(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            k, t = rng.randrange(7), rng.choice(texts)
+            inner = body(depth - 1) if depth and k > 3 else t
+            parts.append(
+                [f"<p>{t}</p>", f"<h2>{t}</h2>", f"<ul><li>{t}</li><li>{rng.choice(texts)}</li></ul>", rng.choice(outside), f"<div class='part'>{inner}</div>",
+                 f"<section>{inner}</section>", f"<blockquote>{inner}</blockquote>"][k]
+            )
+        return "".join(parts)
+
+    for _ in range(300):
+        story = "<p>The story itself goes on for a while, so that it is the best container of its page.</p>" * 3
+        page = f"<html><head><title>t</title></head><body><header><p>Site</p></header>{rng.choice(outside)}<article><h1>Head</h1>{story}{body(2)}</article>{rng.choice(outside)}<footer>c</footer></body></html>"
+        assert main_text(page, []) == brute_article(page), page
+
+
 def test_hosts_agree_on_a_path(spark):
     story = "".join(f"<p>Sentence number {i} of the story.</p>" for i in range(6))
     side = "".join(f"<p>Teaser {i} that is rather long and would win on this one page alone.</p>" for i in range(8))
