@@ -106,7 +106,7 @@ def enriched_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT doc_id, quality, 1 AS step FROM labels UNION ALL SELECT doc_id, 1 - quality, 2 FROM labels WHERE doc_id % 3 = 0
-    UNION ALL SELECT doc_id, quality, 3 FROM labels WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 1, 2 FROM documents WHERE lang = 'en')
+    UNION ALL SELECT doc_id, quality, 3 FROM labels WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 1, 4 FROM documents WHERE lang = 'en')
     SELECT doc_id, arg_max(quality, step) AS quality FROM o GROUP BY doc_id"""
 )
 def label_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ def label_upsert(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     flipped = base.where("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit(2).alias("at"))
     back = base.where("doc_id % 6 = 0").select("doc_id", "quality", F.lit(3).alias("at"))
-    fresh = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("quality"), F.lit(2).alias("at"))
+    fresh = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("quality"), F.lit(4).alias("at"))
     return ingest.upsert_newest(base, flipped.unionByName(back).unionByName(fresh), "doc_id", at="at")
 
 
@@ -494,8 +494,8 @@ def pair_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 HYBRID_SQL = """
-toks AS (SELECT vec_id AS id, label, list_filter(string_split_regex(upper(p_name || ' ' || p_type || ' ' || p_brand), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks
-  FROM embeddings JOIN part ON p_partkey = vec_id),
+toks AS (SELECT vec_id AS id, label, list_filter(string_split_regex(upper(coalesce(p_name || ' ' || p_type || ' ' || p_brand, '')), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks
+  FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
 posting AS (SELECT id, label, len(toks) AS n, term, count(*) AS tf FROM (SELECT id, label, toks, unnest(toks) AS term FROM toks) GROUP BY id, label, len(toks), term),
 sizes AS (SELECT label, count(*) AS docs, avg(len(toks)) AS mean_len FROM toks GROUP BY label),
 raw AS (SELECT label, term, ln(docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM posting JOIN sizes USING (label) GROUP BY label, term, docs),
@@ -518,7 +518,7 @@ def hybrid_of_given_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), "embedding")
     text = table(spark, d, "part").select(key().alias("id"), T.tokenize(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
     records = v.join(text, "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    found = retrieval.hybrid_candidates(records, records.where("size(tokens) > 0 or embedding is not null"), 10)
+    found = retrieval.hybrid_candidates(records, records, 10)
     return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
 
 
