@@ -119,7 +119,8 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray) -> Runs:
         shape = scramble(((anchor - lo) * 64 + (hi - lo)).astype(np.uint64))
         refined = join(join(p[lo], p[lo + Q]), join(p[hi + Q], shape))
         doc = a + np.searchsorted(bounds[1:], lo, side="right")
-        found.append(Runs(doc, lo + begin, hi + begin, anchor + begin, p[anchor], refined))
+        # Anchors have small pointers, so they are scrambled once more: buckets are dealt by their first bits.
+        found.append(Runs(doc, lo + begin, hi + begin, anchor + begin, scramble(p[anchor]), refined))
     none, no_name = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return Runs(*map(np.concatenate, zip(*found, strict=True))) if found else Runs(none, none, none, none, no_name, no_name)
 
