@@ -9,7 +9,7 @@ from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import value_text
 from lodestitch.operators.resolve import enrich
-from lodestitch.operators.retrieval import hybrid_candidates
+from lodestitch.operators.retrieval import TIES, hybrid_candidates
 
 USE_EXISTING, CREATE_NEW, REVIEW = "USE_EXISTING", "CREATE_NEW", "REVIEW"
 
@@ -25,6 +25,11 @@ def _scored(probes: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     return joined.withColumn("m", score).withColumn("v", verdict)
 
 
+def _place(score: Column) -> Column:
+    """What scores are ordered by: equal to nine decimals is a tie, since sums differ in the last bits between runs."""
+    return F.floor(score * TIES + 0.5)
+
+
 def check_new_items(
     probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, *, top_n: int = 5, merge_at: float = R.MERGE_AT, review_at: float = R.REVIEW_AT
 ) -> DataFrame:
@@ -38,9 +43,9 @@ def check_new_items(
     linked = crosswalk.select(F.col("record_id").alias("cand_id"), "entity_id")
     found = _scored(enriched.where("category is not null"), catalogue, R.CANDIDATES).join(linked, "cand_id")
     best = found.groupBy("query_id", "entity_id").agg(
-        F.max_by(F.struct("cand_id", F.col("m.score").alias("score"), "v"), F.struct("m.score", -F.col("cand_id"))).alias("b")
+        F.max_by(F.struct("cand_id", F.col("m.score").alias("score"), "v"), F.struct(_place(F.col("m.score")), -F.col("cand_id"))).alias("b")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("b.score"), "entity_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(_place(F.col("b.score"))), "entity_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     rows = enriched.select(F.col("id").alias("probe_id"), "category").join(
         ranked.withColumnRenamed("query_id", "probe_id"), "probe_id", "left"
@@ -73,7 +78,7 @@ def ranked_candidates(asked: int | DataFrame, records: DataFrame, crosswalk: Dat
     found = _scored(wanted, records, max(3 * k, 30)).join(
         crosswalk.select(F.col("record_id").alias("cand_id"), "entity_id"), "cand_id", "left"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("m.score"), "cand_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(_place(F.col("m.score"))), "cand_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

@@ -75,16 +75,19 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), text.alias("raw_text"), F.col("p_brand").alias("source_org"), "p_size", "p_name", "p_type")
 
 
-@query(
-    "WITH " + ITEMS_SQL + """
+NORMALIZED_SQL = ITEMS_SQL + """,
+normalized AS (
   SELECT id, list_extract(['gate_valve', 'pipe', 'bearing', 'electrical_cable', 'fastener'], kind + 1) AS category,
     CASE kind WHEN 0 THEN 'GATE VALVE DN' || dn || ' CL' || cl || ' SS' || grade || ' FLANGED'
       WHEN 1 THEN 'PIPE SEAMLESS DN' || dn || ' SCHEDULE 40 A106'
       WHEN 2 THEN 'BEARING 62' || lpad((p_size % 16 + 4)::VARCHAR, 2, '0') || '-2RS'
       WHEN 3 THEN 'CABLE 3C X ' || p_size || ' SQMM 1.1 KV XLPE ALUMINIUM ARMOURED'
       ELSE 'HEXAGON BOLT M16 X ' || (p_size * 5 + 10) || ' 8.8 ZINC PLATED' END AS norm_text
-  FROM items"""
-)
+  FROM items)
+"""
+
+
+@query("WITH " + NORMALIZED_SQL + "SELECT * FROM normalized")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     it = items(spark, d).withColumn("category", detect_category(F.col("raw_text")))
     return it.select("id", "category", normalize(F.col("raw_text"), F.col("category")).alias("norm_text"))
@@ -109,9 +112,8 @@ def fuzzy_category(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), detect_category(text).alias("category"))
 
 
-@query(
-    "WITH " + ITEMS_SQL + """,
-  a AS (
+ATTRIBUTES_SQL = ITEMS_SQL + """,
+attrs AS (
     SELECT id, 'item_type' AS key, list_extract(['GATE VALVE', 'PIPE', 'BEARING', 'CABLE', 'HEXAGON HEAD BOLT'], kind + 1) AS value FROM items
     UNION ALL SELECT id, 'size', 'DN' || dn FROM items WHERE kind IN (0, 1)
     UNION ALL SELECT id, 'material', 'STAINLESS STEEL ' || grade FROM items WHERE kind = 0
@@ -133,8 +135,10 @@ def fuzzy_category(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT id, 'length_mm', (p_size * 5 + 10)::VARCHAR FROM items WHERE kind = 4
     UNION ALL SELECT id, 'property_class', '8.8' FROM items WHERE kind = 4
     UNION ALL SELECT id, 'finish', 'ZINC PLATED' FROM items WHERE kind = 4)
-  SELECT id, key, value, CASE WHEN key = 'bore_mm' THEN 'derived' ELSE 'rule' END AS method FROM a"""
-)
+"""
+
+
+@query("WITH " + ATTRIBUTES_SQL + "SELECT id, key, value, CASE WHEN key = 'bore_mm' THEN 'derived' ELSE 'rule' END AS method FROM attrs")
 def extract_item_attributes(spark: SparkSession, d: str) -> DataFrame:
     it = items(spark, d).withColumn("category", detect_category(F.col("raw_text")))
     bag = extract_attributes(normalize(F.col("raw_text"), F.col("category")), F.col("category"))
@@ -335,12 +339,6 @@ def cosine_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("recall", four(F.col("recall")))
 
 
-@query()
-def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    return p.select("id", retrieval.hashed_vector(F.col("text")).alias("embedding"))
-
-
 def _ascii_tokens(text: str) -> Column:
     return tokenize(F.regexp_replace(text, "[^ -~]", " "))
 
@@ -369,13 +367,6 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_top_k(asked, corpus, 5).select("query_id", "cand_id", four(F.col("lexical")).alias("lexical"))
 
 
-@query()
-def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
-    records = materialize(resolve.enrich(items(spark, d)))
-    found = retrieval.hybrid_candidates(records, records, 10)
-    return found.select("query_id", "cand_id", four(F.col("semantic")).alias("semantic"), four(F.col("lexical")).alias("lexical"), "channel")
-
-
 # ---- clusters and golden records ----------------------------------------------------------
 
 COMPONENTS_SQL = """
@@ -769,30 +760,13 @@ def evidence_matrix(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     records = materialize(resolve.enrich(items(spark, d)))
     first = records.groupBy("norm_text").agg(F.min("id").alias("entity_id"))
     links = records.join(first, "norm_text").select(F.col("id").alias("record_id"), F.col("entity_id").cast("string").alias("entity_id"))
     return records, links
 
 
-@query()
-def governance_check(spark: SparkSession, d: str) -> DataFrame:
-    """The description of every item whose id is divisible by 50, as a new one, against all items."""
-    records, links = _catalogue(spark, d)
-    probes = records.where("id % 50 = 0").select((-1 - F.col("id")).alias("id"), "raw_text")
-    found = govern.check_new_items(probes, records, links)
-    return found.select("probe_id", "rank", "entity_id", four(F.col("score")).alias("score"), "verdict", "recommendation")
-
-
-@query()
-def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Every item whose id is divisible by 50 against all items."""
-    records, links = _catalogue(spark, d)
-    found = govern.ranked_candidates(records.where("id % 50 = 0").select("id"), records, links, 10)
-    return found.select("asked_id", "rank", "record_id", four(F.col("score")).alias("score"), "verdict", "would_merge")
-
-
 @query(
     """SELECT user_id AS record_id, event_type AS decision, ts AS decided_at FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id DESC) AS r FROM events) WHERE r = 1"""

@@ -16,7 +16,7 @@ from lodestitch.functions import text as T
 from lodestitch.operators import evaluate, govern, reports, resolve, retrieval
 from lodestitch.plans import jobs, weights
 from lodestitch.plans import queries as Q
-from lodestitch.plans.materialize import scratch_folder
+from lodestitch.plans.materialize import materialize, scratch_folder
 from lodestitch.plans.queries import query
 from lodestitch.sources import ingest, snapshots
 from lodestitch.sources.tables import table
@@ -493,9 +493,8 @@ def pair_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.pair_lexical(pairs, corpus).withColumn("lexical", Q.four(F.col("lexical")))
 
 
+#: Both channels over toks (id, label, toks) and top (query_id, cand_id, raw, r).
 HYBRID_SQL = """
-toks AS (SELECT vec_id AS id, label, list_filter(string_split_regex(upper(coalesce(p_name || ' ' || p_type || ' ' || p_brand, '')), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks
-  FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
 posting AS (SELECT id, label, len(toks) AS n, term, count(*) AS tf FROM (SELECT id, label, toks, unnest(toks) AS term FROM toks) GROUP BY id, label, len(toks), term),
 sizes AS (SELECT label, count(*) AS docs, avg(len(toks)) AS mean_len FROM toks GROUP BY label),
 raw AS (SELECT label, term, ln(docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM posting JOIN sizes USING (label) GROUP BY label, term, docs),
@@ -503,16 +502,19 @@ idf AS (SELECT label, term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITI
 weighted AS (SELECT p.id, p.label, p.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean_len)) AS w FROM posting p JOIN idf USING (label, term) JOIN sizes USING (label)),
 scores AS (SELECT q.id AS query_id, c.id AS cand_id, sum(q.tf * c.w) AS raw FROM posting q JOIN weighted c USING (label, term) GROUP BY 1, 2 HAVING sum(q.tf * c.w) > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(raw * 1000000 + 0.5) DESC, cand_id) AS r, max(raw) OVER (PARTITION BY query_id) AS peak FROM scores),
-lexical AS (SELECT query_id, cand_id, raw / peak AS lexical FROM ranked WHERE r <= 10),
-semantic AS (SELECT query_id, cand_id, greatest(t.raw, 0) AS semantic FROM top t WHERE r <= 10)
+lexical AS (SELECT query_id, cand_id, raw / peak AS lexical FROM ranked WHERE r <= {k}),
+semantic AS (SELECT query_id, cand_id, greatest(t.raw, 0) AS semantic FROM top t WHERE r <= {k}),
+hybrid AS (SELECT query_id, cand_id, coalesce(semantic, 0) AS semantic, coalesce(lexical, 0) AS lexical, CASE WHEN semantic IS NULL THEN 'bm25' WHEN lexical IS NULL THEN 'vector' ELSE 'both' END AS channel
+  FROM semantic FULL JOIN lexical USING (query_id, cand_id) {own})
 """
+NOT_OWN = "WHERE query_id <> cand_id"
+FOUR_SQL = "SELECT query_id, cand_id, floor(semantic * 10000 + 0.5) / 10000 AS semantic, floor(lexical * 10000 + 0.5) / 10000 AS lexical, channel FROM hybrid"
 
 
-@query(
-    "WITH " + Q.COSINE_SQL + "," + HYBRID_SQL + """SELECT query_id, cand_id, floor(coalesce(semantic, 0) * 10000 + 0.5) / 10000 AS semantic,
-  floor(coalesce(lexical, 0) * 10000 + 0.5) / 10000 AS lexical, CASE WHEN semantic IS NULL THEN 'bm25' WHEN lexical IS NULL THEN 'vector' ELSE 'both' END AS channel
-  FROM semantic FULL JOIN lexical USING (query_id, cand_id) WHERE query_id <> cand_id"""
-)
+@query("WITH " + Q.COSINE_SQL + """,
+toks AS (SELECT vec_id AS id, label, list_filter(string_split_regex(upper(coalesce(p_name || ' ' || p_type || ' ' || p_brand, '')), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks
+  FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
+""" + HYBRID_SQL.format(k=10, own=NOT_OWN) + FOUR_SQL)
 def hybrid_of_given_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Both channels over given vectors and the tokens of the part with the same number."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), "embedding")
@@ -522,6 +524,90 @@ def hybrid_of_given_vectors(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
 
 
+#: Vectors of texts (id, label, text): signed counts of hashed tokens and token pairs, of unit length, as floats.
+HASHED_SQL = """
+toks AS (SELECT id, label, list_filter(string_split_regex(upper(text), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks FROM texts),
+grams AS (SELECT id, label, md5(unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || '_' || toks[i + 1])))) AS h FROM toks),
+cells AS (SELECT id, label, ('0x' || substr(h, 1, 8))::BIGINT % 256 AS cell, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS n FROM grams GROUP BY 1, 2, 3),
+unit AS (SELECT id, label, cell, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM cells WHERE n <> 0)
+"""
+
+
+@query(
+    "WITH texts AS (SELECT p_partkey AS id, NULL AS label, concat_ws(' ', p_name, p_type, p_brand) AS text FROM part)," + HASHED_SQL
+    + "SELECT id, cell::INT AS cell, floor(x * 10000 + 0.5) / 10000 AS x FROM unit"
+)
+def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of each vector that are not zero."""
+    p = table(spark, d, "part").select(key().alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    cells = p.select("id", F.posexplode(retrieval.hashed_vector(F.col("text"))).alias("cell", "x")).where("x <> 0")
+    return cells.select("id", "cell", Q.four(F.col("x").cast("double")).alias("x"))
+
+
+#: Both channels over the items: hashed vectors and BM25, inside a category.
+ITEM_HYBRID_SQL = "WITH " + Q.NORMALIZED_SQL + """,
+texts AS (SELECT id, category AS label, norm_text AS text FROM normalized),""" + HASHED_SQL + """,
+dots AS (SELECT a.id AS query_id, b.id AS cand_id, sum(a.x * b.x) AS raw FROM unit a JOIN unit b USING (label, cell) GROUP BY 1, 2),
+every AS (SELECT a.id AS query_id, b.id AS cand_id FROM texts a JOIN texts b USING (label)),
+top AS (SELECT query_id, cand_id, coalesce(raw, 0) AS raw, row_number() OVER (PARTITION BY query_id ORDER BY floor(coalesce(raw, 0) * 1000000000 + 0.5) DESC, cand_id) AS r
+  FROM every LEFT JOIN dots USING (query_id, cand_id)),""" + HYBRID_SQL
+
+
+@query(ITEM_HYBRID_SQL.format(k=10, own=NOT_OWN) + FOUR_SQL)
+def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
+    records = materialize(resolve.enrich(Q.items(spark, d)))
+    found = retrieval.hybrid_candidates(records, records, 10)
+    return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
+
+
+#: Candidates of the items whose id is divisible by 50, scored over all keys of their category, with the verdict.
+ITEM_SCORED_SQL = ITEM_HYBRID_SQL.format(k=30, own="") + ",attrs AS" + Q.ATTRIBUTES_SQL.split("attrs AS", 1)[1] + """,
+weights AS (SELECT * FROM """ + sql_rows([
+    (c, k, R.WEIGHTS[c][3].get(k, R.KEY_WEIGHT), R.PENALTY_CRITICAL if k in R.CRITICAL[c] else R.PENALTY_OTHER, int(k in R.CRITICAL[c]))
+    for c, keys in R.SCHEMAS.items() for k in keys
+]) + """ w(category, key, weight, penalty, critical)),
+shares AS (SELECT * FROM """ + sql_rows([(c, *w[:3]) for c, w in R.WEIGHTS.items()]) + """ s(category, ws, wl, wa)),
+compared AS (SELECT h.query_id, h.cand_id, n.category, weight, penalty, critical, CASE WHEN x.value IS NULL OR y.value IS NULL THEN 'UNKNOWN' WHEN x.value = y.value THEN 'MATCH' ELSE 'MISMATCH' END AS state
+  FROM hybrid h JOIN normalized n ON n.id = h.query_id JOIN weights w ON w.category = n.category
+  LEFT JOIN attrs x ON x.id = h.query_id AND x.key = w.key LEFT JOIN attrs y ON y.id = h.cand_id AND y.key = w.key WHERE h.query_id % 50 = 0),
+agreed AS (SELECT query_id, cand_id, category, sum(CASE state WHEN 'MATCH' THEN weight WHEN 'MISMATCH' THEN -weight * penalty ELSE 0 END) / sum(CASE WHEN state <> 'UNKNOWN' THEN weight END) AS raw,
+    sum(CASE WHEN state <> 'UNKNOWN' THEN weight ELSE 0 END) / sum(weight) AS coverage,
+    CASE WHEN max(CASE WHEN critical = 1 AND state = 'MISMATCH' THEN 1 ELSE 0 END) = 1 THEN 'BLOCK' WHEN max(CASE WHEN critical = 1 AND state = 'UNKNOWN' THEN 1 ELSE 0 END) = 1 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PASS' END AS verdict
+  FROM compared GROUP BY 1, 2, 3),
+scored AS (SELECT h.query_id, h.cand_id, verdict,
+    ws * least(greatest(semantic, 0), 1) + wl * lexical + wa * (0.5 + ((greatest(-1, least(1, raw)) + 1) / 2 - 0.5) * (0.4 + 0.6 * coverage)) AS score
+  FROM agreed a JOIN hybrid h USING (query_id, cand_id) JOIN shares USING (category)),
+linked AS (SELECT id AS cand_id, (min(id) OVER (PARTITION BY norm_text))::VARCHAR AS entity_id FROM normalized)
+"""
+
+
+@query(
+    ITEM_SCORED_SQL + """SELECT asked_id, rank::INT AS rank, record_id, floor(score * 10000 + 0.5) / 10000 AS score, verdict, score >= 0.58 AND verdict = 'PASS' AS would_merge
+  FROM (SELECT query_id AS asked_id, cand_id AS record_id, score, verdict, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1000000000 + 0.5) DESC, cand_id) AS rank FROM scored WHERE query_id <> cand_id) WHERE rank <= 10"""
+)
+def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every item whose id is divisible by 50 against all items."""
+    records, links = Q.catalogue(spark, d)
+    found = govern.ranked_candidates(records.where("id % 50 = 0").select("id"), records, links, 10)
+    return found.select("asked_id", "rank", "record_id", Q.four(F.col("score")).alias("score"), "verdict", "would_merge")
+
+
+@query(
+    ITEM_SCORED_SQL + """,
+  best AS (SELECT query_id, entity_id, score, verdict, row_number() OVER (PARTITION BY query_id, entity_id ORDER BY floor(score * 1000000000 + 0.5) DESC, cand_id) AS nth FROM scored JOIN linked USING (cand_id)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1000000000 + 0.5) DESC, entity_id) AS rank FROM best WHERE nth = 1)
+  SELECT -1 - r.query_id AS probe_id, r.rank::INT AS rank, r.entity_id, floor(r.score * 10000 + 0.5) / 10000 AS score, r.verdict,
+    CASE WHEN f.score < 0.42 OR (f.score >= 0.58 AND f.verdict = 'BLOCK') THEN 'CREATE_NEW' WHEN f.score >= 0.58 AND f.verdict = 'PASS' THEN 'USE_EXISTING' ELSE 'REVIEW' END AS recommendation
+  FROM placed r JOIN placed f ON f.query_id = r.query_id AND f.rank = 1 WHERE r.rank <= 5"""
+)
+def governance_check(spark: SparkSession, d: str) -> DataFrame:
+    """The description of every item whose id is divisible by 50, as a new one, against all items."""
+    records, links = Q.catalogue(spark, d)
+    probes = records.where("id % 50 = 0").select((-1 - F.col("id")).alias("id"), "raw_text")
+    found = govern.check_new_items(probes, records, links)
+    return found.select("probe_id", "rank", "entity_id", Q.four(F.col("score")).alias("score"), "verdict", "recommendation")
+
+
 # ---- clusters, runs, evaluation -------------------------------------------------------------
 
 
