@@ -498,14 +498,6 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return resolve.review_rows(v, entity_of, routed).select("record_id", "status", four(F.col("score")).alias("score"))
 
 
-@query()
-def resolve_items(spark: SparkSession, d: str) -> DataFrame:
-    """The whole run over the synthesized items: retrieval, scores, clusters, entities; its crosswalk."""
-    it = items(spark, d)
-    records = materialize(resolve.enrich(it.withColumn("local_code", F.col("id").cast("string"))))
-    return resolve.resolve(records, k=10).crosswalk.select("entity_id", "record_id", "match_score", "relationship")
-
-
 # ---- evaluation ---------------------------------------------------------------------------
 
 LABELLED_SQL = """

@@ -560,29 +560,30 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
 
 
-#: Candidates of the items whose id is divisible by 50, scored over all keys of their category, with the verdict.
-ITEM_SCORED_SQL = ITEM_HYBRID_SQL.format(k=30, own="") + ",attrs AS" + Q.ATTRIBUTES_SQL.split("attrs AS", 1)[1] + """,
+#: Scores over all keys of the category, and the verdict, for the rows of pairs (query_id, cand_id, semantic, lexical).
+SCORED_ITEMS_SQL = ",attrs AS" + Q.ATTRIBUTES_SQL.split("attrs AS", 1)[1] + """,
 weights AS (SELECT * FROM """ + sql_rows([
     (c, k, R.WEIGHTS[c][3].get(k, R.KEY_WEIGHT), R.PENALTY_CRITICAL if k in R.CRITICAL[c] else R.PENALTY_OTHER, int(k in R.CRITICAL[c]))
     for c, keys in R.SCHEMAS.items() for k in keys
 ]) + """ w(category, key, weight, penalty, critical)),
 shares AS (SELECT * FROM """ + sql_rows([(c, *w[:3]) for c, w in R.WEIGHTS.items()]) + """ s(category, ws, wl, wa)),
 compared AS (SELECT h.query_id, h.cand_id, n.category, weight, penalty, critical, CASE WHEN x.value IS NULL OR y.value IS NULL THEN 'UNKNOWN' WHEN x.value = y.value THEN 'MATCH' ELSE 'MISMATCH' END AS state
-  FROM hybrid h JOIN normalized n ON n.id = h.query_id JOIN weights w ON w.category = n.category
-  LEFT JOIN attrs x ON x.id = h.query_id AND x.key = w.key LEFT JOIN attrs y ON y.id = h.cand_id AND y.key = w.key WHERE h.query_id % 50 = 0),
+  FROM pairs h JOIN normalized n ON n.id = h.query_id JOIN weights w ON w.category = n.category
+  LEFT JOIN attrs x ON x.id = h.query_id AND x.key = w.key LEFT JOIN attrs y ON y.id = h.cand_id AND y.key = w.key),
 agreed AS (SELECT query_id, cand_id, category, sum(CASE state WHEN 'MATCH' THEN weight WHEN 'MISMATCH' THEN -weight * penalty ELSE 0 END) / sum(CASE WHEN state <> 'UNKNOWN' THEN weight END) AS raw,
     sum(CASE WHEN state <> 'UNKNOWN' THEN weight ELSE 0 END) / sum(weight) AS coverage,
     CASE WHEN max(CASE WHEN critical = 1 AND state = 'MISMATCH' THEN 1 ELSE 0 END) = 1 THEN 'BLOCK' WHEN max(CASE WHEN critical = 1 AND state = 'UNKNOWN' THEN 1 ELSE 0 END) = 1 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'PASS' END AS verdict
   FROM compared GROUP BY 1, 2, 3),
 scored AS (SELECT h.query_id, h.cand_id, verdict,
     ws * least(greatest(semantic, 0), 1) + wl * lexical + wa * (0.5 + ((greatest(-1, least(1, raw)) + 1) / 2 - 0.5) * (0.4 + 0.6 * coverage)) AS score
-  FROM agreed a JOIN hybrid h USING (query_id, cand_id) JOIN shares USING (category)),
+  FROM agreed a JOIN pairs h USING (query_id, cand_id) JOIN shares USING (category)),
 linked AS (SELECT id AS cand_id, (min(id) OVER (PARTITION BY norm_text))::VARCHAR AS entity_id FROM normalized)
 """
+ASKED_SQL = ITEM_HYBRID_SQL.format(k=30, own="") + ", pairs AS (SELECT * FROM hybrid WHERE query_id % 50 = 0)" + SCORED_ITEMS_SQL
 
 
 @query(
-    ITEM_SCORED_SQL + """SELECT asked_id, rank::INT AS rank, record_id, floor(score * 10000 + 0.5) / 10000 AS score, verdict, score >= 0.58 AND verdict = 'PASS' AS would_merge
+    ASKED_SQL + """SELECT asked_id, rank::INT AS rank, record_id, floor(score * 10000 + 0.5) / 10000 AS score, verdict, score >= 0.58 AND verdict = 'PASS' AS would_merge
   FROM (SELECT query_id AS asked_id, cand_id AS record_id, score, verdict, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1000000000 + 0.5) DESC, cand_id) AS rank FROM scored WHERE query_id <> cand_id) WHERE rank <= 10"""
 )
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -593,7 +594,7 @@ def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    ITEM_SCORED_SQL + """,
+    ASKED_SQL + """,
   best AS (SELECT query_id, entity_id, score, verdict, row_number() OVER (PARTITION BY query_id, entity_id ORDER BY floor(score * 1000000000 + 0.5) DESC, cand_id) AS nth FROM scored JOIN linked USING (cand_id)),
   placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1000000000 + 0.5) DESC, entity_id) AS rank FROM best WHERE nth = 1)
   SELECT -1 - r.query_id AS probe_id, r.rank::INT AS rank, r.entity_id, floor(r.score * 10000 + 0.5) / 10000 AS score, r.verdict,
@@ -608,6 +609,27 @@ def governance_check(spark: SparkSession, d: str) -> DataFrame:
     return found.select("probe_id", "rank", "entity_id", Q.four(F.col("score")).alias("score"), "verdict", "recommendation")
 
 
+@query(
+    ITEM_HYBRID_SQL.format(k=10, own=NOT_OWN).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+pairs AS (SELECT least(query_id, cand_id) AS query_id, greatest(query_id, cand_id) AS cand_id, semantic, lexical FROM hybrid h
+  QUALIFY row_number() OVER (PARTITION BY least(h.query_id, h.cand_id), greatest(h.query_id, h.cand_id) ORDER BY h.query_id) = 1)""" + SCORED_ITEMS_SQL + """,
+-- Linked items agree in all critical values, so no component is cut.
+edges AS (SELECT query_id AS a, cand_id AS b FROM scored WHERE score >= 0.58 AND verdict = 'PASS' UNION SELECT cand_id, query_id FROM scored WHERE score >= 0.58 AND verdict = 'PASS'),
+reach(id, other) AS (SELECT id, id FROM normalized UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a),
+component AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id),
+numbered AS (SELECT cluster, count(*) AS n, 'ENT-' || lpad(row_number() OVER (ORDER BY list_position(""" + sql_list(list(R.CATEGORIES)) + """, min(category)), cluster)::VARCHAR, 6, '0') AS entity_id
+  FROM component JOIN normalized USING (id) GROUP BY cluster),
+seen AS (SELECT query_id AS id, cand_id AS other, score FROM scored UNION ALL SELECT cand_id, query_id, score FROM scored),
+inside AS (SELECT s.id, max(score) AS best FROM seen s JOIN component x ON x.id = s.id JOIN component y ON y.id = s.other WHERE x.cluster = y.cluster GROUP BY s.id)
+SELECT entity_id, c.id AS record_id, floor((CASE WHEN n = 1 THEN 1.0 ELSE coalesce(best, 0) END) * 10000 + 0.5) / 10000 AS match_score,
+  CASE WHEN n = 1 THEN 'SINGLETON' ELSE 'EXACT' END AS relationship FROM component c JOIN numbered USING (cluster) LEFT JOIN inside i ON i.id = c.id"""
+)
+def resolve_items(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run over the synthesized items: retrieval, scores, clusters, entities; its crosswalk."""
+    records = materialize(resolve.enrich(Q.items(spark, d).withColumn("local_code", F.col("id").cast("string"))))
+    return resolve.resolve(records, k=10).crosswalk.select("entity_id", "record_id", "match_score", "relationship")
+
+
 # ---- clusters, runs, evaluation -------------------------------------------------------------
 
 
