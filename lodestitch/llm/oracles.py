@@ -117,6 +117,28 @@ per AS (SELECT l.u, count(*) AS n_lines, list(l.no::INT ORDER BY l.no) FILTER (g
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed, []) AS removed_lines, sha256(coalesce(kept, text)) AS kept_sha256 FROM t LEFT JOIN per USING (u)
 """
 
+OP11 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+r AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h, row_number() OVER w AS place, first_value(page_id) OVER w AS leader FROM p
+  WINDOW w AS (PARTITION BY body ORDER BY page_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+bits AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS g FROM r)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((g[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN leader END AS refers_to, true AS sound FROM bits
+"""
+
+_TERMS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+q AS (SELECT q, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark WHERE text IS NOT NULL)),
+tot AS (SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+p AS (SELECT u, doc_id, n, term, count(*) AS tf FROM (SELECT u, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY u, doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, tot GROUP BY term, docs),
+s AS (SELECT q, item_id, u, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), tot GROUP BY q, item_id, u, doc_id)
+SELECT item_id, place::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, u) AS place FROM s WHERE score > 0) WHERE place <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -125,4 +147,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": OP3,
         "op5_ngram_join": OP5,
         "op7_line_dedup": OP7,
+        "op11_warc_transactions": OP11,
+        "op12_tput_search": OP12,
     }

@@ -16,7 +16,11 @@ from lodestitch.llm.quote_linking import link_quotes
 from lodestitch.llm.ring_sharding import shard_rows
 from lodestitch.llm.suffix_dedup import remove_repeats
 from lodestitch.llm.template_decontam import find_contamination
+from lodestitch.llm.tput_search import search
 from lodestitch.llm.url_reputation import judge_urls
+from lodestitch.llm.warc import assemble, index_archive, read_records, resolve, write_archive
+from lodestitch.llm.whitening import whiten
+from lodestitch.plans.materialize import scratch_folder
 from lodestitch.sources.tables import table
 
 #: The rule list of the production filter.
@@ -85,6 +89,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_folder(spark)}/warc"
+    write_archive(table(spark, sf_dir, "pages"), folder)
+    captures = resolve(assemble(index_archive(read_records(spark, folder))))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
+def op12_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -99,5 +118,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_ring_sharding,
             op9_html_consensus,
             op10_byte_bpe,
+            op11_warc_transactions,
+            op12_tput_search,
+            op13_whitening,
         )
     }
