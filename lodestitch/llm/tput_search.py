@@ -4,13 +4,14 @@ The postings of a term are its list: a row per document that holds it, with the
 document gets for the term. Lists are stored term by term, most points first, cut into ranges of about
 equal size, so that a long list is many files and a filter on points skips whole row groups.
 
-1. The ``k`` heads of every list are fetched. Added up per document they are lower bounds; a
-   query's k-th best lower bound is its first threshold.
-2. The threshold, divided evenly by the number of the query's lists, bounds every list: a document
-   that is below this share in each of them can't enter. What is not below is fetched.
-   Sums are better lower bounds and give a second threshold; a document whose sum, with the
-   share for every list that it was not fetched from, stays below it is dropped.
-3. For the documents that are left, all points are looked up in the documents' own rows, and the k best are ranked.
+1. The ``k`` heads of every list are fetched, and their documents scored. A query's k-th best score is its first threshold.
+2. A part of the threshold (``SHARED``) is divided evenly over the query's lists: every list is fetched down to this uniform share. With
+   the forty lists of a long query the share alone would open nearly all lists to the end, so another part
+   (``DEFERRED``) is spent on deferring lists whose heads fit into it, the lowest, which are the longest, first. A
+   document that is fetched from no list stays below the threshold. Sums of what is fetched, with what
+   the rest of the lists could add, are upper bounds; documents below the threshold are dropped.
+3. The documents that are left are looked up for their exact scores, first the k best so far, which
+   raise the threshold once more, then those that still reach it; the k best are ranked.
 
 Scores are 64-bit integers, so bounds are exact, and documents of equal score all come through to the
 last ranking, however many they are. Long lists of frequent words have few points, so the share
@@ -46,6 +47,8 @@ GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 MOST_TERMS = 200_000
 #: Rows of a small side (numbers only) that are sent to all executors; a larger one is shuffled.
 MOST_SENT = 500_000
+#: Percent of the first threshold that the uniform share, and the deferred lists, are paid from; less than 100 together.
+SHARED, DEFERRED = 10, 50
 #: Postings of a range of the stored lists.
 RANGE_ROWS = 2_000_000
 
@@ -157,30 +160,43 @@ def search(
     ranges = max(1, sizes["rows"] // RANGE_ROWS)
     lists = stored(listed.repartitionByRange(ranges, "term", F.desc("points"), "doc").sortWithinPartitions("term", F.desc("points")))
 
+    def scored(pairs: DataFrame, most: int) -> DataFrame:
+        """q, doc, doc_id, score of pairs (q, doc), from the documents' own rows."""
+        texts = forward.withColumnRenamed("id", "doc_id").join(sent(pairs, most), "doc").select("q", "doc", "doc_id", "n", entry)
+        texts = texts.select("q", "doc", "doc_id", "n", F.col("e.words").alias("word"), F.col("e.tf").cast("long").alias("tf"))
+        texts = texts.withColumnRenamed("word", "term") if few else texts.join(named, "word").drop("word")
+        exact = texts.join(sent(asked, wanted["pairs"]), ["q", "term"]).join(sent(weights, wanted["words"]), "term")
+        return exact.groupBy("q", "doc", "doc_id").agg(F.sum(_points(n_docs, n_terms)).alias("score"))
+
     # 1: heads.
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("points"), "doc"))
     heads = stored(lists.withColumn("place", place).where(F.col("place") <= k).drop("place"))
-    first = heads.join(asked, "term").groupBy("q", "doc").agg(F.sum("points").alias("low"))
-    tops = asked.join(heads.groupBy("term").agg(F.max("points").alias("top")), "term")
-    per_query = tops.groupBy("q").agg(F.count("*").alias("m")).join(_threshold(first, k, "low"), "q", "left")
-    share = per_query.select("q", F.expr("(coalesce(low, 1) + m - 1) div m").alias("share"))
-    # An entry below its query's share leaves at most this much out.
-    bounds = stored(tops.join(share, "q").withColumn("rest", F.least(F.col("share") - 1, "top")))
-
-    # 2: everything from the share up. No query asks for less than the least share, so row groups below it aren't read.
-    least = bounds.agg(F.min("share")).first()[0]
-    fetched = lists.where(F.col("points") >= F.lit(least or 0)).join(sent(bounds.where("top >= share"), wanted["pairs"]), "term").where("points >= share")
+    first = stored(heads.join(asked, "term").select("q", "doc").distinct())
+    thresholds = _threshold(scored(first, wanted["pairs"] * k).withColumnRenamed("score", "low"), k, "first")
+
+    # 2: a uniform share, and lists that wait.
+    tops = asked.join(heads.groupBy("term").agg(F.max("points").alias("top")), "term").join(thresholds, "q", "left")
+    per_query, lowest = Window.partitionBy("q"), Window.partitionBy("q").orderBy("top", "term")
+    tops = tops.withColumn("share", F.greatest(F.lit(1).cast("long"), F.expr(f"coalesce({SHARED} * first, 0) div 100") / F.count("*").over(per_query)).cast("long"))
+    tops = tops.withColumn("spent", F.sum(F.greatest(F.col("top") - F.col("share") + 1, F.lit(0))).over(lowest))
+    waits = (F.col("top") < F.col("share")) | F.coalesce(F.col("spent") <= F.expr(f"{DEFERRED} * first div 100"), F.lit(False))
+    rest = F.when(F.col("waits"), F.col("top")).otherwise(F.col("share") - 1)
+    bounds = stored(tops.withColumn("waits", waits).select("q", "term", "first", "share", "waits", rest.alias("rest")))
+    # No query asks for less than the least share, so row groups below it aren't read.
+    least = bounds.where("not waits").agg(F.min("share")).first()[0]
+    opened = sent(bounds.where("not waits").select("q", "term", "share", "rest"), wanted["pairs"])
+    fetched = lists.where(F.col("points") >= F.lit(least or 0)).join(opened, "term").where("points >= share")
     sums = stored(fetched.groupBy("q", "doc").agg(F.sum("points").alias("low"), F.sum("rest").alias("seen")))
-    room = bounds.groupBy("q").agg(F.sum("rest").alias("all_rest")).join(_threshold(sums, k, "second"), "q", "left")
-    left = stored(sums.join(room, "q").where("low + all_rest - seen >= coalesce(second, 0)").select("q", "doc"))
-
-    # 3: the exact scores of what can still enter.
-    texts = forward.withColumnRenamed("id", "doc_id").join(sent(left, left.count()), "doc").select("q", "doc", "doc_id", "n", entry)
-    texts = texts.select("q", "doc", "doc_id", "n", F.col("e.words").alias("word"), F.col("e.tf").cast("long").alias("tf"))
-    texts = texts.withColumnRenamed("word", "term") if few else texts.join(named, "word").drop("word")
-    exact = texts.join(sent(asked, wanted["pairs"]), ["q", "term"]).join(sent(weights, wanted["words"]), "term").withColumn("points", _points(n_docs, n_terms))
-    scores = exact.groupBy("q", "doc", "doc_id").agg(F.sum("points").alias("score")).where("score > 0")
-    best = _best(scores, k, F.desc("score"), F.asc_nulls_last("doc_id"), F.col("doc"))
+    room = bounds.groupBy("q").agg(F.sum("rest").alias("all_rest"), F.max("first").alias("first")).join(_threshold(sums, k, "second"), "q", "left")
+    reach = F.col("low") + F.col("all_rest") - F.col("seen")
+    left = sums.join(sent(room, wanted["pairs"]), "q").withColumn("reach", reach).where("reach >= coalesce(greatest(first, second), 0)")
+    left = stored(left.select("q", "doc", "low", "reach"))
+
+    # 3: exact scores.
+    ahead = _best(left, k, F.desc("low"), F.col("doc")).select("q", "doc")
+    third = _threshold(scored(stored(ahead), wanted["pairs"] * k).withColumnRenamed("score", "low"), k, "third")
+    last = stored(left.join(sent(third, wanted["pairs"]), "q", "left").where("reach >= coalesce(third, 0)").select("q", "doc"))
+    best = _best(scored(last, last.count()).where("score > 0"), k, F.desc("score"), F.asc_nulls_last("doc_id"), F.col("doc"))
     return best.join(queries.select("q", F.col("id").alias("item_id")), "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
