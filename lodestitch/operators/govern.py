@@ -9,7 +9,8 @@ from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import value_text
 from lodestitch.operators.resolve import enrich
-from lodestitch.operators.retrieval import TIES, hybrid_candidates
+from lodestitch.operators.nearest import TIES
+from lodestitch.operators.retrieval import hybrid_candidates
 
 USE_EXISTING, CREATE_NEW, REVIEW = "USE_EXISTING", "CREATE_NEW", "REVIEW"
 

@@ -15,7 +15,7 @@ from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import ATTRIBUTE, extract_attributes, value_text
 from lodestitch.functions.text import detect_category, normalize, rule_trace, tokenize
-from lodestitch.operators import evaluate, govern, reports, resolve, retrieval
+from lodestitch.operators import evaluate, govern, lexical, nearest, reports, resolve
 from lodestitch.operators.graph import connected_components
 from lodestitch.plans.materialize import materialize, spread
 from lodestitch.sources import ingest, snapshots
@@ -323,7 +323,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(raw *
 @query("WITH " + COSINE_SQL + "SELECT query_id, cand_id, floor(greatest(raw, 0) * 10000 + 0.5) / 10000 AS semantic FROM top WHERE r <= 5")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return retrieval.cosine_top_k(v, v, 5).select("query_id", "cand_id", four(F.col("semantic")).alias("semantic"))
+    return nearest.cosine_top_k(v, v, 5).select("query_id", "cand_id", four(F.col("semantic")).alias("semantic"))
 
 
 @query(
@@ -335,7 +335,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def cosine_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    found = evaluate.group_recall(v.select("id", F.col("category").alias("truth")), retrieval.cosine_top_k(v, v, 10))
+    found = evaluate.group_recall(v.select("id", F.col("category").alias("truth")), nearest.cosine_top_k(v, v, 10))
     return found.withColumn("recall", four(F.col("recall")))
 
 
@@ -364,7 +364,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(raw *
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     corpus = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("category"), _ascii_tokens("text").alias("tokens"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("category"), _ascii_tokens("text").alias("tokens"))
-    return retrieval.bm25_top_k(asked, corpus, 5).select("query_id", "cand_id", four(F.col("lexical")).alias("lexical"))
+    return lexical.bm25_top_k(asked, corpus, 5).select("query_id", "cand_id", four(F.col("lexical")).alias("lexical"))
 
 
 # ---- clusters and golden records ----------------------------------------------------------

@@ -13,12 +13,12 @@ from lodestitch.functions import attributes as A
 from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions import text as T
-from lodestitch.operators import evaluate, govern, reports, resolve, retrieval
+from lodestitch.operators import evaluate, govern, lexical, nearest, reports, resolve, retrieval
 from lodestitch.plans import jobs, weights
 from lodestitch.plans import queries as Q
-from lodestitch.plans.materialize import materialize, scratch_folder
+from lodestitch.plans.materialize import materialize, scratch_folder, stored
 from lodestitch.plans.queries import query
-from lodestitch.sources import ingest, snapshots
+from lodestitch.sources import ingest, search_index, snapshots
 from lodestitch.sources.tables import table
 
 
@@ -490,7 +490,7 @@ def pair_lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     corpus = items.select(F.col("item_id").alias("id"), F.lit(None).cast("string").alias("category"), Q._ascii_tokens("text").alias("tokens"))
     pairs = items.select(F.col("item_id").alias("a")).join(items.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b")), "a")
-    return retrieval.pair_lexical(pairs, corpus).withColumn("lexical", Q.four(F.col("lexical")))
+    return lexical.pair_lexical(pairs, corpus).withColumn("lexical", Q.four(F.col("lexical")))
 
 
 #: Both channels over toks (id, label, toks) and top (query_id, cand_id, raw, r).
@@ -511,19 +511,59 @@ NOT_OWN = "WHERE query_id <> cand_id"
 FOUR_SQL = "SELECT query_id, cand_id, floor(semantic * 10000 + 0.5) / 10000 AS semantic, floor(lexical * 10000 + 0.5) / 10000 AS lexical, channel FROM hybrid"
 
 
-@query("WITH " + Q.COSINE_SQL + """,
+GIVEN_SQL = "WITH " + Q.COSINE_SQL + """,
 toks AS (SELECT vec_id AS id, label, list_filter(string_split_regex(upper(coalesce(p_name || ' ' || p_type || ' ' || p_brand, '')), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks
   FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
-""" + HYBRID_SQL.format(k=10, own=NOT_OWN) + FOUR_SQL)
-def hybrid_of_given_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Both channels over given vectors and the tokens of the part with the same number."""
+""" + HYBRID_SQL.format(k=10, own=NOT_OWN) + FOUR_SQL
+
+
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    """Given vectors, and the tokens of the part with the same number."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), "embedding")
     text = table(spark, d, "part").select(key().alias("id"), T.tokenize(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
-    records = v.join(text, "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    return v.join(text, "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+@query(GIVEN_SQL)
+def hybrid_of_given_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Both channels over given vectors and tokens."""
+    records = _given(spark, d)
     found = retrieval.hybrid_candidates(records, records, 10)
     return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
 
 
+@query(GIVEN_SQL)
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index that is written and opened again."""
+    records, base = materialize(_given(spark, d)), f"{scratch_folder(spark)}/index"
+    search_index.write_index(records, base, depth=10)
+    found = search_index.search(records, search_index.open_index(spark, base), 10)
+    return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
+
+
+@query(GIVEN_SQL)
+def renewed_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index whose categories 3 and 7 came later."""
+    records, base = materialize(_given(spark, d)), f"{scratch_folder(spark)}/index"
+    later = F.col("category").isin("3", "7")
+    search_index.write_index(records.where(~later), base, depth=10)
+    search_index.refresh_index(records, records.where(later).select("category"), base)
+    found = search_index.search(records, search_index.open_index(spark, base), 10)
+    return found.withColumns({c: Q.four(F.col(c)) for c in ("semantic", "lexical")})
+
+
+@query("""SELECT count(*) * 10 AS listed, true AS recall_reached FROM embeddings""")
+def inverted_file_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the ten nearest by inverted file, how many there are, and whether nine tenths of the true ones are among them."""
+    v = stored(Q._vectors(spark, d))
+    index = nearest.build_vectors(v, cell_rows=64, least=0)
+    probes, _ = nearest.fit_probes(index, 10, 0.95)
+    found = nearest.inverted_top_k(v, index, probes, 10).select("query_id", "cand_id", F.lit(1).alias("found"))
+    truth = nearest.cosine_top_k(v, v, 10).select("query_id", "cand_id", F.lit(1).alias("true"))
+    both = truth.join(found, ["query_id", "cand_id"], "full_outer")
+    return both.agg(F.count("found").alias("listed"), (F.count_if(F.col("true").isNotNull() & F.col("found").isNotNull()) >= 0.9 * F.count("true")).alias("recall_reached"))
+
+
 #: Vectors of texts (id, label, text): signed counts of hashed tokens and token pairs, of unit length, as floats.
 HASHED_SQL = """
 toks AS (SELECT id, label, list_filter(string_split_regex(upper(text), '[^A-Z0-9.\\-#]+'), lambda t: t <> '') AS toks FROM texts),

@@ -7,7 +7,9 @@ from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import BAG
 from lodestitch.operators import evaluate, govern, reports, resolve
 from lodestitch.operators.graph import connected_components
-from lodestitch.operators.retrieval import bm25_top_k, cosine_top_k, hybrid_candidates
+from lodestitch.operators.lexical import bm25_top_k
+from lodestitch.operators.nearest import cosine_top_k
+from lodestitch.operators.retrieval import hybrid_candidates
 from lodestitch.plans import jobs
 from lodestitch.plans.materialize import materialize
 from lodestitch.sources import snapshots, synthetic
@@ -204,7 +206,8 @@ def test_prepared_bags_give_the_same_verdicts(records):
 
 def test_previews_vectors_and_consistency(spark):
     from lodestitch.functions.compare import is_consistent
-    from lodestitch.operators.retrieval import backfill_vectors, hashed_vector, index_stats, pair_lexical, records_of
+    from lodestitch.operators.lexical import pair_lexical
+    from lodestitch.operators.retrieval import backfill_vectors, hashed_vector, index_stats, records_of
 
     row = resolve.preview(spark.createDataFrame([("GT VLV 6 IN",)], "raw_text string")).first()
     assert (row.category, row.norm_text, row.tokens) == (R.VALVE, "GATE VALVE DN150", ["GATE", "VALVE", "DN150"])
