@@ -357,3 +357,12 @@ def test_shards_equal_row_by_row_insertion(spark):
 def test_fewer_rows_than_shards(spark, shards):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert shard_rows(df, shards).count() == 1
+
+
+def test_the_mass_of_a_host_with_very_many_labels_takes_no_memory():
+    for n in (10**6, 10**8):
+        spread = 1 / (2 * math.sqrt(2 * n))
+        for z in (-2.0, 0.0, 0.5, 3.0):
+            # Close to a normal distribution around 1/2.
+            found = beta_mass_below(0.5 + z * spread, n, n)
+            assert found == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), abs=1e-3)
