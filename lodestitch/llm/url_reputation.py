@@ -111,7 +111,7 @@ def beta_mass_below(x: float, a: float, b: float) -> float:
         term = top * x / ((a + step - 1) * (a + step))
         d, c = 1.0 / ((1.0 + term * d) or tiny), (1.0 + term / c) or tiny
         value, before = value * c * d, value
-        if step > 2 and abs(value - before) <= 1e-15 * abs(value):
+        if step > 2 and abs(value - before) <= 1e-14 * abs(value):
             return min(1.0, max(0.0, front * value))
 
 
