@@ -41,3 +41,31 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     lonely = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.unionByName(lonely)
+
+
+def extend_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component, touched: components ``labels`` (node, component) after more edges.
+
+    An edge between known nodes is one between their components, so the graph that is searched has the new
+    edges only, however large the known part is; a known label is read once, for a join. ``touched``: the component is
+    not one of ``labels``, with the same nodes. A label is the least node of its component, as in ``connected_components``.
+    """
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    known = labels.select("node", "component")
+    named = lambda df, end: df.join(known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_root")), end, "left")
+    rooted = materialize(named(named(ends, "x"), "y"))
+    root = lambda end: F.coalesce(f"{end}_root", end)
+    merged = materialize(connected_components(rooted.select(root("x").alias("a"), root("y").alias("b"))))
+    # Roots that only meet themselves change nothing; nodes that are met first do.
+    fresh = rooted.select(F.explode(F.array(*[F.struct(F.col(e).alias("node"), F.col(f"{e}_root").alias("root")) for e in "xy"])).alias("e"))
+    fresh = fresh.select("e.*").where("root is null").select("node").distinct()
+    joined = merged.join(fresh.select(F.col("node"), F.lit(True).alias("new")), "node", "left")
+    several = joined.groupBy("component").agg((F.count("*") > 1).alias("many"), F.coalesce(F.max("new"), F.lit(False)).alias("new"))
+    renamed = joined.select(F.col("node").alias("old"), "component").join(several, "component").select(
+        "old", F.col("component").alias("now"), (F.col("many") | F.col("new")).alias("changed")
+    )
+    kept = known.join(renamed, F.col("component") == F.col("old"), "left").select(
+        "node", F.coalesce("now", "component").alias("component"), F.coalesce("changed", F.lit(False)).alias("touched")
+    )
+    added = fresh.join(renamed, F.col("node") == F.col("old")).select("node", F.col("now").alias("component"), F.lit(True).alias("touched"))
+    return kept.unionByName(added)

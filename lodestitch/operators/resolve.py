@@ -17,7 +17,7 @@ from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import extract_attributes, value_text
 from lodestitch.functions.text import detect_category, is_known, normalize, rule_trace, tokenize
-from lodestitch.operators.graph import connected_components
+from lodestitch.operators.graph import connected_components, extend_components
 from lodestitch.operators.retrieval import embed, hybrid_candidates
 from lodestitch.plans.materialize import materialize
 from lodestitch.plans.numbering import row_numbers
@@ -341,7 +341,10 @@ def resolve(
     scored = score_pairs(records, candidates, weights)
     routed = materialize(scored.withColumn("route", route(F.col("score"), F.col("verdict"), gate, merge_at, review_at)))
     members = components(records, routed.where(F.col("route") == EDGE))
-    clusters = materialize(split_clusters(records, members, gate))
+    return _planned(records, routed, materialize(split_clusters(records, members, gate)), gate, merge_at)
+
+
+def _planned(records: DataFrame, routed: DataFrame, clusters: DataFrame, gate: bool, merge_at: float) -> Plan:
     entities = number_entities(records, clusters)
     entity_of = materialize(clusters.join(entities.select("cluster", "entity_id"), "cluster").select("id", "entity_id"))
     golden = golden_records(survive(records, entity_of), entities)
@@ -356,6 +359,36 @@ def resolve(
     )
 
 
+def resolve_more(
+    before: Plan,
+    arrived: DataFrame,
+    *,
+    gate: bool = True,
+    merge_at: float = R.MERGE_AT,
+    review_at: float = R.REVIEW_AT,
+    k: int = R.CANDIDATES,
+    weights: dict | None = None,
+) -> Plan:
+    """The plan after enriched records have ``arrived`` (ids that ``before`` does not have), on top of a plan.
+
+    Only the new records search, among all; only their pairs are compared. Components grow from the stored ones by the new
+    edges, and only components that changed are cut anew. Pairs of older records keep the scores that they got; a
+    full run would weigh their words by all records, so its scores may differ from these.
+    """
+    records = materialize(before.records.unionByName(arrived, allowMissingColumns=True))
+    scored = score_pairs(records, hybrid_candidates(arrived, records, k), weights)
+    fresh = materialize(scored.withColumn("route", route(F.col("score"), F.col("verdict"), gate, merge_at, review_at)))
+    known = before.clusters.select(F.col("id").alias("node"), "component")
+    edges = fresh.where(F.col("route") == EDGE).select("a", "b").unionByName(arrived.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    grown = materialize(extend_components(known, edges))
+    members = grown.select(F.col("node").alias("id"), "component", "touched")
+    cut = split_clusters(records, members.where("touched").drop("touched"), gate)
+    untouched = before.clusters.join(members.where("touched").select("id"), "id", "left_anti")
+    clusters = materialize(untouched.unionByName(cut.select(untouched.columns)))
+    pairs = before.pairs.unionByName(fresh.select(before.pairs.columns))
+    return _planned(records, pairs, clusters, gate, merge_at)
+
+
 def run_statistics(plan: Plan) -> DataFrame:
     """One row: records, pairs, edges, blocked, review, entities, merged records."""
     by_route = lambda r: F.count_if(F.col("route") == r).alias(r)

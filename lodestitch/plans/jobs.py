@@ -29,17 +29,21 @@ def jobs(spark: SparkSession, base: str) -> DataFrame:
 
 
 def run(spark: SparkSession, records: DataFrame, base: str, **options) -> str:
-    """Resolve, check, publish; returns the job id. A failure is logged and raised, and publishes nothing."""
+    """Resolve, check, publish; returns the job id. A failure is logged and raised, and publishes nothing.
+
+    It is a failure too if another job has published meanwhile: its decisions would be lost.
+    """
     job_id, began = uuid.uuid4().hex, time.time()
     log_event(spark, base, job_id, RUNNING, {k: v for k, v in options.items() if k != "weights"})
     try:
+        based_on = snapshots.current_run(spark, base)
         plan = resolve(records, **options)
         before = snapshots.read_current(spark, base, "review")
         tables = plan.tables()
         if before is not None:
             tables["review"] = snapshots.keep_decisions(tables["review"], before)
         snapshots.assert_consistent(records, tables["crosswalk"], tables["entities"], tables["review"])
-        snapshots.publish(spark, base, job_id, tables)
+        snapshots.publish(spark, base, job_id, tables, based_on)
         stats = run_statistics(plan).first().asDict() | {"seconds": round(time.time() - began, 3)}
         log_event(spark, base, job_id, SUCCEEDED, stats)
     except Exception as e:

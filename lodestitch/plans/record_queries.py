@@ -13,7 +13,7 @@ from lodestitch.functions import attributes as A
 from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions import text as T
-from lodestitch.operators import evaluate, govern, lexical, nearest, reports, resolve, retrieval
+from lodestitch.operators import evaluate, govern, graph, lexical, nearest, reports, resolve, retrieval
 from lodestitch.plans import jobs, weights
 from lodestitch.plans import queries as Q
 from lodestitch.plans.materialize import materialize, scratch_folder, stored
@@ -649,7 +649,7 @@ def governance_check(spark: SparkSession, d: str) -> DataFrame:
     return found.select("probe_id", "rank", "entity_id", Q.four(F.col("score")).alias("score"), "verdict", "recommendation")
 
 
-@query(
+RESOLVED_SQL = (
     ITEM_HYBRID_SQL.format(k=10, own=NOT_OWN).replace("WITH ", "WITH RECURSIVE ", 1) + """,
 pairs AS (SELECT least(query_id, cand_id) AS query_id, greatest(query_id, cand_id) AS cand_id, semantic, lexical FROM hybrid h
   QUALIFY row_number() OVER (PARTITION BY least(h.query_id, h.cand_id), greatest(h.query_id, h.cand_id) ORDER BY h.query_id) = 1)""" + SCORED_ITEMS_SQL + """,
@@ -661,7 +661,12 @@ numbered AS (SELECT cluster, count(*) AS n, 'ENT-' || lpad(row_number() OVER (OR
   FROM component JOIN normalized USING (id) GROUP BY cluster),
 seen AS (SELECT query_id AS id, cand_id AS other, score FROM scored UNION ALL SELECT cand_id, query_id, score FROM scored),
 inside AS (SELECT s.id, max(score) AS best FROM seen s JOIN component x ON x.id = s.id JOIN component y ON y.id = s.other WHERE x.cluster = y.cluster GROUP BY s.id)
-SELECT entity_id, c.id AS record_id, floor((CASE WHEN n = 1 THEN 1.0 ELSE coalesce(best, 0) END) * 10000 + 0.5) / 10000 AS match_score,
+"""
+)
+
+
+@query(
+    RESOLVED_SQL + """SELECT entity_id, c.id AS record_id, floor((CASE WHEN n = 1 THEN 1.0 ELSE coalesce(best, 0) END) * 10000 + 0.5) / 10000 AS match_score,
   CASE WHEN n = 1 THEN 'SINGLETON' ELSE 'EXACT' END AS relationship FROM component c JOIN numbered USING (cluster) LEFT JOIN inside i ON i.id = c.id"""
 )
 def resolve_items(spark: SparkSession, d: str) -> DataFrame:
@@ -670,6 +675,26 @@ def resolve_items(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(records, k=10).crosswalk.select("entity_id", "record_id", "match_score", "relationship")
 
 
+@query(RESOLVED_SQL + "SELECT id AS record_id, cluster FROM component")
+def resolve_on_top(spark: SparkSession, d: str) -> DataFrame:
+    """Nine tenths of the items, by id, are resolved, then the last tenth arrives: the clusters of all, as of one run."""
+    records = materialize(resolve.enrich(Q.items(spark, d).withColumn("local_code", F.col("id").cast("string"))))
+    last = records.agg(F.max("id")).first()[0] or 0
+    late = F.col("id") > 9 * last // 10
+    before = resolve.resolve(materialize(records.where(~late)), k=10)
+    return resolve.resolve_more(before, materialize(records.where(late)), k=10).clusters.select(F.col("id").alias("record_id"), "cluster")
+
+
+@query(Q.COMPONENTS_SQL)
+def components_extended(spark: SparkSession, d: str) -> DataFrame:
+    """The links by (name, size) first, those by (name, brand, type) on top."""
+    p = table(spark, d, "part")
+    hubs = lambda keys: p.join(p.groupBy(*keys).agg(F.min("p_partkey").alias("b")), keys).select(F.col("p_partkey").alias("a"), "b")
+    labels = graph.connected_components(hubs(["p_name", "p_size"]))
+    grown = graph.extend_components(labels, hubs(["p_name", "p_brand", "p_type"]).where("a <> b"))
+    return grown.select(F.col("node").alias("id"), "component")
+
+
 # ---- clusters, runs, evaluation -------------------------------------------------------------
 
 

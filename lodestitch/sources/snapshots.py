@@ -1,25 +1,86 @@
-"""Publishing a run: all tables below a new folder, then one pointer.
+"""Publishing a run: all tables below a new folder, a version claimed, then one pointer.
 
-Readers follow the newest manifest, which is written last as one small Parquet file. A run that
+Readers follow the manifest of the highest version, which is written last as one small Parquet table of its own. A run that
 fails before its manifest leaves nothing that a reader sees; a manifest is never changed.
+
+Two runs that began from the same version can't both become the next one: a version is a file that is created only if it
+is not there, and the run that comes second is refused, or goes behind the first if it is not based on anything. (A store has to
+create files exclusively for this, as HDFS does.) A run that dies between its claim and its manifest keeps the
+version until ``release`` gives it back.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "run_id string, published_at timestamp, tables array<string>"
+MANIFEST = "run_id string, published_at timestamp, tables array<string>, version int"
+#: ``based_on`` of a run that does not depend on what is published.
+NOTHING = "<nothing>"
+
+
+class PublishConflict(RuntimeError):
+    """Another run was published since the run began that this one is based on."""
+
+
+def _claims(spark: SparkSession, base: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/claims")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _claim(spark: SparkSession, base: str, version: int) -> bool:
+    """Whether the version is now this run's: its file was not there and has been created."""
+    fs, folder = _claims(spark, base)
+    fs.mkdirs(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{version:010d}")
+    if fs.getScheme() == "file":
+        # Hadoop looks first and creates then; the file system itself does both at once.
+        return spark._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        fs.create(path, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(path):
+            return False
+        raise
+    return True
+
+
+def release(spark: SparkSession, base: str, version: int) -> bool:
+    """Give back a version that has no manifest, because its run died; False if it has one or was never claimed."""
+    if manifest(spark, base).where(F.col("version") == version).limit(1).count():
+        return False
+    fs, folder = _claims(spark, base)
+    return fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{version:010d}"), False)
+
 
+def _last(spark: SparkSession, base: str):
+    """The newest manifest row; runs from before there were versions count as version 0."""
+    order = F.desc(F.coalesce("version", F.lit(0))), F.desc("published_at"), F.desc("run_id")
+    return manifest(spark, base).orderBy(*order).limit(1).first()
 
-def publish(spark: SparkSession, base: str, run_id: str, tables: dict[str, DataFrame]) -> None:
-    """Write every table of a run, then make the run the current one."""
+
+def publish(spark: SparkSession, base: str, run_id: str, tables: dict[str, DataFrame], based_on: str | None = NOTHING) -> int:
+    """Write every table of a run, then make the run the current one; returns its version.
+
+    ``based_on``: the run that was current when this one read its inputs (None: there was none). If another has been published
+    since, ``PublishConflict`` is raised and nothing changes for readers.
+    """
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{base}/runs/{run_id}/{name}")
-    row = [(run_id, datetime.now(timezone.utc), sorted(tables))]
-    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+    last = _last(spark, base)
+    if based_on != NOTHING and (last["run_id"] if last else None) != based_on:
+        raise PublishConflict(f"{run_id} is based on {based_on}, but {last['run_id'] if last else None} is current")
+    version = ((last["version"] or 0) if last else 0) + 1
+    while not _claim(spark, base, version):
+        if based_on != NOTHING:
+            raise PublishConflict(f"version {version} is claimed by another run")
+        version += 1
+    row = [(run_id, datetime.now(timezone.utc), sorted(tables), version)]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.parquet(f"{base}/manifest/v-{version:010d}")
+    return version
 
 
 def manifest(spark: SparkSession, base: str) -> DataFrame:
@@ -27,7 +88,7 @@ def manifest(spark: SparkSession, base: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
+        return spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{base}/manifest")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -35,8 +96,8 @@ def manifest(spark: SparkSession, base: str) -> DataFrame:
 
 
 def current_run(spark: SparkSession, base: str) -> str | None:
-    last = manifest(spark, base).orderBy(F.desc("published_at"), F.desc("run_id")).limit(1).collect()
-    return last[0]["run_id"] if last else None
+    last = _last(spark, base)
+    return last["run_id"] if last else None
 
 
 def read_current(spark: SparkSession, base: str, name: str) -> DataFrame | None:
@@ -47,9 +108,9 @@ def read_current(spark: SparkSession, base: str, name: str) -> DataFrame | None:
 
 def reset(spark: SparkSession, base: str, run_id: str) -> None:
     """A forced reseed: all tables of the current run, empty, as a new run; older runs stay in their folders."""
-    last = manifest(spark, base).orderBy(F.desc("published_at"), F.desc("run_id")).limit(1).collect()
-    names = last[0]["tables"] if last else []
-    publish(spark, base, run_id, {n: spark.read.parquet(f"{base}/runs/{last[0]['run_id']}/{n}").limit(0) for n in names})
+    last = _last(spark, base)
+    names = last["tables"] if last else []
+    publish(spark, base, run_id, {n: spark.read.parquet(f"{base}/runs/{last['run_id']}/{n}").limit(0) for n in names})
 
 
 def keep_decisions(review: DataFrame, before: DataFrame) -> DataFrame:
