@@ -33,6 +33,8 @@ TIES = 1e6
 ROOM = 4 / TIES
 #: The part of the score to beat that is spent on closing lists, and how many times k records are scored for that score.
 SPENT, AHEAD = 0.3, 2
+#: Queries whose bounds (three numbers each) are sent to all executors.
+MOST_SENT = 200_000
 #: Levels of weight of a list, and the records of a list from which on its levels are cut into blocks.
 LEVELS, BLOCK_RECORDS = 16, 1024
 
@@ -222,6 +224,9 @@ def _least_sums(asked: DataFrame, index: LexicalIndex) -> DataFrame:
 
 def candidates(asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """query_id, part, id: the records that can still be among the k best of a query."""
+    # A row per query is sent along where queries are few (counted), so that the many rows of pairs stay where they are.
+    few = asked.select("query_id").distinct().count() <= MOST_SENT
+    sent = lambda df: F.broadcast(df) if few else df
     plan = stored(planned(asked, index, k))
     hits = opened_blocks(plan).join(index.postings.select("key", "id", "w"), "key")
     sums = stored(hits.groupBy("query_id", "part", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("s"), F.sum("rest").alias("seen")))
@@ -230,10 +235,10 @@ def candidates(asked: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     room = room.join(_kth(sums, k, "second"), "query_id", "left").join(_least_sums(asked, index), "query_id", "left")
     reach = (F.col("s") + F.col("all_rest") - F.col("seen") + ROOM).alias("reach")
     least = F.greatest("kth", F.col("second") + F.coalesce("below", F.lit(0.0))).alias("least")
-    left = sums.join(room, "query_id").select("query_id", "part", "id", "s", reach, least)
+    left = sums.join(sent(room), "query_id").select("query_id", "part", "id", "s", reach, least)
     left = stored(left.where("least is null or reach >= least"))
     third = _reached(_best(left, k), asked, index, k, "third")
-    return left.join(third, "query_id", "left").where("third is null or reach >= third").select("query_id", "part", "id")
+    return left.join(sent(third), "query_id", "left").where("third is null or reach >= third").select("query_id", "part", "id")
 
 
 def exact_scores(pairs: DataFrame, asked: DataFrame, index: LexicalIndex) -> DataFrame:
