@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestitch.functions import compare as C
+from lodestitch.operators.substring import GramIndex, contains_any, find_rows
 
 STATUSES = ("BLOCKED", "INSUFFICIENT_EVIDENCE", "NEEDS_REVIEW", "AUTO_MATCHED", "APPROVED", "REJECTED")
 OPEN = ("BLOCKED", "INSUFFICIENT_EVIDENCE", "NEEDS_REVIEW")
@@ -29,22 +30,16 @@ def material_view(records: DataFrame, crosswalk: DataFrame, entities: DataFrame,
     return records.join(links, "id", "left").join(names, "entity_id", "left").join(states, "id", "left")
 
 
-def contains_any(pattern: str | None, *columns: str) -> Column:
-    """Whether a text occurs in one of the columns, in any case; ``%`` and ``_`` are wildcards."""
-    if not pattern:
-        return F.lit(True)
-    out = F.lit(False)
-    for c in columns:
-        out = out | F.coalesce(F.col(c).ilike(f"%{pattern}%"), F.lit(False))
-    return out
+#: What a search of the material view looks into.
+SEARCHED = ("raw_text", "norm_text", "local_code", "entity_id")
 
 
 def list_materials(
     view: DataFrame, *, search: str | None = None, org: str | None = None, category: str | None = None,
-    status: str | None = None, sort: str = "id", descending: bool = False, limit: int = 50, offset: int = 0,
+    status: str | None = None, sort: str = "id", descending: bool = False, limit: int = 50, offset: int = 0, grams: GramIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page, total) of the material view."""
-    rows = view.where(contains_any(search, "raw_text", "norm_text", "local_code", "entity_id"))
+    """(page, total) of the material view. ``grams``: trigrams of ``SEARCHED`` by id, for a search that does not scan."""
+    rows = find_rows(view, grams, search) if grams else view.where(contains_any(search, *SEARCHED))
     for column, value in (("source_org", org.upper() if org else None), ("category", category), ("review_status", status)):
         if value:
             rows = rows.where(F.col(column) == value)
@@ -71,9 +66,14 @@ def entity_members(records: DataFrame, crosswalk: DataFrame, review: DataFrame)
     )
 
 
-def list_entities(entities: DataFrame, members: DataFrame, search: str | None = None, category: str | None = None) -> DataFrame:
-    """Entities with how many organisations use them; members: entity_id, source_org."""
-    rows = entities.where(contains_any(search, "entity_id", "description"))
+def list_entities(
+    entities: DataFrame, members: DataFrame, search: str | None = None, category: str | None = None, grams: GramIndex | None = None
+) -> DataFrame:
+    """Entities with how many organisations use them; members: entity_id, source_org.
+
+    ``grams``: trigrams of entity_id and description by entity_id, for a search that does not scan.
+    """
+    rows = find_rows(entities, grams, search, "entity_id") if grams else entities.where(contains_any(search, "entity_id", "description"))
     rows = rows.where(F.col("category") == category) if category else rows
     orgs = members.groupBy("entity_id").agg(F.count_distinct("source_org").alias("orgs"))
     return rows.join(orgs, "entity_id", "left").withColumn("orgs", F.coalesce("orgs", F.lit(0)))

@@ -15,7 +15,7 @@ from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import ATTRIBUTE, extract_attributes, value_text
 from lodestitch.functions.text import detect_category, normalize, rule_trace, tokenize
-from lodestitch.operators import evaluate, govern, lexical, nearest, reports, resolve
+from lodestitch.operators import evaluate, govern, lexical, nearest, reports, resolve, substring
 from lodestitch.operators.graph import connected_components
 from lodestitch.plans.materialize import materialize, spread
 from lodestitch.sources import ingest, snapshots
@@ -614,6 +614,16 @@ def material_listing(spark: SparkSession, d: str) -> DataFrame:
     return page.select("id", "local_code", "match_score")
 
 
+@query(SQL["material_listing"])
+def material_listing_by_grams(spark: SparkSession, d: str) -> DataFrame:
+    """The same page, found through trigrams of the texts."""
+    t = report_tables(spark, d)
+    view = materialize(reports.material_view(t["records"], t["crosswalk"], t["entities"], t["review"]))
+    grams = substring.build_grams(view, "id", *reports.SEARCHED)
+    page, _ = reports.list_materials(view, search="ring", status="BLOCKED", sort="match_score", descending=True, limit=50, offset=20, grams=grams)
+    return page.select("id", "local_code", "match_score")
+
+
 @query("WITH " + LINKS_SQL + "SELECT a.id, count(*) AS siblings FROM rec a JOIN rec b ON a.entity_id = b.entity_id AND a.id <> b.id GROUP BY a.id")
 def sibling_counts(spark: SparkSession, d: str) -> DataFrame:
     t = report_tables(spark, d)
