@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestitch.operators.retrieval import partition_key
@@ -72,11 +72,41 @@ def hard_negative_groups(items: DataFrame) -> DataFrame:
     return groups.where(F.size("truths") > 1)
 
 
+def least_contradictions(rows: DataFrame, groups: list[str], label: str, limit: int) -> DataFrame:
+    """The group's columns, a, b, label_a, label_b: the ``limit`` least pairs (a < b) of one group and different labels; ``rows``: id and these.
+
+    Not all pairs are made. The first of a group's ids has a partner wherever there are two labels, so only the ``limit`` groups of
+    smallest first id count; in a group only its ``limit`` first ids can be a, and their partners are among the ``2 * limit`` first
+    ids of each label, and of those among the ``4 * limit`` first. What is joined does not grow with a group.
+    """
+    rows = rows.select(*groups, "id", F.col(label).alias("label"))
+    # A group of one label has none; the smallest and the largest label tell.
+    mixed = rows.groupBy(*groups).agg(F.min("id").alias("first"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    mixed = mixed.orderBy("first", *groups).limit(limit).select(*groups)
+    inside = rows.join(mixed, groups, "left_semi")
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    inside = inside.withColumn("nth", nth(*groups, "label")).where(F.col("nth") <= 2 * limit)
+    inside = inside.withColumn("nth", nth(*groups)).where(F.col("nth") <= 4 * limit)
+    a = inside.where(F.col("nth") <= limit).select(*groups, F.col("id").alias("a"), F.col("label").alias("label_a"))
+    b = inside.select(*groups, F.col("id").alias("b"), F.col("label").alias("label_b"))
+    return a.join(b, groups).where("a < b and label_a <> label_b").orderBy("a", "b").limit(limit)
+
+
 def false_merges(labelled: DataFrame, limit: int = 20) -> DataFrame:
-    """a, b, predicted: examples of different items under one entity, smallest ids first."""
-    a = labelled.select(F.col("id").alias("a"), "category", "predicted", F.col("truth").alias("ta"))
-    b = labelled.select(F.col("id").alias("b"), "category", "predicted", F.col("truth").alias("tb"))
-    return a.join(b, ["category", "predicted"]).where("a < b and ta <> tb").select("a", "b", "predicted").orderBy("a", "b").limit(limit)
+    """a, b, predicted, truth_a, truth_b: examples of different items under one entity, smallest ids first."""
+    rows = labelled.withColumn("category", partition_key(F.col("category"))).where("predicted is not null")
+    found = least_contradictions(rows, ["category", "predicted"], "truth", limit)
+    return found.select("a", "b", "predicted", F.col("label_a").alias("truth_a"), F.col("label_b").alias("truth_b")).orderBy("a", "b")
+
+
+def missed_pairs(labelled: DataFrame, limit: int = 20) -> DataFrame:
+    """a, b, truth, predicted_a, predicted_b: examples of one item under different entities, or under none, smallest ids first."""
+    # Records without an entity are together with nobody.
+    own = F.coalesce(F.concat(F.lit("+"), F.col("predicted")), F.concat(F.lit("-"), F.col("id").cast("string")))
+    rows = labelled.withColumn("category", partition_key(F.col("category"))).where("truth is not null").withColumn("own", own)
+    found = least_contradictions(rows, ["category", "truth"], "own", limit)
+    entity = lambda c: F.when(F.col(c).startswith("+"), F.substring(F.col(c), 2, 2**31 - 1))
+    return found.select("a", "b", "truth", entity("label_a").alias("predicted_a"), entity("label_b").alias("predicted_b")).orderBy("a", "b")
 
 
 def candidate_recall(truth_pairs: DataFrame, candidates: DataFrame) -> DataFrame:

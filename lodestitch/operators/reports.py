@@ -57,6 +57,12 @@ def siblings(records: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return pairs.join(records.select(F.col("id").alias("sibling_id"), "source_org", "local_code"), "sibling_id")
 
 
+def sibling_numbers(crosswalk: DataFrame) -> DataFrame:
+    """id, siblings: how many other records of the same entity there are, from the sizes of entities; records without any are left out."""
+    sizes = crosswalk.where("entity_id is not null").groupBy("entity_id").agg((F.count("*") - 1).alias("siblings")).where("siblings > 0")
+    return crosswalk.select("entity_id", F.col("record_id").alias("id")).join(sizes, "entity_id").select("id", "siblings")
+
+
 def entity_members(records: DataFrame, crosswalk: DataFrame, review: DataFrame) -> DataFrame:
     """The records of every entity with their status."""
     return (

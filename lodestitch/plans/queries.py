@@ -532,6 +532,22 @@ def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_rates(evaluate.pair_metrics(_labelled(spark, d)))
 
 
+EXAMPLES_SQL = "WITH " + LABELLED_SQL + """,
+ex AS (SELECT a.id AS a, b.id AS b, a.truth AS ta, b.truth AS tb, a.predicted AS pa, b.predicted AS pb FROM lab a JOIN lab b ON a.category = b.category AND a.id < b.id)
+"""
+
+
+@query(EXAMPLES_SQL.replace("a.predicted", "a.hard").replace("b.predicted", "b.hard") + "SELECT a, b, pa AS predicted, ta AS truth_a, tb AS truth_b FROM ex WHERE pa = pb AND ta <> tb ORDER BY a, b LIMIT 20")
+def false_merge_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Of a prediction that looks at the type only."""
+    return evaluate.false_merges(_labelled(spark, d).withColumn("predicted", F.col("p_type")), 20)
+
+
+@query(EXAMPLES_SQL + "SELECT a, b, ta AS truth, pa AS predicted_a, pb AS predicted_b FROM ex WHERE ta = tb AND pa IS DISTINCT FROM pb OR ta = tb AND pa IS NULL ORDER BY a, b LIMIT 20")
+def missed_pair_examples(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.missed_pairs(_labelled(spark, d), 20)
+
+
 @query(
     "WITH " + LABELLED_SQL + """,
   c AS (SELECT count(*) FILTER (t AND p AND g) AS tp, count(*) FILTER (p AND NOT t AND h) AS fp, count(*) FILTER (t AND NOT p AND g) AS fn FROM pr)
@@ -627,7 +643,7 @@ def material_listing_by_grams(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + LINKS_SQL + "SELECT a.id, count(*) AS siblings FROM rec a JOIN rec b ON a.entity_id = b.entity_id AND a.id <> b.id GROUP BY a.id")
 def sibling_counts(spark: SparkSession, d: str) -> DataFrame:
     t = report_tables(spark, d)
-    return reports.siblings(t["records"], t["crosswalk"]).groupBy("id").agg(F.count("*").alias("siblings"))
+    return reports.sibling_numbers(t["crosswalk"])
 
 
 @query("WITH " + LINKS_SQL + "SELECT entity_id, id, source_org, local_code, match_score, review_status FROM rec")
