@@ -88,18 +88,18 @@ def _compared(key: Column, sides: Column, category: Column) -> Column:
             .when((ca == cb) | nested | (alike >= R.EQUIVALENCE_FLOOR), MATCH)
             .otherwise(MISMATCH)
         )
-        versus = lambda p, q: F.concat(p, F.lit(" vs "), q)
-        side = F.when(ca.isNull() & cb.isNull(), "both sides").when(ca.isNull(), "left side").otherwise("right side")
+        against = lambda p, q: F.concat_ws(" <> ", p, q)
+        without = F.when(ca.isNull() & cb.isNull(), "a and b").when(ca.isNull(), "a").otherwise("b")
         reason = (
-            F.when(missing, F.concat(F.lit("Not specified on "), side))
-            .when(as_numbers & (F.abs(na - nb) <= tolerance), "Values agree")
-            .when(as_numbers, versus(number_text(na), number_text(nb)))
-            .when(ca == cb, "Exact match")
-            .when(nested & _broader(ca, cb), F.format_string("'%s' is a broader term for '%s'", ca, cb))
-            .when(nested, F.format_string("'%s' is a broader term for '%s'", cb, ca))
-            .when(alike >= R.EQUIVALENCE_FLOOR, "Equivalent notation")
-            .when(alike > 0, F.format_string("%s vs %s (related notations, equivalence %.2f)", ca, cb, alike))
-            .otherwise(versus(ca, cb))
+            F.when(missing, F.concat(F.lit("no value in "), without))
+            .when(as_numbers & (F.abs(na - nb) <= tolerance), "same number")
+            .when(as_numbers, against(number_text(na), number_text(nb)))
+            .when(ca == cb, "same value")
+            .when(nested & _broader(ca, cb), F.format_string("%s covers %s", ca, cb))
+            .when(nested, F.format_string("%s covers %s", cb, ca))
+            .when(alike >= R.EQUIVALENCE_FLOOR, "one value, two notations")
+            .when(alike > 0, F.format_string("%s <> %s, though close (%.2f)", ca, cb, alike))
+            .otherwise(against(ca, cb))
         )
         softened = F.when(missing | as_numbers | (ca == cb) | nested, 0.0).otherwise(alike)
         return F.struct(

@@ -280,7 +280,7 @@ def review_rows(records: DataFrame, entity_of: DataFrame, routed: DataFrame, gat
     near = F.col("y").isNotNull()
     by_gate = F.col("y.verdict") == C.INSUFFICIENT
     chosen = F.when(matched, None).when(blocked, F.col("x.other")).when(near, F.col("y.other"))
-    below = F.format_string("Similarity %.2f is below the merge threshold of %.2f.", F.col("y.score"), F.lit(merge_at))
+    below = F.format_string("Scored %.2f; records are merged from %.2f on.", F.col("y.score"), F.lit(merge_at))
     rows = base.select(
         F.col("id").alias("record_id"),
         "entity_id",
@@ -289,7 +289,7 @@ def review_rows(records: DataFrame, entity_of: DataFrame, routed: DataFrame, gat
         .when(blocked, F.col("x.score")).when(near, F.col("y.score")).otherwise(1.0).alias("score"),
         F.when(matched, F.format_string("Linked with %d other record(s).", F.col("size") - 1))
         .when(blocked, F.col("x.reason")).when(near & by_gate, F.col("y.reason")).when(near, below)
-        .otherwise("No duplicate candidates found.").alias("reason"),
+        .otherwise("Nothing else resembles it.").alias("reason"),
         F.when(~matched & blocked, F.col("x.blocked_field")).alias("blocked_field"),
         F.when(matched, AUTO_MATCHED).when(blocked, "BLOCKED")
         .when(near & by_gate, INSUFFICIENT).when(near, NEEDS_REVIEW).otherwise(AUTO_MATCHED).alias("status"),
