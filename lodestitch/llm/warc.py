@@ -123,7 +123,7 @@ def write_archive(
     )
     records = captures.select(F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("value"))
     records = records.unionByName(captures.where("whole").join(bodies, "same").select(response.alias("value")))
-    records.select(F.col("value").cast("string")).write.option("lineSep", BLANK).option("compression", compression).text(folder)
+    records.select(F.col("value").cast("string")).write.options(lineSep=BLANK, compression=compression).option("zlib.compress.level", "BEST_SPEED").text(folder)
 
 
 # ---- reading ------------------------------------------------------------------------------
