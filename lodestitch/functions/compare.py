@@ -283,6 +283,11 @@ def clipped(value: Column) -> Column:
     return F.least(F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
+def weighed(weights: Column, semantic: Column, lexical: Column, agreement: Column) -> Column:
+    """The score of three parts in [0, 1]; ``weights``: struct<semantic, lexical, attributes>."""
+    return clipped(weights["semantic"] * semantic + weights["lexical"] * lexical + weights["attributes"] * agreement)
+
+
 def match_score(a: Column, b: Column, semantic: Column, lexical: Column, category: Column, weights: dict | None = None) -> Column:
     """struct<score, semantic, lexical, agreement, coverage, comparisons>."""
     return score_of(compare_bags(a, b, category, schema_keys(category, a, b)), semantic, lexical, category, weights)
@@ -295,9 +300,8 @@ def score_of(comparisons: Column, semantic: Column, lexical: Column, category: C
         def scored(g: Column) -> Column:
             w = component_weights(category, weights)
             s, x = clipped(semantic), clipped(lexical)
-            score = w["semantic"] * s + w["lexical"] * x + w["attributes"] * g["agreement"]
             return F.struct(
-                clipped(score).alias("score"),
+                weighed(w, s, x, g["agreement"]).alias("score"),
                 s.alias("semantic"),
                 x.alias("lexical"),
                 g["agreement"].alias("agreement"),

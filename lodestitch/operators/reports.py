@@ -164,7 +164,9 @@ def decision_log(decisions: DataFrame, records: DataFrame, limit: int = 100) ->
 
 
 def block_list(blocks: DataFrame, records: DataFrame) -> DataFrame:
-    """Blocked pairs with both records."""
+    """Blocked pairs with both records; those that carry the records' columns already are left as they are."""
+    if {"a_org", "a_code", "b_org", "b_code"} <= set(blocks.columns):
+        return blocks
     side = lambda p: records.select(F.col("id").alias(p), F.col("source_org").alias(f"{p}_org"), F.col("local_code").alias(f"{p}_code"))
     return blocks.join(side("a"), "a").join(side("b"), "b")
 

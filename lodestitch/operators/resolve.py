@@ -8,7 +8,9 @@ records: id long, source_org, local_code, raw_text, category, norm_text, tokens,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import extract_attributes, value_text
 from lodestitch.functions.text import detect_category, is_known, normalize, rule_trace, tokenize
+from lodestitch.operators.blocks import Blocks, class_pairs, pairs_of
 from lodestitch.operators.graph import connected_components, extend_components
 from lodestitch.operators.retrieval import embed, hybrid_candidates
-from lodestitch.plans.materialize import materialize
+from lodestitch.plans.materialize import materialize, stored
 from lodestitch.plans.numbering import row_numbers
 
 EDGE, BLOCKED, REVIEW, DROP = "edge", "blocked", "review", "drop"
@@ -71,6 +74,27 @@ def score_pairs(records: DataFrame, candidates: DataFrame, weights: dict | None
     )
 
 
+def score_blocks(
+    blocks: Blocks, semantic: Column, lexical: Column, weights: dict | None = None, *, of_class: Sequence[str] = (), of_record: Sequence[str] = ()
+) -> DataFrame:
+    """As ``score_pairs``, of all pairs of records of a block; ``semantic`` and ``lexical`` are columns of a and b.
+
+    Attributes and the gate are compared once per pair of classes of equal bags. ``of_class``, ``of_record``: columns to come along as a_... and b_...
+    """
+    attrs, category = (F.col("a_attrs"), F.col("b_attrs")), F.col("category")
+    said = class_pairs(blocks).withColumn("comparisons", C.compare_prepared(*attrs, category, C.schema_keys(category, *attrs)))
+    said = said.select(
+        "x", "y", "category", "comparisons", C.component_weights(category, weights).alias("w"),
+        C.agreement(F.col("comparisons"), category, weights).alias("g"),
+        C.verdict_of(C.critical_of(F.col("comparisons"), *attrs, category), category).alias("v"),
+    ).select(
+        "x", "y", "category", "w", "g.agreement", "g.coverage", F.col("v.status").alias("verdict"), "v.blocked_field", "v.blocked_a", "v.blocked_b",
+        "v.unknown_fields", "v.reason", "comparisons",
+    )
+    pairs = pairs_of(blocks, stored(said), of_class, of_record).withColumns({"semantic": C.clipped(semantic), "lexical": C.clipped(lexical)})
+    return pairs.withColumn("score", C.weighed(F.col("w"), F.col("semantic"), F.col("lexical"), F.col("agreement"))).drop("w")
+
+
 def route(score: Column, verdict: Column, gate: bool = True, merge_at: float = R.MERGE_AT, review_at: float = R.REVIEW_AT) -> Column:
     """Where a pair goes."""
     if not gate:
@@ -247,6 +271,30 @@ def best_inside(pairs: DataFrame, entity_of: DataFrame) -> DataFrame:
     return seen.where("entity_id = other_entity").groupBy("id").agg(F.max("score").alias("best"))
 
 
+def leading_pairs(blocks: Blocks, routed: Callable[[Blocks, Sequence[str], Sequence[str]], DataFrame]) -> DataFrame:
+    """Of the ``routed`` pairs of blocks those that the crosswalk and the review rows of a record come from, three a record at most.
+
+    They are the best one inside its entity, the best blocked one and the best one for review; of equal scores the one with the smallest other id.
+    The members have an entity_id. Only sums of one number a record leave a task, and the pairs are made anew for each step.
+    """
+    kinds = {
+        "inside": F.col("a_entity_id") == F.col("b_entity_id"), "stopped": F.col("route") == BLOCKED, "near": F.col("route") == REVIEW
+    }
+    pairs = routed(blocks, ["entity_id"], [])
+    scores = per_record(pairs.select("a", "b", *[F.when(is_kind, F.col("score")).alias(k) for k, is_kind in kinds.items()]))
+    best = scores.groupBy("id").agg(*[F.max(k).alias(k) for k in kinds])
+    scored = replace(blocks, members=stored(blocks.members.join(best, "id", "left")))
+    pairs = routed(scored, ["entity_id"], list(kinds))
+    top = lambda side, other: [F.when(is_kind & (F.col("score") >= F.col(f"{side}_{k}")), F.col(other)).alias(k) for k, is_kind in kinds.items()]
+    some = lambda df: df.where(F.coalesce(*kinds).isNotNull())
+    ties = some(pairs.select(F.col("a").alias("id"), *top("a", "b"))).unionByName(some(pairs.select(F.col("b").alias("id"), *top("b", "a"))))
+    chosen = ties.groupBy("id").agg(*[F.min(k).alias(k) for k in kinds])
+    picked = replace(blocks, members=stored(blocks.members.join(chosen, "id", "left")))
+    pairs = routed(picked, ["entity_id"], list(kinds))
+    either = [F.coalesce(F.col(f"{side}_{k}") == F.col(other), F.lit(False)) for k in kinds for side, other in (("a", "b"), ("b", "a"))]
+    return stored(pairs.where(reduce(Column.__or__, either)).drop("w", *[f"{s}_{k}" for s in "ab" for k in kinds]))
+
+
 def crosswalk(records: DataFrame, entity_of: DataFrame, pairs: DataFrame) -> DataFrame:
     """entity_id, record_id, source_org, local_code, match_score, relationship, status."""
     size = entity_of.groupBy("entity_id").agg(F.count("*").alias("size"))
