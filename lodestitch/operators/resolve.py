@@ -199,10 +199,12 @@ def survive(records: DataFrame, entity_of: DataFrame) -> DataFrame:
     )
     keys = C.schema_keys(F.col("category"))
     votes = votes.where((F.size(keys) == 0) | F.array_contains(keys, F.col("key")))
+    # Exact sums: doubles added in another order differ in the last bits, which would decide between equal votes.
+    total = F.sum(F.col("v.confidence").cast("decimal(18,12)"))
     by_value = votes.groupBy("entity_id", "key", "canon").agg(
         F.count("*").alias("n"),
-        F.sum(F.col("v.confidence")).alias("total"),
-        F.avg(F.col("v.confidence")).alias("mean"),
+        total.alias("total"),
+        (total.cast("double") / F.count("v.confidence")).alias("mean"),
         F.min_by(F.struct("v.value_str", "v.value_num"), F.col("id")).alias("first"),
         F.array_sort(F.collect_list("id")).alias("ids"),
     )
