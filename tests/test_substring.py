@@ -49,3 +49,10 @@ def test_listings_take_an_index(spark):
         plain = [[tuple(r) for r in df.collect()] for df in reports.list_materials(view, search=search, limit=5)]
         assert plain == [[tuple(r) for r in df.collect()] for df in reports.list_materials(view, search=search, limit=5, grams=index)]
     assert [r.id for r in reports.list_materials(view, search="BEARING 17", grams=index)[0].collect()] == [17]
+
+
+def test_texts_that_repeat_are_cut_once(spark):
+    rows = spark.range(2000).select("id", F.concat(F.lit("ball bearing of kind "), (F.col("id") % 5).cast("string")).alias("a"), F.format_string("C%05d", "id").alias("b"))
+    index = S.build_grams(rows, "id", "a", "b")
+    assert index.shared.count() < 200 and index.postings.count() == 4 * 2000 and index.holders.count() == 2000
+    assert S.candidate_ids(index, "kind 3").count() == 400 and S.find_rows(rows, index, "c0123").count() == 10
