@@ -103,3 +103,15 @@ def test_empty_sides(spark):
     none, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, "a", ["X"]), (2, "a", None)], SCHEMA)
     for q, c in ((none, one), (one, none), (none, none)):
         assert L.bm25_top_k(q, c).collect() == []
+
+
+def test_many_queries_are_dealt_to_tasks(spark, monkeypatch):
+    rows = [(i, "c", [f"T{i % 7}", f"U{i % 11}", "ALL", f"X{i}"]) for i in range(300)]
+    records = spark.createDataFrame(rows, "id long, category string, tokens array<string>")
+    index = L.build_index(records, depth=5)
+    # As many files as the session has cores, however few the rows are.
+    assert len(index.postings.inputFiles()) >= 4
+    plain = sorted((r.query_id, r.cand_id, r.rank, round(r.raw, 9)) for r in L.search_index(records, index, 5).collect())
+    monkeypatch.setattr(L, "MANY", 10)
+    monkeypatch.setattr(L, "TASK_HITS", 100)
+    assert plain == sorted((r.query_id, r.cand_id, r.rank, round(r.raw, 9)) for r in L.search_index(records, index, 5).collect())
