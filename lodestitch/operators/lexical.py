@@ -51,7 +51,7 @@ def partition_key(category: Column) -> Column:
 def tagged(records: DataFrame) -> DataFrame:
     """part, id, tokens, bag: ``bag`` names what tokens there are and how often. Stored, so that texts are tokenized once."""
     tokens = F.coalesce("tokens", F.array().cast("array<string>"))
-    bag = F.sha2(F.array_join(F.array_sort(tokens), "\0"), 256)
+    bag = F.sha2(F.array_join(F.sort_array(tokens), "\0"), 256)
     return stored(records.select(partition_key(F.col("category")).alias("part"), "id", tokens.alias("tokens"), bag.alias("bag")))
 
 

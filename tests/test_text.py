@@ -1,10 +1,13 @@
 """Golden values of category detection, normalization and tokens, each module as one small job."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestitch.functions import rules as R
-from lodestitch.functions.text import detect_category, normalize, number_text, rule_trace, sizes_canonical, tokenize
+from lodestitch.functions.text import ascii_tokens, detect_category, normalize, number_text, rule_trace, sizes_canonical, tokenize
+from lodestitch.plans import queries as Q
 
 CATEGORY = {
     "GATE VALVE 6 IN CL150": R.VALVE, "GATE, VALVE, 6 IN": R.VALVE, "gt vlv 4in": R.VALVE, "GATE V/V 150 NB": R.VALVE,
@@ -61,3 +64,22 @@ def test_trace_tokens_and_numbers(spark):
 def test_every_category_is_complete(category):
     assert set(R.CRITICAL[category]) <= set(R.SCHEMAS[category]) and set(R.DESCRIPTION_KEYS[category]) <= set(R.SCHEMAS[category])
     assert set(R.WEIGHTS[category][3]) == set(R.SCHEMAS[category]) and category in R.CATEGORY_CODES
+
+
+def test_ascii_tokens_are_those_of_a_text_with_spaces_for_the_rest(spark):
+    """Also of what upper case makes ASCII (the dotless i, the long s, the sharp s); and a document counts once for a term, however many rows it has."""
+    texts = ["a-1/b.2 #c", "ı ſ ß straße Köln x", "", " ,; ", None, "a\tB\nc D😀e", "x" * 3 + "-.#"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda t: None if t is None else [x for x in re.split(r"[^A-Z0-9.\-#]+", re.sub("[^ -~]", " ", t).upper()) if x]
+    assert [r.k for r in df.select(ascii_tokens(F.col("t")).alias("k")).collect()] == [plain(t) for t in texts]
+
+
+def test_terms_are_counted_where_their_document_is(spark, tmp_path):
+    """Rows of one document are counted as one, documents without a number not at all, and no row of (term, document) is shuffled."""
+    rows = [(1, "a b a"), (1, "a c"), (2, "A"), (None, "b"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = Q.tokenize_counts(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("A", 4, 2), ("B", 2, 1), ("C", 1, 1)]
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and not [line for line in exchanges if "term" in line and "doc_id" in line]
