@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import value_text
-from lodestitch.operators.resolve import enrich
+from lodestitch.operators.resolve import enrich_stored
 from lodestitch.operators.nearest import TIES
 from lodestitch.operators.retrieval import hybrid_candidates
+from lodestitch.plans.materialize import stored
 
+#: Pairs that one task scores.
+TASK_PAIRS = 100_000
 USE_EXISTING, CREATE_NEW, REVIEW = "USE_EXISTING", "CREATE_NEW", "REVIEW"
 
 
-def _scored(probes: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
-    """Candidates of the probes among the catalogue with score and verdict."""
-    found = hybrid_candidates(probes, catalogue, k)
+def _scored(probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, k: int) -> DataFrame:
+    """Candidates of the probes among the catalogue with their entity, score and verdict; the rows of a probe are in one task.
+
+    Only what was found of the catalogue meets the pairs: it is picked out where it lies, since most of it was not.
+    """
+    found = stored(hybrid_candidates(probes, catalogue, k))
+    listed = stored(found.select(F.col("cand_id").alias("id")).distinct())
     p = probes.select(F.col("id").alias("query_id"), F.col("category").alias("category"), F.col("attrs").alias("pa"))
-    c = catalogue.select(F.col("id").alias("cand_id"), F.col("attrs").alias("ca"))
-    joined = found.join(p, "query_id").join(c, "cand_id")
+    c = stored(catalogue.join(listed, "id", "left_semi").select(F.col("id").alias("cand_id"), F.col("attrs").alias("ca")))
+    links = stored(crosswalk.select(F.col("record_id").alias("id"), "entity_id").join(listed, "id", "left_semi").withColumnRenamed("id", "cand_id"))
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // TASK_PAIRS)
+    joined = found.join(c, "cand_id").join(links, "cand_id", "left").repartition(tasks, "query_id").join(p, "query_id")
     score = C.match_score(F.col("pa"), F.col("ca"), F.col("semantic"), F.col("lexical"), F.col("category"))
     verdict = C.safety_verdict(F.col("pa"), F.col("ca"), F.col("category"))
     return joined.withColumn("m", score).withColumn("v", verdict)
@@ -40,9 +49,8 @@ def check_new_items(
     record speaks for its entity; the recommendation looks at rank 1 only. A probe of unknown
     category, or without candidates, still has one row.
     """
-    enriched = enrich(probes)
-    linked = crosswalk.select(F.col("record_id").alias("cand_id"), "entity_id")
-    found = _scored(enriched.where("category is not null"), catalogue, R.CANDIDATES).join(linked, "cand_id")
+    enriched = enrich_stored(probes)
+    found = _scored(enriched.where("category is not null"), catalogue, crosswalk, R.CANDIDATES).where("entity_id is not null")
     best = found.groupBy("query_id", "entity_id").agg(
         F.max_by(F.struct("cand_id", F.col("m.score").alias("score"), "v"), F.struct(_place(F.col("m.score")), -F.col("cand_id"))).alias("b")
     )
@@ -76,11 +84,9 @@ def ranked_candidates(asked: int | DataFrame, records: DataFrame, crosswalk: Dat
         wanted = records.where(F.col("id") == asked)
     else:
         wanted = records.join(asked.select("id"), "id", "left_semi")
-    found = _scored(wanted, records, max(3 * k, 30)).join(
-        crosswalk.select(F.col("record_id").alias("cand_id"), "entity_id"), "cand_id", "left"
-    )
+    found = _scored(wanted, records, crosswalk, max(3 * k, 30))
     order = Window.partitionBy("query_id").orderBy(F.desc(_place(F.col("m.score"))), "cand_id")
-    return (
+    ranked = (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select(
@@ -89,8 +95,9 @@ def ranked_candidates(asked: int | DataFrame, records: DataFrame, crosswalk: Dat
             F.col("v.status").alias("verdict"), C.explanation(F.col("m.comparisons"), F.col("category")).alias("explanation"),
             ((F.col("m.score") >= merge_at) & (F.col("v.status") == C.PASS)).alias("would_merge"),
         )
-        .orderBy("asked_id", "rank")
     )
+    # Sorting runs what it sorts twice, first for a sample.
+    return stored(ranked).orderBy("asked_id", "rank")
 
 
 def evidence_matrix(records: DataFrame, crosswalk: DataFrame, golden: DataFrame) -> DataFrame:

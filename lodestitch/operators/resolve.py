@@ -41,6 +41,18 @@ def enrich(records: DataFrame, encoder=None) -> DataFrame:
     return embed(out, "norm_text", encoder)
 
 
+def enrich_stored(records: DataFrame, encoder=None) -> DataFrame:
+    """``enrich``, computed once and stored; a text that several records have is read once for all of them."""
+    given = F.col("category") if "category" in records.columns else F.lit(None).cast("string")
+    asked = records.withColumns({"_text": F.col("raw_text"), "_given": given}).drop("category")
+    texts = asked.select("_text", "_given").distinct().repartition(records.sparkSession.sparkContext.defaultParallelism)
+    read = stored(enrich(texts.withColumns({"raw_text": F.col("_text"), "category": F.col("_given")}), encoder).drop("raw_text"))
+    # Renamed, the columns of both sides are told apart.
+    read = read.withColumnsRenamed({"_text": "_text_read", "_given": "_given_read"})
+    same = F.col("_text").eqNullSafe(F.col("_text_read")) & F.col("_given").eqNullSafe(F.col("_given_read"))
+    return stored(asked.join(read, same).drop("_text", "_given", "_text_read", "_given_read"))
+
+
 # ---- pairs --------------------------------------------------------------------------------
 
 

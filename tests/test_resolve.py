@@ -244,3 +244,21 @@ def test_previews_vectors_and_consistency(spark):
     pair = pair_lexical(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"), corpus)
     lexical = {(r.a, r.b): r.lexical for r in pair.collect()}
     assert 0 < lexical[0, 1] < 1 and lexical[0, 2] == 0.0
+
+
+def test_texts_are_enriched_once_for_all_records_that_have_them(spark, tmp_path):
+    """300 records with two texts and none at all, and a given category: five rows are read, and each record gets what it would get by itself."""
+    texts = ["gt vlv 6 in cl150", "HEX BLT M16 X 100", None]
+    rows = [(i, texts[i % 3], R.PIPE if i % 4 == 0 and i % 3 != 2 else None) for i in range(300)]
+    records = spark.createDataFrame(rows, "id long, raw_text string, category string")
+    seen = tmp_path / "seen"
+
+    def encoder(batch):
+        with seen.open("a") as f:
+            f.writelines("x\n" for _ in batch)
+        return [[1.0, float(len(t))] for t in batch]
+
+    columns = ["id", "raw_text", "category", "norm_text", "tokens", "attrs", "embedding"]
+    found = resolve.enrich_stored(records, encoder).select(columns).orderBy("id").collect()
+    assert len(seen.read_text().split()) == 5
+    assert found == resolve.enrich(records, encoder).select(columns).orderBy("id").collect()
