@@ -37,6 +37,8 @@ SPENT, AHEAD = 0.3, 2
 MOST_SENT = 200_000
 #: Postings of a file of the index, and what one task adds up of a search of many queries.
 FILE_ROWS, TASK_HITS = 500_000, 2_000_000
+#: Tokens that one task counts into postings.
+TASK_TOKENS = 1_000_000
 #: Queries from which on a search counts as one of many.
 MANY = 1000
 #: Levels of weight of a list, and the records of a list from which on its levels are cut into blocks.
@@ -129,7 +131,10 @@ def build_index(corpus: DataFrame, terms: DataFrame | None = None, depth: int =
 
 
 def _indexed(records: DataFrame, terms: DataFrame | None, depth: int) -> LexicalIndex:
-    posting = stored(postings(classes(records)))
+    # Dealt by record, what a record holds is counted where it is, in tasks of about TASK_TOKENS tokens, and no posting is shuffled for it.
+    tokens = records.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    tasks = max(records.sparkSession.sparkContext.defaultParallelism, tokens // TASK_TOKENS)
+    posting = stored(postings(classes(records).repartition(tasks, "part", "id")))
     idf = inverse_frequencies(stored(category_sizes(records, posting)), posting)
     if terms is not None:
         idf = idf.join(terms, ["part", "term"], "left_semi")
