@@ -18,21 +18,48 @@ TASK_PAIRS = 100_000
 USE_EXISTING, CREATE_NEW, REVIEW = "USE_EXISTING", "CREATE_NEW", "REVIEW"
 
 
-def _scored(probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, k: int) -> DataFrame:
-    """Candidates of the probes among the catalogue with their entity, score and verdict; the rows of a probe are in one task.
+def _alike(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, class: every record; class, category, attrs (prepared): the first record of each class of equal category and bag)."""
+    rows = stored(records.select("id", "category", F.array_sort(F.map_entries("attrs")).alias("bag")))
+    found = stored(rows.groupBy("category", "bag").agg(F.min("id").alias("class")))
+    # Renamed, the columns of both sides are told apart.
+    known = found.toDF("_category", "_bag", "class")
+    same = F.col("category").eqNullSafe(F.col("_category")) & F.col("bag").eqNullSafe(F.col("_bag"))
+    return stored(rows.join(known, same).select("id", "class")), found.select("class", "category", C.prepared(F.map_from_entries("bag")).alias("attrs"))
+
+
+def _said(met: DataFrame, probes: DataFrame, listed: DataFrame) -> DataFrame:
+    """x, y, category, w, agreement, v, comparisons of the pairs of classes (x, y) that met; ``probes``, ``listed``: the classes."""
+    x = probes.select(F.col("class").alias("x"), "category", F.col("attrs").alias("pa"))
+    y = listed.select(F.col("class").alias("y"), F.col("attrs").alias("ca"))
+    # Comparing takes far longer than its bytes tell, so the pairs are dealt by row and not by size.
+    joined = met.join(x, "x").join(y, "y").repartition(max(met.sparkSession.sparkContext.defaultParallelism, met.count() // TASK_PAIRS), "x", "y")
+    attrs, category = (F.col("pa"), F.col("ca")), F.col("category")
+    joined = joined.withColumn("comparisons", C.compare_prepared(*attrs, category, C.schema_keys(category, *attrs)))
+    return joined.select(
+        "x", "y", "category", C.component_weights(category).alias("w"), C.agreement(F.col("comparisons"), category)["agreement"].alias("agreement"),
+        C.verdict_of(C.critical_of(F.col("comparisons"), *attrs, category), category).alias("v"), "comparisons",
+    ).withColumn("v", F.struct("v.status", "v.reason"))
+
+
+def _scored(probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, k: int, same: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(Candidates of the probes among the catalogue with their entity, score and verdict, the rows of a probe in one task; what was ``_said``).
 
-    Only what was found of the catalogue meets the pairs: it is picked out where it lies, since most of it was not.
+    Only what was found of the catalogue meets the pairs: it is picked out where it lies, since most of it was not. Bags are
+    compared once for all pairs of a probe and a candidate of equal bags.
     """
-    found = stored(hybrid_candidates(probes, catalogue, k))
+    found = stored(hybrid_candidates(probes, catalogue, k, same))
     listed = stored(found.select(F.col("cand_id").alias("id")).distinct())
-    p = probes.select(F.col("id").alias("query_id"), F.col("category").alias("category"), F.col("attrs").alias("pa"))
-    c = stored(catalogue.join(listed, "id", "left_semi").select(F.col("id").alias("cand_id"), F.col("attrs").alias("ca")))
+    p, probe_bags = _alike(probes)
+    c, listed_bags = _alike(catalogue.join(listed, "id", "left_semi"))
     links = stored(crosswalk.select(F.col("record_id").alias("id"), "entity_id").join(listed, "id", "left_semi").withColumnRenamed("id", "cand_id"))
     tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // TASK_PAIRS)
-    joined = found.join(c, "cand_id").join(links, "cand_id", "left").repartition(tasks, "query_id").join(p, "query_id")
-    score = C.match_score(F.col("pa"), F.col("ca"), F.col("semantic"), F.col("lexical"), F.col("category"))
-    verdict = C.safety_verdict(F.col("pa"), F.col("ca"), F.col("category"))
-    return joined.withColumn("m", score).withColumn("v", verdict)
+    pairs = found.join(c.toDF("cand_id", "y"), "cand_id").join(links, "cand_id", "left").join(p.toDF("query_id", "x"), "query_id")
+    pairs = stored(pairs)
+    said = stored(_said(stored(pairs.select("x", "y").distinct()), probe_bags, listed_bags))
+    joined = pairs.join(said.drop("category", "comparisons"), ["x", "y"]).repartition(tasks, "query_id")
+    score = C.weighed(F.col("w"), C.clipped(F.col("semantic")), C.clipped(F.col("lexical")), F.col("agreement"))
+    return joined.withColumn("score", score).drop("w", "agreement"), said
 
 
 def _place(score: Column) -> Column:
@@ -41,18 +68,19 @@ def _place(score: Column) -> Column:
 
 
 def check_new_items(
-    probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, *, top_n: int = 5, merge_at: float = R.MERGE_AT, review_at: float = R.REVIEW_AT
+    probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, *, top_n: int = 5, merge_at: float = R.MERGE_AT, review_at: float = R.REVIEW_AT,
+    same: str | None = None,
 ) -> DataFrame:
     """probe_id, rank, entity_id, record_id, score, verdict, recommendation; batch of descriptions.
 
     probes: id, raw_text, and category if known; ids must not occur in the catalogue. The best
     record speaks for its entity; the recommendation looks at rank 1 only. A probe of unknown
-    category, or without candidates, still has one row.
+    category, or without candidates, still has one row. ``same``: a column of the catalogue as for ``cosine_top_k``.
     """
-    enriched = enrich_stored(probes)
-    found = _scored(enriched.where("category is not null"), catalogue, crosswalk, R.CANDIDATES).where("entity_id is not null")
+    enriched = enrich_stored(probes, same=same)
+    found = _scored(enriched.where("category is not null"), catalogue, crosswalk, R.CANDIDATES, same)[0].where("entity_id is not null")
     best = found.groupBy("query_id", "entity_id").agg(
-        F.max_by(F.struct("cand_id", F.col("m.score").alias("score"), "v"), F.struct(_place(F.col("m.score")), -F.col("cand_id"))).alias("b")
+        F.max_by(F.struct("cand_id", "score", "v"), F.struct(_place(F.col("score")), -F.col("cand_id"))).alias("b")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc(_place(F.col("b.score"))), "entity_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
@@ -75,29 +103,26 @@ def check_new_items(
     )
 
 
-def ranked_candidates(asked: int | DataFrame, records: DataFrame, crosswalk: DataFrame, k: int = 10, merge_at: float = R.MERGE_AT) -> DataFrame:
+def ranked_candidates(
+    asked: int | DataFrame, records: DataFrame, crosswalk: DataFrame, k: int = 10, merge_at: float = R.MERGE_AT, same: str | None = None
+) -> DataFrame:
     """The k best candidates of every asked record: asked_id, rank, score, verdict, explanation, would_merge.
 
-    ``asked``: one id, or a table of them (id). Depth is max(3 k, 30).
+    ``asked``: one id, or a table of them (id). Depth is max(3 k, 30). ``same``: a column of the records as for ``cosine_top_k``.
     """
     if isinstance(asked, int):
         wanted = records.where(F.col("id") == asked)
     else:
         wanted = records.join(asked.select("id"), "id", "left_semi")
-    found = _scored(wanted, records, crosswalk, max(3 * k, 30))
-    order = Window.partitionBy("query_id").orderBy(F.desc(_place(F.col("m.score"))), "cand_id")
-    ranked = (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(
-            F.col("query_id").alias("asked_id"), "rank", F.col("cand_id").alias("record_id"), "entity_id", F.col("m.score").alias("score"),
-            "semantic", "lexical", "channel",
-            F.col("v.status").alias("verdict"), C.explanation(F.col("m.comparisons"), F.col("category")).alias("explanation"),
-            ((F.col("m.score") >= merge_at) & (F.col("v.status") == C.PASS)).alias("would_merge"),
-        )
-    )
+    found, said = _scored(stored(wanted), records, crosswalk, max(3 * k, 30), same)
+    order = Window.partitionBy("query_id").orderBy(F.desc(_place(F.col("score"))), "cand_id")
     # Sorting runs what it sorts twice, first for a sample.
-    return stored(ranked).orderBy("asked_id", "rank")
+    ranked = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    explained = said.select("x", "y", C.explanation(F.col("comparisons"), F.col("category")).alias("explanation"))
+    return ranked.join(explained, ["x", "y"]).select(
+        F.col("query_id").alias("asked_id"), "rank", F.col("cand_id").alias("record_id"), "entity_id", "score", "semantic", "lexical", "channel",
+        F.col("v.status").alias("verdict"), "explanation", ((F.col("score") >= merge_at) & (F.col("v.status") == C.PASS)).alias("would_merge"),
+    ).orderBy("asked_id", "rank")
 
 
 def evidence_matrix(records: DataFrame, crosswalk: DataFrame, golden: DataFrame) -> DataFrame:

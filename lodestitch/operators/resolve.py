@@ -41,16 +41,29 @@ def enrich(records: DataFrame, encoder=None) -> DataFrame:
     return embed(out, "norm_text", encoder)
 
 
-def enrich_stored(records: DataFrame, encoder=None) -> DataFrame:
-    """``enrich``, computed once and stored; a text that several records have is read once for all of them."""
+#: Texts whose attributes and vectors are sent to the records instead of being stored with each of them.
+FEW_TEXTS = 8192
+
+
+def enrich_stored(records: DataFrame, encoder=None, same: str | None = None) -> DataFrame:
+    """``enrich``, computed once and stored; a text that several records have is read once for all of them.
+
+    Of few texts (counted) a record is stored with the number of its text, and what was read comes to it where it is asked for.
+    ``same``: a column to keep that number in.
+    """
     given = F.col("category") if "category" in records.columns else F.lit(None).cast("string")
     asked = records.withColumns({"_text": F.col("raw_text"), "_given": given}).drop("category")
     texts = asked.select("_text", "_given").distinct().repartition(records.sparkSession.sparkContext.defaultParallelism)
-    read = stored(enrich(texts.withColumns({"raw_text": F.col("_text"), "category": F.col("_given")}), encoder).drop("raw_text"))
+    read = enrich(texts.withColumns({"raw_text": F.col("_text"), "category": F.col("_given")}), encoder).drop("raw_text")
+    read = stored(read.withColumn("_same", F.monotonically_increasing_id()))
     # Renamed, the columns of both sides are told apart.
-    read = read.withColumnsRenamed({"_text": "_text_read", "_given": "_given_read"})
-    same = F.col("_text").eqNullSafe(F.col("_text_read")) & F.col("_given").eqNullSafe(F.col("_given_read"))
-    return stored(asked.join(read, same).drop("_text", "_given", "_text_read", "_given_read"))
+    names = read.select(F.col("_text").alias("_text_read"), F.col("_given").alias("_given_read"), "_same")
+    equal = F.col("_text").eqNullSafe(F.col("_text_read")) & F.col("_given").eqNullSafe(F.col("_given_read"))
+    facts = read.drop("_text", "_given")
+    few = read.count() <= FEW_TEXTS
+    rows = asked.join(F.broadcast(names) if few else names, equal).drop("_text", "_given", "_text_read", "_given_read")
+    out = stored(rows).join(F.broadcast(facts), "_same") if few else stored(rows.join(facts, "_same"))
+    return out.withColumnRenamed("_same", same) if same else out.drop("_same")
 
 
 # ---- pairs --------------------------------------------------------------------------------
