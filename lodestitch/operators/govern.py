@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import value_text
-from lodestitch.operators.resolve import enrich_stored
+from lodestitch.operators.resolve import bag_classes, enrich_stored
 from lodestitch.operators.nearest import TIES
 from lodestitch.operators.retrieval import hybrid_candidates
 from lodestitch.plans.materialize import stored
@@ -18,16 +18,6 @@ TASK_PAIRS = 100_000
 USE_EXISTING, CREATE_NEW, REVIEW = "USE_EXISTING", "CREATE_NEW", "REVIEW"
 
 
-def _alike(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, class: every record; class, category, attrs (prepared): the first record of each class of equal category and bag)."""
-    rows = stored(records.select("id", "category", F.array_sort(F.map_entries("attrs")).alias("bag")))
-    found = stored(rows.groupBy("category", "bag").agg(F.min("id").alias("class")))
-    # Renamed, the columns of both sides are told apart.
-    known = found.toDF("_category", "_bag", "class")
-    same = F.col("category").eqNullSafe(F.col("_category")) & F.col("bag").eqNullSafe(F.col("_bag"))
-    return stored(rows.join(known, same).select("id", "class")), found.select("class", "category", C.prepared(F.map_from_entries("bag")).alias("attrs"))
-
-
 def _said(met: DataFrame, probes: DataFrame, listed: DataFrame) -> DataFrame:
     """x, y, category, w, agreement, v, comparisons of the pairs of classes (x, y) that met; ``probes``, ``listed``: the classes."""
     x = probes.select(F.col("class").alias("x"), "category", F.col("attrs").alias("pa"))
@@ -50,8 +40,8 @@ def _scored(probes: DataFrame, catalogue: DataFrame, crosswalk: DataFrame, k: in
     """
     found = stored(hybrid_candidates(probes, catalogue, k, same))
     listed = stored(found.select(F.col("cand_id").alias("id")).distinct())
-    p, probe_bags = _alike(probes)
-    c, listed_bags = _alike(catalogue.join(listed, "id", "left_semi"))
+    p, probe_bags = bag_classes(probes)
+    c, listed_bags = bag_classes(catalogue.join(listed, "id", "left_semi"))
     links = stored(crosswalk.select(F.col("record_id").alias("id"), "entity_id").join(listed, "id", "left_semi").withColumnRenamed("id", "cand_id"))
     tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // TASK_PAIRS)
     pairs = found.join(c.toDF("cand_id", "y"), "cand_id").join(links, "cand_id", "left").join(p.toDF("query_id", "x"), "query_id")

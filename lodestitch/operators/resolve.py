@@ -41,8 +41,10 @@ def enrich(records: DataFrame, encoder=None) -> DataFrame:
     return embed(out, "norm_text", encoder)
 
 
-#: Texts whose attributes and vectors are sent to the records instead of being stored with each of them.
+#: Texts whose attributes and vectors are sent to the records instead of being stored with each of them; the same for what is said of pairs of bags.
 FEW_TEXTS = 8192
+#: Pairs of bags that one task compares.
+TASK_PAIRS = 100_000
 
 
 def enrich_stored(records: DataFrame, encoder=None, same: str | None = None) -> DataFrame:
@@ -62,7 +64,8 @@ def enrich_stored(records: DataFrame, encoder=None, same: str | None = None) ->
     facts = read.drop("_text", "_given")
     few = read.count() <= FEW_TEXTS
     rows = asked.join(F.broadcast(names) if few else names, equal).drop("_text", "_given", "_text_read", "_given_read")
-    out = stored(rows).join(F.broadcast(facts), "_same") if few else stored(rows.join(facts, "_same"))
+    # Many are shuffled: vectors are mostly zeros, so what lies in a small file may be far too much to be sent.
+    out = stored(rows).join(F.broadcast(facts), "_same") if few else stored(rows.join(facts.hint("merge"), "_same"))
     return out.withColumnRenamed("_same", same) if same else out.drop("_same")
 
 
@@ -76,38 +79,31 @@ def once_per_pair(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(a.alias("a"), b.alias("b")).agg(best.alias("s")).select("a", "b", "s.*")
 
 
-def score_pairs(records: DataFrame, candidates: DataFrame, weights: dict | None = None) -> DataFrame:
-    """a, b, category, the parts of the score, and the safety verdict, oriented from a to b."""
-    # What is compared is prepared once per record; each pair is compared once, for the score and for the gate.
-    side = lambda p: records.select(F.col("id").alias(p), F.col("category").alias(f"{p}_category"), C.prepared(F.col("attrs")).alias(f"{p}_attrs"))
-    joined = once_per_pair(candidates).join(side("a"), "a").join(side("b"), "b")
-    attrs = F.col("a_attrs"), F.col("b_attrs")
-    category = F.col("a_category")
-    joined = joined.withColumn("compared", C.compare_prepared(*attrs, category, C.schema_keys(category, *attrs)))
-    scored = joined.select(
-        "a",
-        "b",
-        category.alias("category"),
-        "channel",
-        C.score_of(F.col("compared"), F.col("semantic"), F.col("lexical"), category, weights).alias("m"),
-        C.verdict_of(C.critical_of(F.col("compared"), *attrs, category), category).alias("v"),
-    )
-    return scored.select(
-        "a", "b", "category", "channel", "m.semantic", "m.lexical", "m.agreement", "m.coverage", "m.score",
-        F.col("v.status").alias("verdict"), "v.blocked_field", "v.blocked_a", "v.blocked_b", "v.unknown_fields",
-        F.col("v.reason").alias("reason"), "m.comparisons",
-    )
+def bag_classes(records: DataFrame, same: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, class: every record; class, category, attrs (prepared): the first record of each class of equal category and bag).
 
+    ``same``: a column, if there is one, in which only records of one category and bag are equal; a bag is read once for each of its values.
+    """
+    bag = F.array_sort(F.map_entries("attrs")).alias("bag")
+    if same is not None:
+        named = stored(records.select("id", F.col(same).alias("same")))
+        firsts = stored(named.groupBy("same").agg(F.min("id").alias("id")))
+        records = records.join(firsts.select("id"), "id", "left_semi")
+    rows = stored(records.select("id", "category", bag))
+    found = stored(rows.groupBy("category", "bag").agg(F.min("id").alias("class")))
+    # Renamed, the columns of both sides are told apart.
+    known = found.toDF("_category", "_bag", "class")
+    equal = F.col("category").eqNullSafe(F.col("_category")) & F.col("bag").eqNullSafe(F.col("_bag"))
+    members = stored(rows.join(known, equal).select("id", "class"))
+    if same is not None:
+        members = stored(named.join(firsts.join(members, "id").select("same", "class"), "same").select("id", "class"))
+    return members, found.select("class", "category", C.prepared(F.map_from_entries("bag")).alias("attrs"))
 
-def score_blocks(
-    blocks: Blocks, semantic: Column, lexical: Column, weights: dict | None = None, *, of_class: Sequence[str] = (), of_record: Sequence[str] = ()
-) -> DataFrame:
-    """As ``score_pairs``, of all pairs of records of a block; ``semantic`` and ``lexical`` are columns of a and b.
 
-    Attributes and the gate are compared once per pair of classes of equal bags. ``of_class``, ``of_record``: columns to come along as a_... and b_...
-    """
+def _said(met: DataFrame, weights: dict | None = None) -> DataFrame:
+    """What is said of pairs of classes that met: x, y, category (of x), a_attrs, b_attrs (prepared)."""
     attrs, category = (F.col("a_attrs"), F.col("b_attrs")), F.col("category")
-    said = class_pairs(blocks).withColumn("comparisons", C.compare_prepared(*attrs, category, C.schema_keys(category, *attrs)))
+    said = met.withColumn("comparisons", C.compare_prepared(*attrs, category, C.schema_keys(category, *attrs)))
     said = said.select(
         "x", "y", "category", "comparisons", C.component_weights(category, weights).alias("w"),
         C.agreement(F.col("comparisons"), category, weights).alias("g"),
@@ -116,10 +112,53 @@ def score_blocks(
         "x", "y", "category", "w", "g.agreement", "g.coverage", F.col("v.status").alias("verdict"), "v.blocked_field", "v.blocked_a", "v.blocked_b",
         "v.unknown_fields", "v.reason", "comparisons",
     )
-    pairs = pairs_of(blocks, stored(said), of_class, of_record).withColumns({"semantic": C.clipped(semantic), "lexical": C.clipped(lexical)})
+    return stored(said)
+
+
+def _with_score(pairs: DataFrame, semantic: Column, lexical: Column) -> DataFrame:
+    """Pairs of which all is ``_said`` with both channels and the score."""
+    pairs = pairs.withColumns({"semantic": C.clipped(semantic), "lexical": C.clipped(lexical)})
     return pairs.withColumn("score", C.weighed(F.col("w"), F.col("semantic"), F.col("lexical"), F.col("agreement"))).drop("w")
 
 
+def score_pairs(records: DataFrame, candidates: DataFrame, weights: dict | None = None, same: str | None = None) -> DataFrame:
+    """a, b, category, the parts of the score, and the safety verdict, oriented from a to b; stored.
+
+    Bags are compared once for all pairs of equal bags. A pair is stored with the classes of its bags; what was said of few pairs of
+    classes (counted) comes to it where it is read. ``same``: as for ``bag_classes``.
+    """
+    known, bags = bag_classes(records, same)
+    pairs = stored(once_per_pair(candidates).join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b"))
+    met = stored(pairs.select("x", "y").distinct())
+    one = bags.select(F.col("class").alias("x"), "category", F.col("attrs").alias("a_attrs"))
+    two = bags.select(F.col("class").alias("y"), F.col("attrs").alias("b_attrs"))
+    # Comparing takes far longer than its bytes tell, so the pairs are dealt by row and not by size.
+    tasks = max(met.sparkSession.sparkContext.defaultParallelism, met.count() // TASK_PAIRS)
+    said = _said(met.join(one, "x").join(two, "y").repartition(tasks, "x", "y"), weights)
+    few = said.count() <= FEW_TEXTS
+    joined = pairs.join(F.broadcast(said) if few else said.hint("merge"), ["x", "y"])
+    scored = _with_score(joined, F.col("semantic"), F.col("lexical")).select(
+        "a", "b", "category", "channel", "semantic", "lexical", "agreement", "coverage", "score", "verdict", "blocked_field", "blocked_a", "blocked_b",
+        "unknown_fields", "reason", "comparisons",
+    )
+    return scored if few else stored(scored)
+
+
+def said_of_blocks(blocks: Blocks, weights: dict | None = None) -> DataFrame:
+    """What is said of the classes that meet in a block, in both orders."""
+    return _said(class_pairs(blocks), weights)
+
+
+def score_blocks(
+    blocks: Blocks, semantic: Column, lexical: Column, weights: dict | None = None, *, of_class: Sequence[str] = (), of_record: Sequence[str] = ()
+) -> DataFrame:
+    """As ``score_pairs``, of all pairs of records of a block; ``semantic`` and ``lexical`` are columns of a and b.
+
+    Attributes and the gate are compared once per pair of classes of equal bags. ``of_class``, ``of_record``: columns to come along as a_... and b_...
+    """
+    return _with_score(pairs_of(blocks, said_of_blocks(blocks, weights), of_class, of_record), semantic, lexical)
+
+
 def route(score: Column, verdict: Column, gate: bool = True, merge_at: float = R.MERGE_AT, review_at: float = R.REVIEW_AT) -> Column:
     """Where a pair goes."""
     if not gate:
@@ -292,10 +331,9 @@ def per_record(pairs: DataFrame) -> DataFrame:
 
 def best_inside(pairs: DataFrame, entity_of: DataFrame) -> DataFrame:
     """id, best: the best score to another record of the same entity, over all scored pairs."""
-    own = entity_of.select("id", "entity_id")
-    other = own.select(F.col("id").alias("other"), F.col("entity_id").alias("other_entity"))
-    seen = per_record(pairs.select("a", "b", "score")).join(own, "id").join(other, "other")
-    return seen.where("entity_id = other_entity").groupBy("id").agg(F.max("score").alias("best"))
+    own = lambda side: entity_of.select(F.col("id").alias(side), F.col("entity_id").alias(f"{side}_of"))
+    inside = pairs.select("a", "b", "score").join(own("a"), "a").join(own("b"), "b").where("a_of = b_of")
+    return inside.select(F.explode(F.array("a", "b")).alias("id"), "score").groupBy("id").agg(F.max("score").alias("best"))
 
 
 def leading_pairs(blocks: Blocks, routed: Callable[[Blocks, Sequence[str], Sequence[str]], DataFrame]) -> DataFrame:
@@ -410,11 +448,12 @@ def resolve(
     review_at: float = R.REVIEW_AT,
     k: int = R.CANDIDATES,
     weights: dict | None = None,
+    same: str | None = None,
 ) -> Plan:
-    """Enriched records to a plan."""
-    candidates = hybrid_candidates(records, records, k)
-    scored = score_pairs(records, candidates, weights)
-    routed = materialize(scored.withColumn("route", route(F.col("score"), F.col("verdict"), gate, merge_at, review_at)))
+    """Enriched records to a plan; ``same``: a column as for ``bag_classes`` and ``cosine_top_k``."""
+    candidates = hybrid_candidates(records, records, k, same)
+    scored = score_pairs(records, candidates, weights, same)
+    routed = scored.withColumn("route", route(F.col("score"), F.col("verdict"), gate, merge_at, review_at))
     members = components(records, routed.where(F.col("route") == EDGE))
     return _planned(records, routed, materialize(split_clusters(records, members, gate)), gate, merge_at)
 
@@ -443,16 +482,19 @@ def resolve_more(
     review_at: float = R.REVIEW_AT,
     k: int = R.CANDIDATES,
     weights: dict | None = None,
+    same: str | None = None,
 ) -> Plan:
     """The plan after enriched records have ``arrived`` (ids that ``before`` does not have), on top of a plan.
 
     Only the new records search, among all; only their pairs are compared. Components grow from the stored ones by the new
     edges, and only components that changed are cut anew. Pairs of older records keep the scores that they got; a
-    full run would weigh their words by all records, so its scores may differ from these.
+    full run would weigh their words by all records, so its scores may differ from these. ``same``: as for ``resolve``, over both.
     """
-    records = materialize(before.records.unionByName(arrived, allowMissingColumns=True))
-    scored = score_pairs(records, hybrid_candidates(arrived, records, k), weights)
-    fresh = materialize(scored.withColumn("route", route(F.col("score"), F.col("verdict"), gate, merge_at, review_at)))
+    records = before.records.unionByName(arrived, allowMissingColumns=True)
+    # With such a column both were read together and lie stored.
+    records = materialize(records) if same is None else records
+    scored = score_pairs(records, hybrid_candidates(arrived, records, k, same), weights, same)
+    fresh = scored.withColumn("route", route(F.col("score"), F.col("verdict"), gate, merge_at, review_at))
     known = before.clusters.select(F.col("id").alias("node"), "component")
     edges = fresh.where(F.col("route") == EDGE).select("a", "b").unionByName(arrived.select(F.col("id").alias("a"), F.col("id").alias("b")))
     grown = materialize(extend_components(known, edges))
