@@ -45,12 +45,24 @@ def in_blocks(records: DataFrame, keys: Sequence[str], part: int = PART) -> Bloc
         F.col("category").alias("_category"), F.col("bag").alias("_bag"), "class"
     )
     same = F.col("category").eqNullSafe(F.col("_category")) & F.col("bag").eqNullSafe(F.col("_bag"))
+    members, tasks = _dealt(rows.join(known, same).drop("_category", "_bag", "bag"), rows, keys, part)
+    return Blocks(keys, members, found.select("class", "category", F.map_from_entries("alike").alias("attrs")), tasks)
+
+
+def _dealt(members: DataFrame, rows: DataFrame, keys: list[str], part: int) -> tuple[DataFrame, int]:
+    """(``members`` with the ``parts`` of their block, as its ``rows`` are many; how many tasks its pairs are dealt to)."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     parts = sizes.select(*keys, "n", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    members = stored(rows.join(known, same).drop("_category", "_bag", "bag").join(parts, keys))
+    members = stored(members.join(parts, keys))
     pairs = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
-    return Blocks(keys, members.drop("n"), found.select("class", "category", F.map_from_entries("alike").alias("attrs")), int(tasks))
+    return members.drop("n"), int(max(members.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS)))
+
+
+def redealt(blocks: Blocks, members: DataFrame, keys: Sequence[str], part: int = PART) -> Blocks:
+    """``members`` (id, class, ``keys``) in blocks of ``keys``, with the classes of ``blocks``; one without one of the keys is in none."""
+    rows = members.dropna(subset=list(keys))
+    dealt, tasks = _dealt(rows, rows, list(keys), part)
+    return Blocks(list(keys), dealt, blocks.bags, tasks)
 
 
 def class_pairs(blocks: Blocks) -> DataFrame:

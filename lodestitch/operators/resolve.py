@@ -12,14 +12,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestitch.functions import compare as C
 from lodestitch.functions import rules as R
 from lodestitch.functions.attributes import extract_attributes, value_text
 from lodestitch.functions.text import detect_category, is_known, normalize, rule_trace, tokenize
-from lodestitch.operators.blocks import Blocks, class_pairs, pairs_of
+from lodestitch.operators.blocks import Blocks, class_pairs, pairs_of, redealt
 from lodestitch.operators.graph import connected_components, extend_components
 from lodestitch.operators.retrieval import embed, hybrid_candidates
 from lodestitch.plans.materialize import materialize, stored
@@ -115,7 +115,7 @@ def _said(met: DataFrame, weights: dict | None = None) -> DataFrame:
     return stored(said)
 
 
-def _with_score(pairs: DataFrame, semantic: Column, lexical: Column) -> DataFrame:
+def with_score(pairs: DataFrame, semantic: Column, lexical: Column) -> DataFrame:
     """Pairs of which all is ``_said`` with both channels and the score."""
     pairs = pairs.withColumns({"semantic": C.clipped(semantic), "lexical": C.clipped(lexical)})
     return pairs.withColumn("score", C.weighed(F.col("w"), F.col("semantic"), F.col("lexical"), F.col("agreement"))).drop("w")
@@ -137,7 +137,7 @@ def score_pairs(records: DataFrame, candidates: DataFrame, weights: dict | None
     said = _said(met.join(one, "x").join(two, "y").repartition(tasks, "x", "y"), weights)
     few = said.count() <= FEW_TEXTS
     joined = pairs.join(F.broadcast(said) if few else said.hint("merge"), ["x", "y"])
-    scored = _with_score(joined, F.col("semantic"), F.col("lexical")).select(
+    scored = with_score(joined, F.col("semantic"), F.col("lexical")).select(
         "a", "b", "category", "channel", "semantic", "lexical", "agreement", "coverage", "score", "verdict", "blocked_field", "blocked_a", "blocked_b",
         "unknown_fields", "reason", "comparisons",
     )
@@ -156,7 +156,7 @@ def score_blocks(
 
     Attributes and the gate are compared once per pair of classes of equal bags. ``of_class``, ``of_record``: columns to come along as a_... and b_...
     """
-    return _with_score(pairs_of(blocks, said_of_blocks(blocks, weights), of_class, of_record), semantic, lexical)
+    return with_score(pairs_of(blocks, said_of_blocks(blocks, weights), of_class, of_record), semantic, lexical)
 
 
 def route(score: Column, verdict: Column, gate: bool = True, merge_at: float = R.MERGE_AT, review_at: float = R.REVIEW_AT) -> Column:
@@ -336,28 +336,69 @@ def best_inside(pairs: DataFrame, entity_of: DataFrame) -> DataFrame:
     return inside.select(F.explode(F.array("a", "b")).alias("id"), "score").groupBy("id").agg(F.max("score").alias("best"))
 
 
-def leading_pairs(blocks: Blocks, routed: Callable[[Blocks, Sequence[str], Sequence[str]], DataFrame]) -> DataFrame:
-    """Of the ``routed`` pairs of blocks those that the crosswalk and the review rows of a record come from, three a record at most.
+#: Of which pairs a record has a leading one.
+INSIDE, STOPPED, NEAR = "inside", "stopped", "near"
+
+
+def _same_both_ways(said: DataFrame) -> bool:
+    """Whether of two classes the same is said in both orders, as far as scores and routes go."""
+    looked_at = ["w", "agreement", "verdict"]
+    other = said.select(F.col("x").alias("y"), F.col("y").alias("x"), F.struct(*looked_at).alias("back"))
+    return said.join(other, ["x", "y"]).where(~F.struct(*looked_at).eqNullSafe(F.col("back"))).isEmpty()
+
+
+def _leaders(blocks: Blocks, keys: Sequence[str], said: DataFrame, rated: Callable[[DataFrame], DataFrame], kinds: dict[str, Column], alike: Sequence[str]) -> DataFrame:
+    """id, other: for each record and each of ``kinds`` the other record of its best pair in a block of ``keys``, the smallest of equal scores.
+
+    Records of a block that are equal in class and ``alike`` are a group. All that holds of a pair of groups holds of their records, so pairs of groups
+    are made, named by their least records; a group with itself is the pair of its two least ones.
+    """
+    names, of_group = list(kinds), list(dict.fromkeys([*keys, "class", *alike]))
+    marked = lambda pairs: rated(pairs).select("*", *[F.when(is_kind, F.col("score")).alias(f"{k}_score") for k, is_kind in kinds.items()])
+    nth = F.row_number().over(Window.partitionBy(*of_group).orderBy("id"))
+    heads = blocks.members.select(F.col("id").alias("_id"), *of_group, nth.alias("nth")).where("nth <= 2")
+    groups = stored(heads.groupBy(*of_group).agg(F.min("_id").alias("least"), F.max("_id").alias("next")))
+    own = groups.where("least < next").select(F.col("least").alias("a"), F.col("next").alias("b"), F.col("class").alias("x"), F.col("class").alias("y"))
+    own = stored(marked(own.join(said, ["x", "y"])).select(F.col("a").alias("id"), *[F.col(f"{k}_score").alias(k) for k in names]))
+    met = redealt(blocks, groups.select(*keys, "class", F.col("least").alias("id")), keys)
+    # The best score of each kind first, then the least of those that have it: only numbers are added up, and the pairs are made anew.
+    scores = F.struct(*[F.col(f"{k}_score").alias(k) for k in names])
+    sides = marked(pairs_of(met, said)).select(F.explode(F.array(*[F.struct(F.col(s).alias("id"), scores.alias("s")) for s in "ab"])).alias("e"))
+    best = sides.select("e.id", "e.s.*").unionByName(own).groupBy("id").agg(*[F.max(k).alias(k) for k in names])
+    best = stored(best)
+    pairs = marked(pairs_of(replace(met, members=stored(met.members.join(best, "id", "left"))), said, of_record=names))
+    top = lambda side, other: F.struct(F.col(side).alias("id"), *[F.when(F.col(f"{k}_score") >= F.col(f"{side}_{k}"), F.col(other)).alias(k) for k in names])
+    # A filter before the explode would work out the score anew for each comparison in it.
+    ties = pairs.select(F.explode(F.array(top("a", "b"), top("b", "a"))).alias("e")).select("e.*").where(F.coalesce(*names).isNotNull())
+    chosen = ties.groupBy("id").agg(*[F.min(k).alias(k) for k in names])
+    inner = own.join(best.toDF("id", *[f"{k}_best" for k in names]), "id").select("id", *[(F.col(k) >= F.col(f"{k}_best")).alias(f"{k}_own") for k in names])
+    led = groups.join(chosen.withColumnRenamed("id", "least"), "least", "left").join(inner.withColumnRenamed("id", "least"), "least", "left")
+    records = blocks.members.select(F.col("id").alias("_id"), *of_group)
+    equal = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in of_group])
+    records = records.join(stored(led).withColumnsRenamed({c: f"_{c}_" for c in of_group}), equal)
+    partner = F.when(F.col("_id") == F.col("least"), F.col("next")).otherwise(F.col("least"))
+    others = [F.least(k, F.when(F.col(f"{k}_own"), partner)) for k in names]
+    return records.select(F.col("_id").alias("id"), F.explode(F.array_distinct(F.array(*others))).alias("other")).where("other is not null")
+
+
+def leading_pairs(blocks: Blocks, rated: Callable[[DataFrame], DataFrame], alike: Sequence[str] | None = None) -> DataFrame:
+    """Of all pairs of blocks those that the crosswalk and the review rows of a record come from, three a record at most.
 
     They are the best one inside its entity, the best blocked one and the best one for review; of equal scores the one with the smallest other id.
-    The members have an entity_id. Only sums of one number a record leave a task, and the pairs are made anew for each step.
+    The members have an entity_id. ``rated``: adds score and route to pairs (a, b) of which all is said. ``alike``: columns of the members such that
+    scores look at nothing else of a record but these and its bag; where there are such, groups of like records meet instead of records, so pairs
+    grow as the square of the groups of a block and not of its records. They serve if what is said of two bags is the same in both orders (checked).
     """
-    kinds = {
-        "inside": F.col("a_entity_id") == F.col("b_entity_id"), "stopped": F.col("route") == BLOCKED, "near": F.col("route") == REVIEW
-    }
-    pairs = routed(blocks, ["entity_id"], [])
-    scores = per_record(pairs.select("a", "b", *[F.when(is_kind, F.col("score")).alias(k) for k, is_kind in kinds.items()]))
-    best = scores.groupBy("id").agg(*[F.max(k).alias(k) for k in kinds])
-    scored = replace(blocks, members=stored(blocks.members.join(best, "id", "left")))
-    pairs = routed(scored, ["entity_id"], list(kinds))
-    top = lambda side, other: [F.when(is_kind & (F.col("score") >= F.col(f"{side}_{k}")), F.col(other)).alias(k) for k, is_kind in kinds.items()]
-    some = lambda df: df.where(F.coalesce(*kinds).isNotNull())
-    ties = some(pairs.select(F.col("a").alias("id"), *top("a", "b"))).unionByName(some(pairs.select(F.col("b").alias("id"), *top("b", "a"))))
-    chosen = ties.groupBy("id").agg(*[F.min(k).alias(k) for k in kinds])
-    picked = replace(blocks, members=stored(blocks.members.join(chosen, "id", "left")))
-    pairs = routed(picked, ["entity_id"], list(kinds))
-    either = [F.coalesce(F.col(f"{side}_{k}") == F.col(other), F.lit(False)) for k in kinds for side, other in (("a", "b"), ("b", "a"))]
-    return stored(pairs.where(reduce(Column.__or__, either)).drop("w", *[f"{s}_{k}" for s in "ab" for k in kinds]))
+    said = said_of_blocks(blocks)
+    alike = ["id"] if alike is None or not _same_both_ways(said) else list(alike)
+    routes = {STOPPED: F.col("route") == BLOCKED, NEAR: F.col("route") == REVIEW}
+    few = said.drop("comparisons", "unknown_fields")
+    found = _leaders(blocks, blocks.keys, few, rated, routes, alike)
+    found = found.unionByName(_leaders(blocks, [*blocks.keys, "entity_id"], few, rated, {INSIDE: F.lit(True)}, alike))
+    pairs = found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    class_of = blocks.members.select("id", "class")
+    pairs = pairs.join(class_of.toDF("a", "x"), "a").join(class_of.toDF("b", "y"), "b").join(said, ["x", "y"])
+    return stored(rated(pairs).drop("x", "y", "w"))
 
 
 def crosswalk(records: DataFrame, entity_of: DataFrame, pairs: DataFrame) -> DataFrame:
