@@ -92,7 +92,8 @@ def build_grams(rows: DataFrame, id_col: str, *columns: str) -> GramIndex:
     postings = _cut(unlike, "id")
     shared = _cut(held.select("text").distinct().withColumn("value", F.xxhash64("text")), "value")
     holders = held.select(F.xxhash64("text").alias("value"), "id")
-    kept = lambda df: stored(df.sortWithinPartitions(*df.columns))
+    # Sorted ids of one gram or text are close to each other, and this version of the format stores their differences.
+    kept = lambda df: stored(df.sortWithinPartitions(*df.columns), **{"parquet.writer.version": "PARQUET_2_0"})
     return GramIndex(kept(postings), kept(shared), kept(holders), columns)
 
 

@@ -34,10 +34,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it as Parquet below the shared checkpoint folder; readers take only the columns they need."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Compute ``df`` once and keep it as Parquet below the shared checkpoint folder; readers take only the columns they need.
+
+    ``options``: of the writer.
+    """
     folder = scratch_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
